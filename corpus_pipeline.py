@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, mixing, packing, queries, simhash, toxicity
 from quarry.llm.common import shared_folder, table
+from quarry.session import ship
 
 ORACLE_SQL = None
 
@@ -30,21 +31,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each exact text, the one with the largest id."""
+    ship(spark)
     return exact_dedup.surviving_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the one with the smallest id."""
+    ship(spark)
     return simhash.near_distinct(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    ship(spark)
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in the training sequences."""
+    ship(spark)
     return packing.pack(docs, public_tokenizers.path(queries.WORD_BPE))
 
 
