@@ -1,0 +1,181 @@
+"""Numeric kernels on single frames and signals; numpy in, numpy out."""
+
+from __future__ import annotations
+
+import numpy as np
+
+from quarry.functions.rules import BANDS
+
+
+def luma_saturation(rgb: np.ndarray) -> tuple[float, float]:
+    """Mean BT.601 luma (.299, .587, .114) and mean HSV saturation (0 to 1) of an (h, w, 3) picture."""
+    rgb = rgb.astype(np.float64)
+    top, bottom = rgb.max(axis=2), rgb.min(axis=2)
+    saturation = np.divide(top - bottom, top, out=np.zeros_like(top), where=top > 0)
+    return float((rgb @ np.array([0.299, 0.587, 0.114])).mean()), float(saturation.mean())
+
+
+def gradient(picture: np.ndarray) -> np.ndarray:
+    """Magnitude of central differences, one-sided at the borders."""
+    p = picture.astype(np.float64)
+    dy, dx = np.gradient(p) if min(p.shape) > 1 else (np.zeros_like(p), np.zeros_like(p))
+    return np.hypot(dx, dy)
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, w, h, n) of the connected components of a mask, largest first.
+
+    Row runs are joined to overlapping runs of the row above by union-find.
+    """
+    parent: list[int] = []
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    runs: list[tuple[int, int, int]] = []
+    above: list[int] = []
+    reach = 1 if diagonal else 0
+    for y, row in enumerate(mask.astype(bool)):
+        edges = np.flatnonzero(np.diff(np.r_[False, row, False].astype(np.int8)))
+        here = []
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            k = len(runs)
+            runs.append((y, a, b))
+            parent.append(k)
+            for other in above:
+                _, c, d = runs[other]
+                if c < b + reach and a < d + reach:
+                    x, z = root(k), root(other)
+                    parent[max(x, z)] = min(x, z)
+            here.append(k)
+        above = here
+    boxes: dict[int, list[int]] = {}
+    for k, (y, a, b) in enumerate(runs):
+        box = boxes.setdefault(root(k), [a, y, b, y + 1, 0])
+        box[:] = [min(box[0], a), min(box[1], y), max(box[2], b), max(box[3], y + 1), box[4] + b - a]
+    found = [(x, y, x2 - x, y2 - y, n) for x, y, x2, y2, n in boxes.values()]
+    return sorted(found, key=lambda f: (-f[4], f[1], f[0]))
+
+
+def binarised(picture: np.ndarray, window: int = 25, k: float = 0.10) -> np.ndarray:
+    """True where a pixel is darker than (1 - k) of its local mean; borders are reflected."""
+    p, half = picture.astype(np.float64), window // 2
+    padded = np.pad(p, half, mode="reflect" if min(p.shape) > half else "edge")
+    whole = np.pad(padded.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    h, w = p.shape
+    total = whole[window : window + h, window : window + w] - whole[:h, window : window + w] - whole[window : window + h, :w] + whole[:h, :w]
+    return p < (1 - k) * total / window**2
+
+
+def run_lengths(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, value) of each run of a row."""
+    cuts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    return cuts, np.diff(np.r_[cuts, len(row)]), row[cuts]
+
+
+def _centres(mask: np.ndarray, tolerance: float, dark: bool) -> list[tuple[float, float, int]]:
+    """(centre, module, row) of every 1:1:3:1:1 pattern, row by row, its middle run ``dark``."""
+    out = []
+    for y, row in enumerate(mask):
+        starts, lengths, values = run_lengths(row)
+        for i in range(len(starts) - 4):
+            five = lengths[i : i + 5]
+            if bool(values[i + 2]) != dark or (module := five.sum() / 7) < 1:
+                continue
+            if (np.abs(five - module * np.array([1, 1, 3, 1, 1])) <= tolerance * module * np.array([1, 1, 3, 1, 1])).all():
+                out.append((float(starts[i + 2] + five[2] / 2), float(module), y))
+    return out
+
+
+def finder_patterns(picture: np.ndarray, across: float = 0.55, down: float = 0.6, inverted: bool = False) -> list[tuple[float, float, float]]:
+    """(x, y, module) of finder patterns seen both across and down; the dark-centred kind unless ``inverted``."""
+    mask = binarised(picture)
+    rows, columns = _centres(mask, across, not inverted), _centres(mask.T, down, not inverted)
+    found: list[list[float]] = []
+    for x, module, y in rows:
+        if any(abs(cy - y) <= 2 * m and abs(cx - x) <= 2 * m for cy, m, cx in columns):
+            for f in found:
+                if abs(f[0] / f[3] - x) <= 3 * module and abs(f[1] / f[3] - y) <= 3 * module:
+                    f[0], f[1], f[2], f[3] = f[0] + x, f[1] + y, f[2] + module, f[3] + 1
+                    break
+            else:
+                found.append([x, float(y), module, 1.0])
+    return sorted((f[0] / f[3], f[1] / f[3], f[2] / f[3]) for f in found if f[3] >= 2)
+
+
+def finder_triples(patterns: list[tuple[float, float, float]], most: int = 12) -> list[tuple[int, int, int]]:
+    """(corner, leg, leg) of three patterns at a right angle with legs alike: 12 to 300 modules, 25 % apart, cosine .25."""
+    out, kept = [], patterns[:most]
+    for c, (x, y, m) in enumerate(kept):
+        for i in range(len(kept)):
+            for j in range(i + 1, len(kept)):
+                if c in (i, j):
+                    continue
+                u, v = np.array(kept[i][:2]) - (x, y), np.array(kept[j][:2]) - (x, y)
+                a, b = float(np.hypot(*u)), float(np.hypot(*v))
+                if not (12 * m <= a <= 300 * m and 12 * m <= b <= 300 * m) or abs(a - b) > 0.25 * max(a, b):
+                    continue
+                if abs(float(u @ v)) <= 0.25 * a * b:
+                    out.append((c, i, j))
+    return out
+
+
+def overlay(stack: np.ndarray, least: int = 40) -> list[tuple[int, int, int, int, float, float]]:
+    """(x, y, w, h, grad, fill) of regions that stay the same over an (n, h, w) stack while others move.
+
+    A pixel is still if its deviation over time (MAD) is in the lowest fifth, and marked if
+    its median's gradient is in the highest 3 %; marked still pixels are joined a pixel wide.
+    """
+    if len(stack) < 4:
+        return []
+    middle = np.median(stack, axis=0)
+    away = np.median(np.abs(stack - middle), axis=0)
+    steep = gradient(middle)
+    if away.max() <= 0:
+        return []
+    mask = (away <= np.percentile(away, 20)) & (steep >= np.percentile(steep, 97)) & (steep > 0)
+    wide = mask.copy()
+    for dy in (-1, 0, 1):
+        for dx in (-1, 0, 1):
+            wide |= np.roll(np.roll(mask, dy, 0), dx, 1)
+    out = []
+    for x, y, w, h, n in components(wide):
+        if n >= least:
+            out.append((x, y, w, h, float(steep[y : y + h, x : x + w].mean()), n / (w * h)))
+    return out
+
+
+def spectrum(pcm: np.ndarray, sr: int, size: int = 4096, hop: int = 2048, most: int = 1500, block: int = 128) -> dict:
+    """Mean power a bin, its coefficient of variation, band shares and lasting tones of a signal."""
+    frames = 1 + (len(pcm) - size) // hop
+    if len(pcm) < 2 * size or frames <= 0:
+        return {"bands": {}, "ultrasonic": 0.0, "tones": [], "error": "too short"}
+    at = np.arange(0, frames, max(1, frames // most)) * hop
+    first = second = 0.0
+    window = np.hanning(size)
+    for k in range(0, len(at), block):
+        power = np.abs(np.fft.rfft(pcm[at[k : k + block, None] + np.arange(size)] * window, axis=1)) ** 2
+        first, second = first + power.sum(axis=0), second + (power * power).sum(axis=0)
+    mean = first / len(at)
+    cv = np.sqrt(np.maximum(0.0, second / len(at) - mean * mean)) / (mean + 1e-12)
+    share, hertz = mean / (mean.sum() + 1e-12), np.fft.rfftfreq(size, 1 / sr)
+    bands = {f"{lo}-{hi}": float(share[(hertz >= lo) & (hertz < hi)].sum()) for lo, hi in BANDS}
+    lasting = np.flatnonzero((hertz > 3000) & (cv < 0.35) & (share >= 1e-5))
+    best = lasting[np.lexsort((lasting, -share[lasting]))][:10]
+    tones = [(float(hertz[k]), float(share[k]), float(cv[k])) for k in best]
+    return {"bands": bands, "ultrasonic": sum(bands[f"{lo}-{hi}"] for lo, hi in BANDS if lo >= 16000), "tones": tones, "error": None}
+
+
+def byte_entropy(data: bytes) -> float:
+    if not data:
+        return 0.0
+    p = np.bincount(np.frombuffer(data, np.uint8)) / len(data)
+    p = p[p > 0]
+    return float(-(p * np.log2(p)).sum()) + 0.0
+
+
+def nonzero_ratio(data: bytes) -> float:
+    return float(np.count_nonzero(np.frombuffer(data, np.uint8)) / len(data)) if data else 0.0
