@@ -7,10 +7,11 @@ so a passage copied a thousand times counts once.  For class c, opening h and le
 
     p_c(x|h) = (max(n_c(hx) - D, 0) + D t_c(h) p(x|h)) / n_c(h)
 
-with t_c(h) the letters seen after h.  The backoff p(x|h) is shared: it pools both classes
-on shorter contexts, so letters after an opening that a class has never seen cost the
-same in both models.  Openings met in fewer than ``EVIDENCE`` contexts are rare
-expressions and rest on the shared counts alone.
+with t_c(h) the letters seen after h.  The backoff p(x|h) is shared: the same formula over
+the counts of both classes together, itself backed off to the letters that follow h's last
+letter.  What a class has hardly seen therefore costs about the same in both models.
+Openings met in fewer than ``EVIDENCE`` contexts are rare expressions and rest on the
+shared counts alone.
 
 A text is compared passage by passage: half-overlapping windows of ``WINDOW`` words, the
 difference of the two log-likelihoods divided by the window's length (short texts are
@@ -42,12 +43,13 @@ ORDER, EVIDENCE, DISCOUNT, WINDOW = 6, 6, 0.75, 32
 TABLE_ROWS = 500_000
 #: Rows of the labels table up to which it is sent to every executor (16 bytes each).
 LABEL_ROWS = 2_000_000
-#: Differences smaller than this say nothing and are left out of the table.
-SILENT = 0.02
+#: A word's difference below this, in nats, is within what the unequal size of the classes makes of
+#: common words: it counts as none, and as no more than this against a passage.
+SILENT = 3.0
 #: Labelled rows, about, on which the logistic curve is fitted.
 CURVE_ROWS = 20_000
 #: Letters of the word before that make a context, and contexts that a task holds before it passes them on.
-_BEFORE, _HELD = 4, 400_000
+_BEFORE, _HELD = 7, 400_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
 
@@ -87,23 +89,28 @@ def opening_table(counts: DataFrame, discount: float = DISCOUNT, evidence: int =
     prefix = F.explode(F.expr("transform(sequence(1, length(opening)), k -> substring(opening, 1, k))")).alias("at")
     nodes = counts.select(prefix, "ordinary", "toxic").groupBy("at").agg(F.sum("ordinary").alias("o"), F.sum("toxic").alias("t"))
     nodes = checkpointed(nodes.withColumns({"parent": F.expr("substring(at, 1, length(at) - 1)"), "letter": F.expr("right(at, 1)"), "last": F.expr("right(substring(at, 1, length(at) - 1), 1)")}))
-    # shared backoff: letters after the last letter, counted by the openings that they continue
+    # the shared model's own backoff: letters after the last letter, counted by the openings that they continue
     bigram = nodes.groupBy("last", "letter").agg(F.count(F.lit(1)).alias("c"))
     after = nodes.groupBy("last").agg(F.count(F.lit(1)).alias("all"))
-    shared = bigram.join(after, "last").select("last", "letter", (F.col("c") / F.col("all")).alias("p"))
-    parents = nodes.groupBy("parent").agg(*[f(x).alias(n) for x in ("o", "t") for f, n in ((F.sum, f"n_{x}"), (lambda c: F.count_if(F.col(c) > 0), f"k_{x}"))])
+    shared = bigram.join(after, "last").select("last", "letter", (F.col("c") / F.col("all")).alias("p2"))
+    parents = nodes.groupBy("parent").agg(*[f(x).alias(n) for x in ("o", "t") for f, n in ((F.sum, f"n_{x}"), (lambda c: F.count_if(F.col(c) > 0), f"k_{x}"))], F.count(F.lit(1)).alias("k"))
     steps = nodes.join(parents, "parent").join(shared, ["last", "letter"])
 
+    def smoothed(n, total, kinds, below):
+        return (F.greatest(n - F.lit(discount), F.lit(0.0)) + F.lit(discount) * kinds * below) / total
+
+    steps = steps.withColumn("p", smoothed(F.col("o") + F.col("t"), F.col("n_o") + F.col("n_t"), F.col("k"), F.col("p2")))
+
     def model(x: str):
-        seen = (F.greatest(F.col(x) - F.lit(discount), F.lit(0.0)) + F.lit(discount) * F.col(f"k_{x}") * F.col("p")) / F.col(f"n_{x}")
-        return F.when(F.col(f"n_{x}") > 0, seen).otherwise(F.col("p"))
+        return F.when(F.col(f"n_{x}") > 0, smoothed(F.col(x), F.col(f"n_{x}"), F.col(f"k_{x}"), F.col("p"))).otherwise(F.col("p"))
 
     enough = F.col("o") + F.col("t") >= evidence
-    steps = steps.select("at", F.when(enough, F.log(model("t") / model("o"))).otherwise(F.lit(0.0)).alias("step"))
+    step = F.log(model("t") / model("o"))
+    steps = steps.select("at", F.when(enough, step).otherwise(F.least(step, F.lit(0.0))).alias("step"))
     steps = checkpointed(steps)
     # an opening's difference is the sum over its prefixes
     whole = counts.select("opening", prefix).join(steps, "at").groupBy("opening").agg(F.sum("step").alias("llr"))
-    return whole.filter(F.abs("llr") >= SILENT)
+    return whole.filter(F.abs("llr") >= SILENT).withColumn("llr", F.greatest("llr", F.lit(-SILENT)))
 
 
 def _passage(values: np.ndarray, window: int = WINDOW) -> float:
