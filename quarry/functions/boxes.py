@@ -115,8 +115,8 @@ def _content(data: bytes, box: Box, path: str) -> int | None:
     """Where a box's children begin; null if it has none."""
     kind, body = box.type, box.body
     if kind == "meta":
-        full = data[body : body + 4] == bytes(4) and data[body + 4 : body + 8] in META_CHILDREN
-        return body + 4 if full or b"hdlr" in (data[body + 4 : body + 8], data[body + 8 : body + 12]) else body
+        # version and flags come first in most files; older ones begin with a child at once
+        return body + 4 if data[body + 8 : body + 12] in META_CHILDREN and data[body + 4 : body + 8] not in META_CHILDREN else body
     if kind == "stsd":
         return body + 8
     if kind in CONTAINERS or path.endswith("/ilst") or kind.startswith("\xa9"):

@@ -25,7 +25,8 @@ def union(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int
         over = Window.partitionBy(*keys).orderBy("a", "b")
         reach = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_start", F.when(reach.isNull() | (F.col("a") > reach), F.col("a")))
-    island = F.max("_start").over(over.rowsBetween(Window.unboundedPreceding, 0))
+    # a range frame: of equal intervals any may be the one that opened the island
+    island = F.max("_start").over(over.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     if width:
         rows = rows.drop("_end")
         opened = _carry(rows.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_open")), keys, "_open")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.intervals import not_contained, runs
+from quarry.operators.intervals import not_contained, runs, union
 
 #: Zero stretches from this length on are planned by length, without bytes.
 ZERO_FROM = 1 << 20
@@ -139,10 +139,10 @@ def byte_diff_runs(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def unplanned(diffs: DataFrame, patches: DataFrame) -> DataFrame:
-    """Differing runs that no planned patch contains."""
+    """Differing runs that planned patches, adjacent ones taken together, do not contain."""
     inner = diffs.select("video_id", "a", (F.col("b") + 1).alias("b"), "n")
     outer = patches.select("video_id", F.col("offset").alias("a"), (F.col("offset") + patch_length()).alias("b"))
-    return not_contained(inner, outer, ["video_id"])
+    return not_contained(inner, union(outer, ["video_id"]), ["video_id"])
 
 
 def stream_changes(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -670,7 +670,10 @@ def diff_runs(t: Tables) -> DataFrame:
 
 @query("unplanned_runs", """
 WITH d AS (SELECT user_id AS video_id, event_id AS a, event_id + CAST(floor(value) AS BIGINT) % 9 AS b, CAST(floor(value) AS BIGINT) % 9 + 1 AS n FROM events),
-p AS (SELECT user_id AS video_id, event_id - 3 AS a, event_id - 3 + 6 + CAST(floor(value) AS BIGINT) % 5 AS b FROM events WHERE event_type = 'click')
+q AS (SELECT user_id AS video_id, event_id - 3 AS a, event_id - 3 + 6 + CAST(floor(value) AS BIGINT) % 5 AS b FROM events WHERE event_type = 'click'),
+o AS (SELECT *, max(b) OVER (PARTITION BY video_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM q WHERE b > 0),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS grp FROM o),
+p AS (SELECT video_id, min(a) AS a, max(b) AS b FROM g GROUP BY video_id, grp)
 SELECT video_id, a, b + 1 AS b, n FROM d WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.video_id = d.video_id AND p.a <= d.a AND d.b + 1 <= p.b)""")
 def unplanned_runs(t: Tables) -> DataFrame:
     v = F.floor("value")
