@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
 from quarry.functions import bitstream, boxes, kernels, rules
 from quarry.operators import intervals, text_rules
@@ -18,19 +15,34 @@ from quarry.operators.findings import all_findings, finding
 PADDING, GAP = ("free", "skip", "wide"), 16
 
 
-@pandas_udf(DoubleType())
-def byte_entropy(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: kernels.byte_entropy(bytes(d or b"")))
+FACTS = "video_id string, type string, type_hex string, start long, header int, size long, depth int, path string, uuid string, nonzero double, entropy double, marked boolean, named boolean, system_id string"
 
 
-@pandas_udf(DoubleType())
-def nonzero_ratio(data: pd.Series) -> pd.Series:
-    return data.map(lambda d: kernels.nonzero_ratio(bytes(d or b"")))
+def box_facts(files: DataFrame) -> DataFrame:
+    """A row a box with what rules ask of its bytes, so that no rule meets contents again.
 
+    Padding has its share of non-zero bytes and its entropy, private boxes whether they hold
+    a credentials marker (``marked``), top boxes but media whether such a name stands in them
+    (``named``), protection headers their system's id.
+    """
 
-def body(content: str = "content"):
-    """A box's body from its file's content, columns start, header and size."""
-    return F.substring(F.col(content), (F.col("start") + F.col("header") + 1).cast("int"), (F.col("size") - F.col("header")).cast("int"))
+    def rows(video: str, data: bytes):
+        for b in boxes.parse(data).boxes:
+            nonzero = entropy = marked = system = None
+            named = False
+            if b.type in PADDING:
+                inside = data[b.body : b.end]
+                nonzero, entropy = kernels.nonzero_ratio(inside), kernels.byte_entropy(inside)
+            if b.type in ("uuid", "jumb"):
+                inside = data[b.body : b.end]
+                marked = any(m.encode() in inside for m in rules.C2PA_MARKERS)
+            if b.depth == 0 and b.type not in ("mdat", "moof"):
+                named = data.find(b"c2pa", b.start, b.end) >= 0 or data.find(b"jumb", b.start, b.end) >= 0
+            if b.type == "pssh":
+                system = data[b.body + 4 : b.body + 20].hex()
+            yield video, b.type, b.raw.hex(), b.start, b.header, b.size, b.depth, b.path, b.uuid.hex() if b.uuid else None, nonzero, entropy, marked, named, system
+
+    return boxes.per_file(files, rows, FACTS)
 
 
 def hash_named(files: DataFrame) -> DataFrame:
@@ -41,32 +53,28 @@ def hash_named(files: DataFrame) -> DataFrame:
     return finding(hit, "R1", "HIGH", "file", "named by its own hash", F.col("stem"))
 
 
-def credentials(files: DataFrame, box: DataFrame) -> DataFrame:
+def credentials(facts: DataFrame) -> DataFrame:
     """Content credentials: the known uuid, a marker in a uuid or jumb body, or a mark in any top box but media."""
-    with_body = box.join(files.select("video_id", "content"), "video_id").withColumn("_b", F.lower(F.hex(body())))
-    marks = reduce(lambda a, m: a | F.contains(F.col("_b"), F.lit(m.encode().hex())), rules.C2PA_MARKERS, F.lit(False))
-    inside = (F.col("type").isin("uuid", "jumb") & marks) | (F.lower(F.hex("uuid")) == rules.C2PA_UUID) | (F.col("type") == "jumb")
-    top = (F.col("depth") == 0) & ~F.col("type").isin("mdat", "moof") & (F.contains("_b", F.lit(b"c2pa".hex())) | F.contains("_b", F.lit(b"jumb".hex())))
-    hits = with_body.filter(F.coalesce(inside, F.lit(False)) | top).groupBy("video_id").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n"))
-    private = box.filter("type = 'uuid'").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start")).join(hits, "video_id", "left_anti")
+    found = F.coalesce(F.col("marked"), F.lit(False)) | (F.coalesce("uuid", F.lit("")) == rules.C2PA_UUID) | (F.col("type") == "jumb") | F.col("named")
+    hits = facts.filter(found).groupBy("video_id").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n"))
+    private = facts.filter("type = 'uuid'").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start")).join(hits, "video_id", "left_anti")
     return finding(hits, "R2", "HIGH", "credentials", "content credentials", F.col("n"), F.col("start")).unionByName(finding(private, "R2", "MED", "container", "private uuid boxes", F.col("n"), F.col("start")))
 
 
-def protection(files: DataFrame, box: DataFrame) -> DataFrame:
+def protection(facts: DataFrame) -> DataFrame:
     """Protection boxes, with the systems that pssh boxes name."""
-    drm = box.filter(F.col("type").isin(*rules.DRM_BOXES))
-    named = drm.join(files.select("video_id", "content"), "video_id").withColumn("_id", F.lower(F.hex(F.substring(body(), 5, 16))))
     systems = F.create_map(*[F.lit(x) for pair in rules.DRM_SYSTEMS for x in pair])
-    hits = named.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set(systems[F.col("_id")])), ",").alias("systems"), F.min("start").alias("start"))
+    named = F.array_join(F.array_sort(F.collect_set(systems[F.col("system_id")])), ",")
+    hits = facts.filter(F.col("type").isin(*rules.DRM_BOXES)).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), named.alias("systems"), F.min("start").alias("start"))
     return finding(hits, "R3", "HIGH", "protection", "protection boxes", F.concat_ws(" ", "n", "systems"), F.col("start"))
 
 
-def structure(box: DataFrame, anomalies: DataFrame) -> DataFrame:
+def structure(facts: DataFrame, anomalies: DataFrame) -> DataFrame:
     """Repeated, unknown and unprintable boxes, and parse anomalies."""
-    top = box.filter("depth = 0")
+    top = facts.filter("depth = 0")
     twice = top.filter(F.col("type").isin("moov", "mdat", "ftyp")).groupBy("video_id", "type").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     unknown = top.filter(~F.col("type").isin(*boxes.TOP_TYPES)).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
-    odd = box.filter(~F.col("type").rlike(r"^[\x20-\x7e¡-ÿ]{4}$") & ~F.contains("path", F.lit("/ilst/")) & ~F.startswith(F.hex("type_raw"), F.lit("000000")))
+    odd = facts.filter(~F.col("type").rlike(r"^[\x20-\x7e¡-ÿ]{4}$") & ~F.contains("path", F.lit("/ilst/")) & ~F.startswith("type_hex", F.lit("000000")))
     odd = odd.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("start"))
     broken = anomalies.groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), F.min("offset").alias("start"))
     return all_parts(
@@ -77,21 +85,20 @@ def structure(box: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
 
 
-def padding(files: DataFrame, box: DataFrame) -> DataFrame:
+def padding(facts: DataFrame) -> DataFrame:
     """Padding over 64 bytes with over 2 % non-zero bytes, each HIGH; one INFO where padding is clean."""
-    rows = box.filter(F.col("type").isin(*PADDING)).join(files.select("video_id", "content"), "video_id").withColumn("_b", body())
-    rows = rows.select("video_id", "type", "start", "size", nonzero_ratio("_b").alias("nonzero"), byte_entropy("_b").alias("entropy"))
+    rows = facts.filter(F.col("type").isin(*PADDING))
     bad = rows.filter("size > 64 AND nonzero > 0.02")
     clean = rows.select("video_id").distinct().join(bad, "video_id", "left_anti")
     return finding(bad, "R8", "HIGH", "hidden", F.concat(F.lit("data in padding "), "type"), F.concat_ws(" ", F.round("nonzero", 4), F.round("entropy", 3)), F.col("start")).unionByName(finding(clean, "R8", "INFO", "hidden", "padding is clean"))
 
 
-def coverage(files: DataFrame, box: DataFrame, samples: DataFrame) -> DataFrame:
+def coverage(files: DataFrame, facts: DataFrame, samples: DataFrame) -> DataFrame:
     """Bytes after the last box, media bytes that no sample reaches, samples outside media or out of range."""
-    top = box.filter("depth = 0")
+    top = facts.filter("depth = 0")
     ends = files.select("video_id", "length").join(top.groupBy("video_id").agg(F.max(F.col("start") + F.col("size")).alias("end")), "video_id", "left")
     trailing = ends.withColumn("end", F.coalesce("end", F.lit(0))).filter("end < length")
-    media = top.filter("type = 'mdat'").select("video_id", F.col("box_id"), (F.col("start") + F.col("header")).alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    media = top.filter("type = 'mdat'").select("video_id", F.col("start").alias("box_id"), (F.col("start") + F.col("header")).alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
     used = samples.select("video_id", F.col("offset").alias("a"), (F.col("offset") + F.col("size")).alias("b"))
     by_box = media.select("video_id", "box_id", "lo", "hi")
     inside = used.join(by_box, "video_id").filter("b > lo AND a < hi").select("video_id", "box_id", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
@@ -154,11 +161,15 @@ def bitstream_rules(messages: DataFrame, parameters: DataFrame, videos: DataFram
     )
 
 
-def structural_segments(files: DataFrame, box: DataFrame) -> DataFrame:
-    """``video_id, seg_start, text``: bytes outside media boxes as Latin-1, one row a stretch, so no match spans a seam."""
-    top = box.filter("depth = 0").join(files.select("video_id", "content"), "video_id")
-    rows = top.filter("type <> 'mdat'").select("video_id", F.col("start").alias("seg_start"), F.substring("content", (F.col("start") + 1).cast("int"), F.col("size").cast("int")).alias("_b"))
-    return rows.select("video_id", "seg_start", F.decode("_b", "ISO-8859-1").alias("text"))
+def structural_segments(files: DataFrame) -> DataFrame:
+    """``video_id, seg_start, text``: bytes outside media boxes as Latin-1, one row a top box, so no match spans a seam."""
+
+    def rows(video: str, data: bytes):
+        for b in boxes.parse(data).boxes:
+            if b.depth == 0 and b.type != "mdat":
+                yield video, b.start, data[b.start : b.end].decode("latin-1")
+
+    return boxes.per_file(files, rows, "video_id string, seg_start long, text string")
 
 
 def string_rules(segments: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -173,17 +184,16 @@ def string_rules(segments: DataFrame, dimension: DataFrame) -> DataFrame:
     )
 
 
-def signature_hits(files: DataFrame, box: DataFrame, most: int = 8) -> DataFrame:
+def signature_hits(files: DataFrame, most: int = 8) -> DataFrame:
     """``video_id, code, offset, ok``: embedded file signatures in structural bytes, ``most`` a signature and stretch, each validated."""
-    top = box.filter("depth = 0 AND type <> 'mdat'").select("video_id", "start", "size")
-    parts = top.join(files.select("video_id", "content"), "video_id").select("video_id", "start", F.substring("content", (F.col("start") + 1).cast("int"), F.col("size").cast("int")).alias("data"))
 
-    def rows(batches):
-        for batch in batches:
-            out = [(v, code, start + at, ok) for v, start, data in zip(batch["video_id"], batch["start"], batch["data"]) for code, at, ok in signatures(bytes(data or b""), most)]
-            yield pd.DataFrame(out, columns=["video_id", "code", "offset", "ok"])
+    def rows(video: str, data: bytes):
+        for b in boxes.parse(data).boxes:
+            if b.depth == 0 and b.type != "mdat":
+                for code, at, ok in signatures(data[b.start : b.end], most):
+                    yield video, code, b.start + at, ok
 
-    return parts.mapInPandas(rows, "video_id string, code string, offset long, ok boolean")
+    return boxes.per_file(files, rows, "video_id string, code string, offset long, ok boolean")
 
 
 def signatures(data: bytes, most: int = 8) -> list[tuple[str, int, bool]]:
@@ -227,9 +237,15 @@ def signature_rules(hits: DataFrame, videos: DataFrame) -> DataFrame:
     return finding(good, "R23", "MED", "hidden", F.concat(F.lit("embedded "), "code"), F.col("n"), F.col("offset")).unionByName(finding(none, "R23", "INFO", "hidden", "no embedded files"))
 
 
-def deep_media_prints(files: DataFrame, box: DataFrame, dimension: DataFrame) -> DataFrame:
+def deep_media_prints(files: DataFrame, dimension: DataFrame) -> DataFrame:
     """The first five fingerprints over media bytes, LOW."""
-    media = box.filter("depth = 0 AND type = 'mdat'").join(files.select("video_id", "content"), "video_id").select("video_id", "start", F.decode(body(), "ISO-8859-1").alias("text"))
+
+    def rows(video: str, data: bytes):
+        for b in boxes.parse(data).boxes:
+            if b.depth == 0 and b.type == "mdat":
+                yield video, b.start, data[b.body : b.end].decode("latin-1")
+
+    media = boxes.per_file(files, rows, "video_id string, start long, text string")
     prints = text_rules.rule_hits(media, ["video_id", "start"], "text", dimension.filter("rank < 5"))
     return finding(prints, "R24", "LOW", "media", F.col("code"), F.array_join("samples", " | "), F.col("start"))
 
@@ -275,26 +291,27 @@ def all_parts(*parts: DataFrame) -> DataFrame:
 def scan(files: DataFrame) -> DataFrame:
     """Every container rule over ``files`` (video_id, path, length, content), one findings table.
 
-    Decoders are narrow and run once a rule family; a caller with large files persists
-    ``boxes`` and ``samples`` and calls the rules on them.
+    Contents are decoded where they are read and never shuffled; the thin tables that
+    several rules share are persisted.
     """
     spark = files.sparkSession
     dimension, videos = rules.fingerprints(spark), files.select("video_id")
-    box, samples, items = boxes.boxes(files), boxes.samples(files), boxes.metadata_items(files)
-    messages, parameters = bitstream.sei(files), bitstream.sequence_parameters(files)
-    declared = box.limit(0).select("video_id", F.lit(0).alias("width"), F.lit(0).alias("height"))
+    facts, samples = box_facts(files).persist(), boxes.samples(files).persist()
+    messages, parameters = bitstream.sei(files).persist(), bitstream.sequence_parameters(files)
+    segments, timing = structural_segments(files).persist(), timing_rows(files).persist()
+    nothing = spark.createDataFrame([], "video_id string, width int, height int")
     return all_findings(
         [
             hash_named(files),
-            credentials(files, box),
-            protection(files, box),
-            structure(box, boxes.anomalies(files)),
-            padding(files, box),
-            coverage(files, box, samples),
-            metadata_rules(items, dimension),
-            bitstream_rules(messages, parameters, videos, declared),
-            string_rules(structural_segments(files, box), dimension),
-            signature_rules(signature_hits(files, box), videos),
-            timing_rules(timing_rows(files), spark.createDataFrame([], "video_id string, handler string, ordinal int, nb_frames long")),
+            credentials(facts),
+            protection(facts),
+            structure(facts, boxes.anomalies(files).persist()),
+            padding(facts),
+            coverage(files, facts, samples),
+            metadata_rules(boxes.metadata_items(files).persist(), dimension),
+            bitstream_rules(messages, parameters, videos, nothing),
+            string_rules(segments, dimension),
+            signature_rules(signature_hits(files).persist(), videos),
+            timing_rules(timing, spark.createDataFrame([], "video_id string, handler string, ordinal int, nb_frames long")),
         ]
     )
