@@ -732,6 +732,203 @@ def box_anomalies(t: Tables) -> DataFrame:
     return boxes.anomalies(_containers(t)).select("video_id", "code", "offset")
 
 
+def _sps() -> bytes:
+    """A parameter set of 120 by 68 macroblocks, the last four pairs of lines cropped."""
+    bits = format(77, "08b") + format(0, "08b") + format(40, "08b")
+    ue = lambda v: "0" * (len(f"{v + 1:b}") - 1) + f"{v + 1:b}"
+    bits += "".join(map(ue, (0, 0, 0, 0, 1))) + "0" + ue(119) + ue(67) + "111" + "".join(map(ue, (0, 0, 0, 4))) + "0" + "1"
+    bits += "0" * (-len(bits) % 8)
+    return b"\x67" + int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def _movie(text: bytes, mark: bytes, source: bytes) -> tuple[bytes, int]:
+    """A movie and where its media begin: ten-byte samples over the text, an SEI unit first, metadata with the source."""
+    u32 = lambda *v: b"".join(x.to_bytes(4, "big") for x in v)
+    box = lambda kind, *parts: u32(8 + sum(map(len, parts))) + kind + b"".join(parts)
+    unit = b"\x06\x05\x20" + mark + b"\x80"
+    first, n, sps = u32(len(unit)) + unit, len(text) // 10, _sps()
+    config = bytes([1, 77, 0, 40, 0xFF, 0xE1]) + len(sps).to_bytes(2, "big") + sps + b"\0"
+    entry = box(b"avc1", bytes(78), box(b"avcC", config))
+    item = box(b"\xa9too", box(b"data", u32(1, 0), source))
+    meta = box(b"udta", box(b"meta", u32(0), box(b"hdlr", bytes(24)), box(b"ilst", item)))
+
+    def moov(at: int) -> bytes:
+        table = box(
+            b"stbl", box(b"stsd", u32(0, 1), entry), box(b"stts", u32(0, 1, n + 1, 512)), box(b"stsz", u32(0, 0, n + 1, len(first)), u32(10) * n),
+            box(b"stsc", u32(0, 1, 1, n + 1, 1)), box(b"stco", u32(0, 1, at)),
+        )
+        handler = box(b"hdlr", u32(0, 0), b"vide", bytes(12), b"v\0")
+        return box(b"moov", box(b"trak", box(b"mdia", handler, box(b"minf", table))), meta)
+
+    base = 16 + len(moov(0)) + 8
+    return box(b"ftyp", b"isom\0\0\0\0") + moov(base) + box(b"mdat", first, text), base
+
+
+def _movies(t: Tables) -> DataFrame:
+    """``video_id, length, content, base``: a movie a document, made where the document is read."""
+    import pandas as pd
+
+    def rows(batches):
+        for b in batches:
+            made = [_movie(x.encode(), m.encode(), s.encode()) for x, m, s in zip(b["text"], b["mark"], b["source"])]
+            yield pd.DataFrame({"video_id": b["video_id"], "length": [len(c) for c, _ in made], "content": [c for c, _ in made], "base": [k for _, k in made]})
+
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5("text").alias("mark"), "source")
+    return docs.mapInPandas(rows, "video_id string, length long, content binary, base long")
+
+
+_MOVIE = """
+WITH m AS (SELECT doc_id::VARCHAR AS video_id, text, source, strlen(text) AS n, (strlen(text) // 10)::BIGINT AS k, md5(text) AS mark FROM documents)"""
+
+
+@query("sample_table", _MOVIE + """
+, s AS (SELECT video_id, unnest(range(0, k + 1)) AS sample_no FROM m)
+SELECT video_id, 1 AS track_no, 'vide' AS handler, sample_no, CASE WHEN sample_no = 0 THEN 0 ELSE 40 + 10 * (sample_no - 1) END AS place, CASE WHEN sample_no = 0 THEN 40 ELSE 10 END AS size FROM s""")
+def sample_table(t: Tables) -> DataFrame:
+    from quarry.functions import boxes
+
+    movies = _movies(t)
+    rows = boxes.samples(movies.select("video_id", "content")).join(movies.select("video_id", "base"), "video_id")
+    return rows.select("video_id", "track_no", "handler", "sample_no", (F.col("offset") - F.col("base")).alias("place"), "size")
+
+
+@query("track_totals", _MOVIE + " SELECT video_id, k + 1 AS n_samples, 40 + 10 * k AS total_bytes, 0 AS unreachable_samples FROM m")
+def track_totals(t: Tables) -> DataFrame:
+    from quarry.functions import boxes
+
+    return boxes.track_info(_movies(t)).select("video_id", "n_samples", "total_bytes", "unreachable_samples")
+
+
+@query("track_timing", _MOVIE + " SELECT video_id, 'vide' AS handler, (k + 1) * 512 AS duration, k + 1 AS samples, 0 AS zero_deltas, 0 AS edits FROM m")
+def track_timing(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    return container_rules.timing_rows(_movies(t)).select("video_id", "handler", "duration", "samples", "zero_deltas", "edits")
+
+
+@query("sei_records", _MOVIE + " SELECT video_id, 0 AS sample_no, 5 AS type, 32 AS size, lower(hex(left(mark, 16))) AS uuid FROM m")
+def sei_records(t: Tables) -> DataFrame:
+    from quarry.functions import bitstream
+
+    return bitstream.sei(_movies(t)).filter("sample_no = 0").select("video_id", "sample_no", "type", "size", "uuid")
+
+
+@query("sps_info", _MOVIE + " SELECT video_id, 1920 AS width, 1080 AS height, 77 AS profile_idc FROM m")
+def sps_info(t: Tables) -> DataFrame:
+    from quarry.functions import bitstream
+
+    return bitstream.sequence_parameters(_movies(t)).select("video_id", "width", "height", "profile_idc")
+
+
+@query("metadata_items", _MOVIE + " SELECT video_id, 'itunes' AS source, '©too' AS key, source AS value, 1 AS dtype, strlen(source) AS value_len FROM m")
+def metadata_items(t: Tables) -> DataFrame:
+    from quarry.functions import boxes
+
+    return boxes.metadata_items(_movies(t)).select("video_id", "source", "key", "value", "dtype", "value_len")
+
+
+@query("media_coverage", _MOVIE + " SELECT video_id, 'INFO' AS severity, concat_ws(' ', 0, n % 10) AS detail FROM m")
+def media_coverage(t: Tables) -> DataFrame:
+    from quarry.functions import boxes
+    from quarry.operators import container_rules
+
+    movies = _movies(t)
+    found = container_rules.coverage(movies, container_rules.box_facts(movies), boxes.samples(movies))
+    return found.filter("rule_id = 'R10'").select("video_id", "severity", "detail")
+
+
+@query("private_boxes", "SELECT doc_id::VARCHAR AS video_id, 'HIGH' AS severity FROM documents WHERE doc_id % 5 = 3")
+def private_boxes(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    return container_rules.credentials(container_rules.box_facts(_containers(t))).select("video_id", "severity")
+
+
+@query("padding_rule", """
+SELECT doc_id::VARCHAR AS video_id, CASE WHEN doc_id % 5 = 1 AND least(100, strlen(text)) + 8 > 64 THEN 'HIGH' ELSE 'INFO' END AS severity FROM documents""")
+def padding_rule(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    return container_rules.padding(container_rules.box_facts(_containers(t))).select("video_id", "severity")
+
+
+@query("trailing_bytes", "SELECT doc_id::VARCHAR AS video_id, 8 AS n FROM documents WHERE doc_id % 5 = 2")
+def trailing_bytes(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    files = _containers(t)
+    none = t.spark.createDataFrame([], "video_id string, track_no int, handler string, sample_no long, offset long, size long")
+    return container_rules.coverage(files, container_rules.box_facts(files), none).filter("rule_id = 'R9'").select("video_id", F.col("detail").cast("long").alias("n"))
+
+
+@query("hexdump", """
+SELECT s_suppkey, lower(printf('%08X', s_suppkey * 16)) || '  ' || rpad(regexp_replace(lower(hex(left(s_name, 16))), '(..)', '\\1 ', 'g'), 48, ' ') || ' ' || left(s_name, 16) AS line FROM supplier""")
+def hexdump(t: Tables) -> DataFrame:
+    return t.supplier.select("s_suppkey", scalar.hexdump(F.left("s_name", F.lit(16)).cast("binary"), F.col("s_suppkey") * 16).alias("line"))
+
+
+@query("image_kinds", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'png' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'bmp' END AS kind FROM part")
+def image_kinds(t: Tables) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    head = F.when(k == 0, F.lit(b"\x89PNG\r\n\x1a\n")).when(k == 1, F.lit(b"\xff\xd8\xff\xe0")).when(k == 2, F.lit(b"BM")).otherwise(F.lit(b"text"))
+    return t.part.select("p_partkey", scalar.image_kind(F.concat(head, F.col("p_name").cast("binary"))).alias("kind"))
+
+
+def _probes(t: Tables) -> DataFrame:
+    """A probe sidecar an order: streams from its lines, the first a video stream."""
+    stream = F.struct(
+        (F.col("l_linenumber") - 1).alias("index"),
+        F.when(F.col("l_linenumber") == 1, "video").when(F.col("l_linenumber") < 5, "audio").otherwise("data").alias("codec_type"),
+        F.when(F.col("l_linenumber") == 1, "h264").otherwise("aac").alias("codec_name"), F.lit(1280).alias("width"), F.lit(720).alias("height"), F.lit("30/1").alias("avg_frame_rate"),
+    )
+    lines = t.lineitem.select("l_orderkey", "l_linenumber").distinct()
+    rows = lines.groupBy(F.col("l_orderkey").cast("string").alias("video_id")).agg(F.sort_array(F.collect_list(stream)).alias("streams"))
+    body = F.struct(F.struct(F.lit("10.0").alias("duration"), F.lit("1000000").alias("size"), F.lit("800000").alias("bit_rate")).alias("format"), "streams")
+    return rows.select("video_id", F.to_json(body).alias("probe"))
+
+
+@query("stream_rules", """
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem),
+k AS (SELECT l_orderkey::VARCHAR AS video_id, count(*) FILTER (l_linenumber BETWEEN 2 AND 4) AS a, count(*) FILTER (l_linenumber >= 5) AS o FROM l GROUP BY l_orderkey)
+SELECT video_id, 'HIGH' AS severity, o::VARCHAR AS detail FROM k WHERE o > 0 UNION ALL SELECT video_id, 'MED', a::VARCHAR FROM k WHERE a > 1""")
+def stream_rules(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+    from quarry.sources import files
+
+    probe = files.probes(_probes(t))
+    rows = files.streams(probe).withColumn("disposition", F.coalesce("disposition", F.create_map().cast("map<string,int>")))
+    return container_rules.stream_rules(rows, probe).select("video_id", "severity", "detail")
+
+
+@query("media_facts", """
+WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
+SELECT l_orderkey::VARCHAR AS video_id, bool_or(l_linenumber = 1) AS has_video, bool_or(l_linenumber BETWEEN 2 AND 4) AS has_audio,
+  CASE WHEN bool_or(l_linenumber = 1) THEN round(800000.0 / (1280 * 720 * 30), 6) ELSE 0.0 END AS bpp FROM l GROUP BY l_orderkey""")
+def media_facts(t: Tables) -> DataFrame:
+    from quarry.sources import files
+
+    facts = files.media_facts(files.probes(_probes(t)))
+    return facts.select("video_id", F.col("vcodec").isNotNull().alias("has_video"), F.col("acodec").isNotNull().alias("has_audio"), r6(F.col("bpp")).alias("bpp"))
+
+
+@query("embedded_signatures", "SELECT p_partkey::VARCHAR AS video_id, 'elf' AS code, p_partkey % 2 = 0 AS ok FROM part")
+def embedded_signatures(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    body = F.concat(F.lit(b"lead"), F.lit(b"\x7fELF"), F.when(F.col("p_partkey") % 2 == 0, F.lit(b"\x02\x01")).otherwise(F.lit(b"\x07\x07")), F.col("p_name").cast("binary"))
+    return container_rules.signature_hits(t.part.select(F.col("p_partkey").cast("string").alias("video_id"), _box("free", body).alias("content"))).select("video_id", "code", "ok")
+
+
+@query("byte_ranges", """
+WITH d AS (SELECT doc_id::VARCHAR AS video_id, strlen(text) AS n FROM documents), r AS (SELECT video_id, n, unnest(range(0, n, 1000)) AS a FROM d)
+SELECT video_id, a AS offset, least(1000, n - a) AS length FROM r""")
+def byte_ranges(t: Tables) -> DataFrame:
+    from quarry.sources import files
+
+    rows = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.lit("x").alias("path"), F.octet_length("text").cast("long").alias("length"))
+    return files.byte_ranges(rows, 1000).select("video_id", "offset", "length")
+
+
 @query("container_findings")
 def container_findings(t: Tables) -> DataFrame:
     from quarry.operators import container_rules
