@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -42,6 +43,8 @@ def byte_letters() -> dict[int, str]:
 
 
 def lettered(text: str) -> str:
+    if text.isascii() and text.isalnum():
+        return text
     letters = byte_letters()
     return "".join(letters[b] for b in text.encode("utf-8", "replace"))
 
@@ -113,6 +116,24 @@ class WholeTokenCounts:
         return sum([whole.get(p) or merge(p) for p in self.split(text)])
 
 
+class Memory(dict):
+    """A dictionary of at most about twice ``most`` entries: when it is full, only those used since the last time stay."""
+
+    def __init__(self, most: int, make):
+        super().__init__()
+        self.most, self.make, self.before = most, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.before.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordIds:
     """Ids of a BPE vocabulary with word ends, as little-endian 32-bit bytes."""
 
@@ -126,47 +147,29 @@ class WordIds:
 
     def __init__(self, vocabulary: str):
         self.library = _library(vocabulary)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        self.model = self.library.model
+        self.chunks, self.words, self.marks = Memory(MEMORY, self._chunk), Memory(MEMORY, self._word), Memory(10_000, self._whole)
+        self.chunks[""] = b""
 
     def _whole(self, chunk: str) -> bytes:
-        return self._bytes(self.library.encode(chunk, add_special_tokens=False).ids)
+        ids = self.library.encode(chunk, add_special_tokens=False).ids if chunk else []
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         """Ids of a run of settled lower-case letters, which is a pre-token of its own."""
-        raw = self.words.get(word)
-        if raw is None:
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            raw = self.words[word] = self._bytes([t.id for t in self.library.model.tokenize(lettered(word))])
-        return raw
+        ids = [t.id for t in self.model.tokenize(lettered(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _chunk(self, chunk: str) -> bytes:
         word = chunk.rstrip(".,;:!?")
-        if not word.isalpha() or _SETTLED.search(word) or "İ" in word:
+        if not word.isalpha() or (not word.isascii() and (_SETTLED.search(word) or "İ" in word)):
             return self._whole(chunk)
         # the vocabulary lower-cases; closing marks are one further pre-token
-        return self._word(word.lower()) + (self._whole(chunk[len(word) :]) if len(word) < len(chunk) else b"")
+        raw = self.words[word.lower()]
+        return raw + self.marks[chunk[len(word) :]] if len(word) < len(chunk) else raw
 
     def encode(self, text: str) -> bytes:
-        kept, parts = self.chunks, text.replace("\n", " ").split(" ")
-        for new in set(parts).difference(kept):
-            if len(kept) >= MEMORY:
-                kept.clear()
-                return b"".join([self._keep(p) for p in parts])
-            kept[new] = self._chunk(new) if new else b""
-        return b"".join([kept[p] for p in parts])
-
-    def _keep(self, chunk: str) -> bytes:
-        raw = self.chunks.get(chunk)
-        if raw is None:
-            raw = self._chunk(chunk) if chunk else b""
-            if len(self.chunks) < MEMORY:
-                self.chunks[chunk] = raw
-        return raw
+        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
