@@ -1,12 +1,10 @@
-import os
 import sys
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+for folder in (Path(__file__).resolve().parent, Path(__file__).resolve().parent.parent):
+    sys.path.insert(0, str(folder))
 
 
 @pytest.fixture(scope="session")
@@ -24,25 +22,9 @@ def spark(tmp_path_factory):
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
+    from support import SF, TABLES
 
     con = duckdb.connect()
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
-
-
-def canonical(rows, columns):
-    """Rows as comparable text, columns by name, doubles to six digits."""
-    order = sorted(range(len(columns)), key=lambda k: columns[k])
-    shown = lambda v: f"{v:.6g}" if isinstance(v, float) else str(v)
-    return [columns[k] for k in order], sorted(tuple(shown(r[k]) for k in order) for r in rows)
-
-
-def same_as_sql(query, sql, spark, duck, folder=SF):
-    found = query(spark, folder)
-    ours = canonical([tuple(r) for r in found.collect()], found.columns)
-    result = duck.execute(sql)
-    theirs = canonical(result.fetchall(), [d[0] for d in result.description])
-    assert ours[0] == theirs[0]
-    assert ours[1] == theirs[1]
-    return len(ours[1])

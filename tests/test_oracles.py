@@ -1,7 +1,7 @@
 """Every query with SQL gives DuckDB's rows, and few give none."""
 
 import pytest
-from conftest import same_as_sql
+from support import same_as_sql
 
 from quarry import queries
 
@@ -15,7 +15,7 @@ def test_same_rows_as_sql(name, spark, duck):
 
 
 def test_container_findings_find_what_was_planted(spark):
-    from conftest import SF
+    from support import SF
 
     rows = queries.QUERIES["container_findings"](spark, SF).collect()
     by_rule = {(r.rule_id, r.severity, int(r.video_id) % 5) for r in rows}

@@ -79,7 +79,7 @@ def test_online_flashes(spark, tmp_path):
 
 
 def test_windowed_counts(spark, tmp_path):
-    from conftest import SF
+    from support import SF
 
     stream = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events.parq*").withColumn("ts", F.col("ts").cast("timestamp"))
     q = arrivals.windowed_counts(stream, "1 day").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
