@@ -85,15 +85,15 @@ def surviving_rows(
     texts = _normalised(docs, id_col, text_col)
     classes, collided = _classes(texts, keep, digest, second)
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    by = ["_h", "_h2", "_id"] + (["_norm"] if collided is not None else [])
-    rows = docs.withColumns({"_norm": norm, "_id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
-    rows = rows.withColumns({"_h": digest(F.col("_norm")), "_h2": second(F.col("_norm"))})
+    by = ["__quarry_h", "__quarry_h2", "__quarry_id"] + (["__quarry_norm"] if collided is not None else [])
+    rows = docs.withColumns({"__quarry_norm": norm, "__quarry_id": F.coalesce(F.col(id_col).cast("string"), F.lit(""))})
+    rows = rows.withColumns({"__quarry_h": digest(F.col("__quarry_norm")), "__quarry_h2": second(F.col("__quarry_norm"))})
     if collided is None:
-        rows = rows.drop("_norm")
-        stays = classes.select(F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("_id"))
+        rows = rows.drop("__quarry_norm")
+        stays = classes.select(F.col("h").alias("__quarry_h"), F.col("h2").alias("__quarry_h2"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__quarry_id"))
     else:
         stays = _by_text(texts, keep, digest, second).select(
-            F.col("h").alias("_h"), F.col("h2").alias("_h2"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("_id"), F.col("norm").alias("_norm")
+            F.col("h").alias("__quarry_h"), F.col("h2").alias("__quarry_h2"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("__quarry_id"), F.col("norm").alias("__quarry_norm")
         )
     return rows.join(stays, by, "left_semi").dropDuplicates(by).select(*[F.col(f"`{c}`") for c in docs.columns])
 

@@ -117,21 +117,21 @@ def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     Columns are those of ``docs``; ``n_chars``, if there, follows a cut text.  Rows
     with no words carry nothing to weigh and are kept once.
     """
-    rows = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    taken = mix(docs, **parameters).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "size", "taken")
+    rows = docs.withColumn("__quarry_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    taken = mix(docs, **parameters).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__quarry_id"), "size", "taken")
     # rows repeated with one id and size share equally what they take together
-    taken = taken.groupBy("_id", "size").agg(F.sum("taken").alias("all"), F.count(F.lit(1)).alias("n"))
-    rows = rows.withColumn("_size", n_words(F.col("text")))
-    joined = rows.join(taken.withColumnRenamed("size", "_size"), ["_id", "_size"])
-    each = F.floor(F.col("all") / F.col("n"))
-    whole = F.when(F.col("_size") > 0, F.floor(each / F.col("_size"))).otherwise(F.lit(1))
-    part = F.when(F.col("_size") > 0, each - whole * F.col("_size")).otherwise(F.lit(0))
-    copies = F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
-    out = joined.withColumn("_words", F.explode(copies.cast("array<bigint>")))
+    taken = taken.groupBy("__quarry_id", "size").agg(F.sum("taken").alias("__quarry_all"), F.count(F.lit(1)).alias("__quarry_n"))
+    rows = rows.withColumn("__quarry_size", n_words(F.col("text")))
+    joined = rows.join(taken.withColumnRenamed("size", "__quarry_size"), ["__quarry_id", "__quarry_size"])
+    each = F.floor(F.col("__quarry_all") / F.col("__quarry_n"))
+    whole = F.when(F.col("__quarry_size") > 0, F.floor(each / F.col("__quarry_size"))).otherwise(F.lit(1))
+    part = F.when(F.col("__quarry_size") > 0, each - whole * F.col("__quarry_size")).otherwise(F.lit(0))
+    copies = F.concat(F.array_repeat(F.col("__quarry_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
+    out = joined.withColumn("__quarry_words", F.explode(copies.cast("array<bigint>")))
     cut = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("_words").cast("int"))
-    text = F.when(F.col("_words") < F.col("_size"), F.regexp_replace(F.concat(cut, F.array_join(words, "")), r"[\x20\x09-\x0D]+$", "")).otherwise(F.col("text"))
+    words = F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("__quarry_words").cast("int"))
+    text = F.when(F.col("__quarry_words") < F.col("__quarry_size"), F.regexp_replace(F.concat(cut, F.array_join(words, "")), r"[\x20\x09-\x0D]+$", "")).otherwise(F.col("text"))
     changed = {"text": text}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("_words") < F.col("_size"), F.length(text)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(F.col("__quarry_words") < F.col("__quarry_size"), F.length(text)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])

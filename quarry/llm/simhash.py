@@ -91,8 +91,8 @@ def near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with a null id cannot be named by a component: they stay, once for each distinct text.
     """
     named, nameless = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
-    stays = near_dedup(named, id_col, text_col, bucket).filter("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    rows = named.withColumn("_id", F.col(id_col)).join(stays, "_id", "left_semi").dropDuplicates(["_id"]).drop("_id")
+    stays = near_dedup(named, id_col, text_col, bucket).filter("doc_id = component_id").select(F.col("doc_id").alias("__quarry_id")).distinct()
+    rows = named.withColumn("__quarry_id", F.col(id_col)).join(stays, "__quarry_id", "left_semi").dropDuplicates(["__quarry_id"]).drop("__quarry_id")
     return rows.unionByName(nameless.dropDuplicates([text_col]))
 
 

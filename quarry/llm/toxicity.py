@@ -122,9 +122,9 @@ def _passage(values: np.ndarray, window: int = WINDOW) -> float:
 
 
 def passage_scores(docs: DataFrame, table: DataFrame, keep: list[str], table_rows: int = TABLE_ROWS) -> DataFrame:
-    """Columns ``keep`` of ``docs`` and ``_x``, the length-normalised difference of the most toxic passage."""
-    plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "_text")
+    """Columns ``keep`` of ``docs`` and ``__quarry_x``, the length-normalised difference of the most toxic passage."""
+    plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__quarry_text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__quarry_text")
     if table.count() <= table_rows:
         pairs = table.toPandas()  # its rows have just been counted
         sent = docs.sparkSession.sparkContext.broadcast(dict(zip(pairs["opening"], pairs["llr"])))
@@ -132,10 +132,10 @@ def passage_scores(docs: DataFrame, table: DataFrame, keep: list[str], table_row
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = sent.value
             for batch in batches:
-                x = [_passage(np.array([known.get(o, 0.0) for o in openings(t)])) for t in batch["_text"]]
-                yield batch[keep].assign(_x=x)
+                x = [_passage(np.array([known.get(o, 0.0) for o in openings(t)])) for t in batch["__quarry_text"]]
+                yield batch[keep].assign(__quarry_x=x)
 
-        return plain.mapInPandas(score, f"{schema}, `_x` double")
+        return plain.mapInPandas(score, f"{schema}, `__quarry_x` double")
     return _by_join(plain, table, keep)
 
 
@@ -145,30 +145,30 @@ def _by_join(plain: DataFrame, table: DataFrame, keep: list[str]) -> DataFrame:
     A text's words are counted by half window before the shuffle, and a text is named by
     its SHA-256, so equal texts are scored once.
     """
-    named = plain.withColumn("_text", F.coalesce("_text", F.lit(""))).withColumn("_row", F.sha2("_text", 256))
+    named = plain.withColumn("__quarry_text", F.coalesce("__quarry_text", F.lit(""))).withColumn("__quarry_row", F.sha2("__quarry_text", 256))
     half = WINDOW // 2
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for row, text in zip(batch["_row"], batch["_text"]):
+            for row, text in zip(batch["__quarry_row"], batch["__quarry_text"]):
                 met = Counter((k // half, o) for k, o in enumerate(openings(text))) or {(0, ""): 1}
                 yield pd.DataFrame([(row, *k, n) for k, n in met.items()], columns=["row", "block", "opening", "n"])
 
-    words = named.select("_row", "_text").dropDuplicates(["_row"]).mapInPandas(spread, "row string, block long, opening string, n long")
+    words = named.select("__quarry_row", "__quarry_text").dropDuplicates(["__quarry_row"]).mapInPandas(spread, "row string, block long, opening string, n long")
     blocks = words.join(table, "opening", "left").groupBy("row", "block").agg(F.sum(F.col("n") * F.coalesce("llr", F.lit(0.0))).alias("s"))
     order = Window.partitionBy("row").orderBy("block")
     blocks = blocks.withColumns({"next": F.lead("s").over(order), "only": F.count(F.lit(1)).over(Window.partitionBy("row")) == 1})
-    best = blocks.filter(F.col("next").isNotNull() | F.col("only")).groupBy(F.col("row").alias("_row")).agg((F.max(F.col("s") + F.coalesce("next", F.lit(0.0))) / WINDOW).alias("_x"))
-    return named.drop("_text").join(best, "_row").select(*[F.col(f"`{c}`") for c in keep], "_x")
+    best = blocks.filter(F.col("next").isNotNull() | F.col("only")).groupBy(F.col("row").alias("__quarry_row")).agg((F.max(F.col("s") + F.coalesce("next", F.lit(0.0))) / WINDOW).alias("__quarry_x"))
+    return named.drop("__quarry_text").join(best, "__quarry_row").select(*[F.col(f"`{c}`") for c in keep], "__quarry_x")
 
 
 def fit_curve(scored: DataFrame) -> tuple[float, float]:
-    """Slope and middle of the logistic curve, from rows (toxic, _x) binned to thousandths.
+    """Slope and middle of the logistic curve, from rows (toxic, difference) binned to thousandths.
 
     The classes weigh alike, and a small penalty keeps the slope finite where they part
     cleanly.  Without both classes the curve puts every text at a score under a half.
     """
-    bins = scored.groupBy("toxic", F.round(F.least(F.greatest("_x", F.lit(-2.0)), F.lit(2.0)), 3).alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 8002 rows
+    bins = scored.groupBy("toxic", F.round(F.least(F.greatest("__quarry_x", F.lit(-2.0)), F.lit(2.0)), 3).alias("x")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 8002 rows
     x, y, n = (np.array([r[k] for r in bins], float) for k in ("x", "toxic", "n"))
     if len(bins) == 0 or not (y > 0).any() or not (y == 0).any():
         return 1.0, 10.0
@@ -198,8 +198,8 @@ def score(docs: DataFrame, labelled: DataFrame, keep: list[str], name: str = "sc
     table = checkpointed(opening_table(checkpointed(opening_counts(labelled))))
     some = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < _share(labelled) * (1 << 20))
     slope, middle = fit_curve(passage_scores(some, table, ["toxic"], table_rows))
-    x = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.lit(slope) * (F.col("_x") - F.lit(middle))))
-    return passage_scores(docs, table, keep, table_rows).withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-x))).drop("_x")
+    x = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.lit(slope) * (F.col("__quarry_x") - F.lit(middle))))
+    return passage_scores(docs, table, keep, table_rows).withColumn(name, F.lit(1.0) / (F.lit(1.0) + F.exp(-x))).drop("__quarry_x")
 
 
 def _share(labelled: DataFrame) -> float:

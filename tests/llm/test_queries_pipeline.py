@@ -3,8 +3,8 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import SF
 from helpers import documents, prose
+from support import same_as_sql
 from test_dedup import brute_components, brute_print, lower
 
 from quarry.llm import oracles, queries
@@ -12,13 +12,7 @@ from quarry.llm import oracles, queries
 
 @pytest.mark.parametrize("name", sorted(oracles.ORACLES))
 def test_same_rows_as_sql(name, spark, duck):
-    import importlib.util
-    from pathlib import Path
-
-    spec = importlib.util.spec_from_file_location("top_conftest", Path(__file__).resolve().parent.parent / "conftest.py")
-    top = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(top)
-    assert top.same_as_sql(queries.QUERIES[name], oracles.ORACLES[name], spark, duck, SF)
+    assert same_as_sql(queries.QUERIES[name], oracles.ORACLES[name], spark, duck)
 
 
 def test_pipeline_stage_by_stage(spark, tmp_path):
