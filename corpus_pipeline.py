@@ -25,8 +25,8 @@ ORACLE_SQL = None
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the bar; labels are learned from those that are not held out."""
     labelled = toxicity.with_labels(docs.filter(queries.fold(F.col("doc_id"), 3) != 1), table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, labelled, docs.columns, "_score")
-    return scored.filter(F.col("_score") < queries.TOXIC_AT).drop("_score")
+    scored = toxicity.score(docs, labelled, docs.columns, "__quarry_score")
+    return scored.filter(F.col("__quarry_score") < queries.TOXIC_AT).drop("__quarry_score")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
