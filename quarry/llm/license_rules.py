@@ -104,7 +104,7 @@ _NOTICES = (
 # Rules of their own, not made from a name.
 SINGLE = (
     Rule("cc by nc", r"cc by nc", 0, "cc-by-nc"),
-    Rule("cc by", r"licen[sc]ed under (?:a |the )?cc by(?: [1-4](?: [05])?)?(?! [ns][cda])", 1, "cc-by"),
+    Rule("cc by", r"licen[sc]ed under (?:a |the )?cc by [1-4](?: [05])?", 1, "cc-by"),
     Rule("cc by sa", r"cc by sa(?: [1-4](?: [05])?)?", 3, "cc-by-sa"),
     Rule("cc by nd", r"cc by nd(?: [1-4](?: [05])?)?", 3, "cc-by-nd"),
     Rule("cc by nc sa", r"cc by nc sa(?: [1-4](?: [05])?)?", 0, "cc-by-nc-sa"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from quarry.llm.license_rules import BASE, rules
+from quarry.llm.licenses import CONFIDENCE
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 OP2 = """
@@ -60,4 +63,38 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, (times * size + greatest(0, least(size, more - ahead)))::BIGINT AS taken FROM o
 """
 
-ORACLES = {"op2_exact_top_k": OP2, "op5_exact_dedup": OP5, "op10_mixing": OP10}
+
+
+def _op1() -> str:
+    """Each rule at each word of the texts that have its keyword and match it; no rule is over thirty words long."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(r.keyword)}, {quoted(r.pattern)}, {r.tier}, {quoted(r.label)})" for r in rules())
+    phrases = ", ".join(quoted(p) for p, _ in BASE)
+    confidence = " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(CONFIDENCE))
+    return f"""
+WITH r(keyword, pattern, tier, label) AS (VALUES {values}),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' ' AS w
+  FROM documents
+), x AS (SELECT row, doc_id, w, CASE WHEN w = '  ' THEN [] ELSE string_split(trim(w), ' ') END AS words FROM d),
+c AS (SELECT row, words, pattern, tier, label FROM x JOIN r ON contains(w, keyword) AND regexp_matches(w, ' (?:' || pattern || ') ')),
+p AS (SELECT row, pattern, tier, label, words, unnest(range(0, len(words))) AS a FROM c),
+s AS (SELECT row, pattern, tier, label, a, array_to_string(words[a + 1 : a + 30], ' ') || ' ' AS t FROM p),
+m AS (
+  SELECT row, pattern, tier, label, a, a + len(string_split(regexp_extract(t, '^(?:' || pattern || ') '), ' ')) - 1 AS b
+  FROM s WHERE regexp_matches(t, '^(?:' || pattern || ') ')
+), k AS (
+  SELECT * FROM m WHERE NOT EXISTS (
+    SELECT 1 FROM m o WHERE o.row = m.row AND o.tier <= m.tier AND o.a <= m.a AND o.b >= m.b AND (o.a, -o.b, o.tier, o.label) < (m.a, -m.b, m.tier, m.label))
+), e AS (
+  SELECT row, count(*) AS n, min(a) AS first, max(a) AS last, list(DISTINCT label) AS labels FROM (SELECT DISTINCT row, a, label, pattern FROM m WHERE pattern IN ({phrases})) GROUP BY row
+), f AS (SELECT row, min(tier) AS tier, list(DISTINCT label) AS labels FROM k GROUP BY row)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first::BIGINT AS first_word, last::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(e.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(e.labels, f.labels))), ','), '') AS labels,
+  (CASE tier {confidence} ELSE 0 END)::DOUBLE AS score
+FROM x LEFT JOIN e USING (row) LEFT JOIN f USING (row)
+"""
+
+
+ORACLES = {"op1_license_scan": _op1(), "op2_exact_top_k": OP2, "op5_exact_dedup": OP5, "op10_mixing": OP10}
