@@ -1,15 +1,17 @@
 """Decoders of box containers: bytes to rows.
 
 Pure functions from a byte buffer to lists of plain rows, and the DataFrame operators
-that apply them per file through Arrow batches.  A file that breaks a decoder gives an
-error row, never a failed job.
+that apply them per file through Arrow batches.  A file that breaks a decoder keeps the
+rows decoded before the fault and gets an error row from ``decode_errors``; the job goes on.
 """
 
 from __future__ import annotations
 
+import contextlib
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -145,29 +147,34 @@ def _u32s(data: bytes, at: int, n: int) -> tuple[int, ...]:
     return struct.unpack_from(f">{n}I", data, at)
 
 
-def sizes_of(data: bytes, box: Box) -> tuple[list[int], bool]:
-    """Sample sizes of an stsz or stz2 box, and whether the table is cut short."""
+def sizes_of(data: bytes, box: Box) -> tuple[Iterable[int], int, bool]:
+    """Sample sizes of an stsz or stz2 box, how many, and whether the table is cut short.
+
+    One size for all is never written out: a damaged count may be in the billions.
+    """
     at = box.body + 4
+    if box.end - at < 8:
+        raise ValueError("size table without a header")
     if box.type == "stsz":
         fixed, count = _u32s(data, at, 2)
         if fixed:
-            return [fixed] * count, False
+            return repeat(fixed, count), count, False
         n = min(count, (box.end - at - 8) // 4)
-        return list(_u32s(data, at + 8, n)), n != count
+        return _u32s(data, at + 8, n), n, n != count
     width, count = data[at + 3], _u32s(data, at + 4, 1)[0]
+    if width not in (4, 8, 16):
+        raise ValueError(f"sizes of {width} bits")
     at += 8
     n = min(count, (box.end - at) * 8 // width)
     if width == 4:
-        return [data[at + k // 2] >> 4 if k % 2 == 0 else data[at + k // 2] & 15 for k in range(n)], n != count
-    if width == 8:
-        return list(data[at : at + n]), n != count
-    return list(struct.unpack_from(f">{n}H", data, at)), n != count
+        return [data[at + k // 2] >> 4 if k % 2 == 0 else data[at + k // 2] & 15 for k in range(n)], n, n != count
+    return (list(data[at : at + n]) if width == 8 else struct.unpack_from(f">{n}H", data, at)), n, n != count
 
 
 def sample_table(data: bytes, tree: Tree, stbl: Box) -> tuple[list[tuple[int, int]], dict]:
     """(offset, size) of each sample in order, and what the table says of itself."""
     one = {k: tree.first(stbl, k) for k in ("stsz", "stz2", "stsc", "stco", "co64")}
-    sizes, cut = sizes_of(data, sized) if (sized := one["stsz"] or one["stz2"]) else ([], False)
+    sizes, total, cut = sizes_of(data, sized) if (sized := one["stsz"] or one["stz2"]) else ([], 0, False)
     chunks: list[int] = []
     if placed := one["stco"] or one["co64"]:
         width = "I" if placed.type == "stco" else "Q"
@@ -182,15 +189,17 @@ def sample_table(data: bytes, tree: Tree, stbl: Box) -> tuple[list[tuple[int, in
             runs.append((first, each))
     found: list[tuple[int, int]] = []
     last = [*[r[0] for r in runs[1:]], len(chunks) + 1]
-    taken = iter(sizes)
+    taken, unwritten = iter(sizes), isinstance(sizes, repeat)
     for (first, each), until in zip(runs, last):
         for offset in chunks[first - 1 : min(until, len(chunks) + 1) - 1]:
             for _ in range(each):
+                if unwritten and offset > len(data) and found and found[-1][0] + found[-1][1] > len(data):
+                    break  # this chunk has left the file, and a sample out of range says so
                 if (size := next(taken, None)) is None:
                     break
                 found.append((offset, size))
                 offset += size
-    return found, {"n_sizes": len(sizes), "n_samples": len(found), "total_bytes": sum(s for _, s in found), "unreachable_samples": len(sizes) - len(found), "truncated": cut}
+    return found, {"n_sizes": total, "n_samples": len(found), "total_bytes": sum(s for _, s in found), "unreachable_samples": total - len(found), "truncated": cut}
 
 
 def tracks(data: bytes, tree: Tree) -> Iterator[tuple[int, Box, str, Box | None]]:
@@ -275,6 +284,29 @@ def _mdta_keys(data: bytes, box: Box | None) -> list[str]:
     return out
 
 
+#: What malformed bytes raise in a decoder.
+FAULTS = (struct.error, IndexError, ValueError, ZeroDivisionError, OverflowError)
+
+
+def _until_fault(decode: Callable[[str, bytes], Iterable[tuple]], ident: str, data: bytes) -> Iterator[tuple]:
+    with contextlib.suppress(*FAULTS):
+        yield from decode(ident, data)
+
+
+def decode_errors(files: DataFrame, decoders: dict[str, Callable[[str, bytes], Iterable[tuple]]], **names: str) -> DataFrame:
+    """``video_id, step, error``: a row for each decoder that a file breaks."""
+
+    def rows(video: str, data: bytes) -> Iterator[tuple]:
+        for step, decode in decoders.items():
+            try:
+                for _ in decode(video, data):
+                    pass
+            except FAULTS as exc:
+                yield video, step, f"{type(exc).__name__}: {exc}"
+
+    return per_file(files, rows, "video_id string, step string, error string", **names)
+
+
 def per_file(files: DataFrame, decode: Callable[[str, bytes], Iterable[tuple]], schema: str, id_col: str = "video_id", content: str = "content") -> DataFrame:
     """Rows that ``decode`` yields for each file, narrow: files stay in the partitions that read them."""
     names = [c.split()[0] for c in schema.split(", ")]
@@ -282,7 +314,7 @@ def per_file(files: DataFrame, decode: Callable[[str, bytes], Iterable[tuple]],
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for ident, data in zip(batch["id"], batch["data"]):
-                yield pd.DataFrame(list(decode(ident, bytes(data or b""))), columns=names, dtype=object)
+                yield pd.DataFrame(list(_until_fault(decode, ident, bytes(data or b""))), columns=names, dtype=object)
 
     return files.select(F.col(id_col).alias("id"), F.col(content).alias("data")).mapInPandas(rows, schema)
 

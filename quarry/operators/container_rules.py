@@ -277,6 +277,16 @@ def timing_rows(files: DataFrame) -> DataFrame:
     return boxes.per_file(files, rows, "video_id string, track_no int, handler string, ordinal int, duration long, samples long, zero_deltas long, ctts_min long, ctts_max long, edits long")
 
 
+#: Decoders whose faults are reported, by the step that uses them.
+STEPS = {"boxes": boxes.box_rows, "samples": boxes.sample_rows, "metadata": boxes.metadata_rows, "units": bitstream.nal_rows, "messages": bitstream.sei_rows, "parameters": bitstream.sps_rows}
+
+
+def fault_rules(files: DataFrame) -> DataFrame:
+    """LOW for every step that a file's bytes break; the other steps go on."""
+    errors = boxes.decode_errors(files, STEPS)
+    return finding(errors, "R32", "LOW", "scan", F.concat(F.lit("step failed: "), "step"), F.col("error"))
+
+
 def flash_rules(kinds: DataFrame, videos: DataFrame) -> DataFrame:
     """Flashes HIGH, none INFO; cuts INFO.  ``kinds`` has video_id and kind."""
     n = videos.join(kinds.groupBy("video_id").agg(F.count_if(F.expr("kind = 'flash'")).alias("flashes"), F.count_if(F.expr("kind = 'cut'")).alias("cuts")), "video_id", "left")
@@ -303,6 +313,7 @@ def scan(files: DataFrame) -> DataFrame:
     return all_findings(
         [
             hash_named(files),
+            fault_rules(files),
             credentials(facts),
             protection(facts),
             structure(facts, boxes.anomalies(files).persist()),

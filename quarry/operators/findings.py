@@ -65,3 +65,10 @@ def compare(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def residual_high(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count_if(F.col("severity") == "HIGH").alias("residual_high"))
+
+
+def video_summary(df: DataFrame) -> DataFrame:
+    """A row a video: counts by severity, the gravest severity, and its first titles in order."""
+    counted = severity_counts(df, ["video_id"])
+    first = df.groupBy("video_id").agg(F.min(F.struct("seq", "severity")).alias("_f"), F.slice(F.transform(F.sort_array(F.collect_list(F.struct("seq", "title"))), lambda x: x["title"]), 1, 10).alias("titles"))
+    return counted.join(first.select("video_id", F.col("_f.severity").alias("gravest"), "titles"), "video_id")

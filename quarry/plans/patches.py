@@ -171,3 +171,11 @@ def regions_by_priority(manual: DataFrame, scanned: DataFrame, none: DataFrame)
     chosen = manual.join(none, "video_id", "left_anti")
     rest = scanned.join(manual.select("video_id").unionByName(none.select("video_id")).distinct(), "video_id", "left_anti")
     return chosen.unionByName(rest)
+
+
+def region_layers(regions: DataFrame, manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """Regions (video_id, idx) with ``layer``: the manifest's path, else the first found file by name."""
+    listed = manifest.select("video_id", "idx", F.col("path").alias("_listed"))
+    first = found.groupBy("video_id", "idx").agg(F.min("path").alias("_found"))
+    both = regions.join(listed, ["video_id", "idx"], "left").join(first, ["video_id", "idx"], "left")
+    return both.withColumn("layer", F.coalesce("_listed", "_found")).drop("_listed", "_found")

@@ -131,3 +131,19 @@ def test_no_video_track_is_no_error(spark):
     found = files(spark, a=movie(stbl([1], [1], [(1, 1)]), b"x", "soun"), b=box("moov", trak("vide", b"")))
     assert bitstream.sei(found).count() == 0
     assert {r.error for r in boxes.track_info(found).collect()} == {None, "no sample table"}
+
+
+def test_a_broken_table_is_a_low_finding_and_the_scan_goes_on(spark):
+    broken = box("stbl", box("stsz", b"\0\0"), full("stsc", u32(1, 1, 1, 1)), full("stco", u32(1, 50)))
+    contents = {"broken": movie(broken, b"x") + box("free", b"\x07" * 128), "fine": movie(stbl([1], [1], [(1, 1)]), b"x")}
+    found = {(r.video_id, r.rule_id, r.severity) for r in container_rules.scan(files(spark, **contents)).collect()}
+    assert ("broken", "R32", "LOW") in found and ("broken", "R8", "HIGH") in found
+    assert not any(v == "fine" and rule == "R32" for v, rule, _ in found)
+
+
+def test_summary_of_a_video(spark):
+    from quarry.operators.findings import video_summary
+
+    found = container_rules.scan(files(spark, a=movie(stbl([1], [1], [(1, 1)]), b"x") + box("free", b"\x07" * 128)))
+    (row,) = video_summary(found).collect()
+    assert row.gravest == "HIGH" and row.high >= 1 and row.titles[0] in ("data in padding free", "samples outside media boxes")
