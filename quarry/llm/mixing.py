@@ -101,12 +101,15 @@ def mix(
     spent = sums.withColumn("upto", F.sum("words").over(ranges)).withColumn("before", F.col("upto") - F.col("words"))
     cut = spent.join(sources, "key").filter((F.col("before") <= F.col("more")) & (F.col("more") < F.col("upto"))).select("key", F.col("range").alias("cut"), "before")
     plan = sources.join(cut, "key", "left")
-    rows = thin.drop("source").join(plan, "key")
-    in_cut = F.coalesce(F.col("range") == F.col("cut"), F.lit(False))
-    plain = rows.filter(~in_cut).withColumn("part", F.when(F.col("range") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
+    rows = thin.drop("source")
+    # away from the cut no order is needed, so a hot source's join may be split over many tasks
+    plain = rows.join(plan, "key").filter(F.col("cut").isNull() | (F.col("range") != F.col("cut")))
+    plain = plain.withColumn("part", F.when(F.col("range") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
+    # at the cut only its range meets the plan, and only that range is ordered
+    edge = rows.join(plan.filter("cut IS NOT NULL").withColumn("range", F.col("cut")), ["key", "range"])
     order = Window.partitionBy("key").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     ahead = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("before")
-    edge = rows.filter(in_cut).withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - ahead)))
+    edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - ahead)))
     out = plain.unionByName(edge)
     return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
