@@ -100,7 +100,7 @@ def mix(
     ranges = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     spent = sums.withColumn("upto", F.sum("words").over(ranges)).withColumn("before", F.col("upto") - F.col("words"))
     cut = spent.join(sources, "key").filter((F.col("before") <= F.col("more")) & (F.col("more") < F.col("upto"))).select("key", F.col("range").alias("cut"), "before")
-    plan = sources.join(cut, "key", "left")
+    plan = checkpointed(sources.join(cut, "key", "left"))  # a row a source, apart from the window that found the cuts
     rows = thin.drop("source")
     # away from the cut no order is needed, so a hot source's join may be split over many tasks
     plain = rows.join(plan, "key").filter(F.col("cut").isNull() | (F.col("range") != F.col("cut")))
