@@ -49,7 +49,7 @@ SILENT = 3.0
 #: Labelled rows, about, on which the logistic curve is fitted.
 CURVE_ROWS = 20_000
 #: Letters of the word before that make a context, and contexts that a task holds before it passes them on.
-_BEFORE, _HELD = 7, 400_000
+_BEFORE, _HELD = 4, 150_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
 
