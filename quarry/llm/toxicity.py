@@ -123,16 +123,19 @@ def _passage(values: np.ndarray, window: int = WINDOW) -> float:
 
 def passage_scores(docs: DataFrame, table: DataFrame, keep: list[str], table_rows: int = TABLE_ROWS) -> DataFrame:
     """Columns ``keep`` of ``docs`` and ``__quarry_x``, the length-normalised difference of the most toxic passage."""
-    plain = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__quarry_text"))
+    # a text that is kept anyway is not sent to the workers twice
+    small = table.count() <= table_rows
+    own = "text" if small and "text" in keep and dict(docs.dtypes)["text"] == "string" else "__quarry_text"
+    plain = docs.select(*[F.col(f"`{c}`") for c in keep], *([] if own == "text" else [F.col("text").cast("string").alias(own)]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema if f.name != "__quarry_text")
-    if table.count() <= table_rows:
+    if small:
         pairs = table.toPandas()  # its rows have just been counted
         sent = docs.sparkSession.sparkContext.broadcast(dict(zip(pairs["opening"], pairs["llr"])))
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = sent.value
             for batch in batches:
-                x = [_passage(np.array([known.get(o, 0.0) for o in openings(t)])) for t in batch["__quarry_text"]]
+                x = [_passage(np.array([known.get(o, 0.0) for o in openings(t)])) for t in batch[own]]
                 yield batch[keep].assign(__quarry_x=x)
 
         return plain.mapInPandas(score, f"{schema}, `__quarry_x` double")
