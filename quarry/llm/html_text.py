@@ -12,25 +12,34 @@ or more that occurs in ``PAGES`` distinct pages or more is boilerplate.  Covered
 are removed from open blocks and their unique runs kept; chrome goes whole; content
 stays, since an article that a host prints twice is still an article.
 
-Pages of a host are dealt into groups of about ``GROUP`` by a hash, so a host with a
-third of all pages is many groups, and a group's suffix array has a bounded size.
+A host's array is never in one place.  Prefix doubling works on 64-bit prints in place of
+ranks, so suffixes of pages in different tasks compare; each task counts the pages of the
+suffixes it holds, and the counts of a (host, print) are added up over the whole host,
+whatever its size.  Only runs that reach an open block on some page can remove anything,
+so these are gathered first and the others not counted, unless they are over ``HIT_ROWS``;
+then every run is.  Those on ``PAGES`` pages go back to the pages: sent to every executor
+up to ``HIT_ROWS``, by a shuffle join beyond that.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import checkpointed
 
-RUN, PAGES, GROUP = 8, 3, 48
-#: Hosts up to which their group counts are sent to every executor (under 300 bytes each).
-HOST_ROWS = 200_000
+RUN, PAGES = 8, 3
+#: Prints of runs up to which they are sent to every executor (8 bytes each).
+HIT_ROWS = 2_000_000
+#: Prints that a task holds before it passes their counts on, and tokens whose prints it remembers.
+_HELD, _TOKENS = 400_000, 300_000
 CONTENT, OPEN, CHROME = 2, 1, 0
 
 # Element names of the HTML standard by what they mean here.
@@ -162,50 +171,187 @@ def covered(pages: list[list[str]], run: int = RUN, least: int = PAGES) -> list[
     return np.split(np.cumsum(marks[:-1]) > 0, np.cumsum(lengths)[:-1])
 
 
-def main_texts(pages: list[list[tuple[int, str]]], run: int = RUN, least: int = PAGES) -> list[str]:
-    """The main text of each page of a group, given its blocks."""
+def _stream(found: list[tuple[int, str]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """The token stream of a page's blocks, and where in it each block stands."""
     edge = "\n"  # between blocks, so that runs of short blocks count as long
-    streams, spans = [], []
-    for found in pages:
-        stream, span = [edge], []
-        for _, text in found:
-            tokens = text.split(" ")
-            span.append((len(stream), len(stream) + len(tokens)))
-            stream += [*tokens, edge]
-        streams.append(stream)
-        spans.append(span)
-    out = []
-    for found, stream, span, hit in zip(pages, streams, spans, covered(streams, run, least)):
-        kept = []
-        for (role, text), (a, b) in zip(found, span):
-            if role == CONTENT:
-                kept.append(text)
-            elif role == OPEN and (left := [t for t, h in zip(stream[a:b], hit[a:b]) if not h]):
-                kept.append(" ".join(left))
-        out.append("\n".join(kept))
-    return out
+    stream, span = [edge], []
+    for _, text in found:
+        tokens = text.split(" ")
+        span.append((len(stream), len(stream) + len(tokens)))
+        stream += [*tokens, edge]
+    return stream, span
+
+
+def _kept(found: list[tuple[int, str]], stream: list[str], span: list[tuple[int, int]], hit: np.ndarray) -> str:
+    """A page's main text, given which of its tokens are boilerplate."""
+    kept = []
+    for (role, text), (a, b) in zip(found, span):
+        if role == CONTENT:
+            kept.append(text)
+        elif role == OPEN and (left := [t for t, h in zip(stream[a:b], hit[a:b]) if not h]):
+            kept.append(" ".join(left))
+    return "\n".join(kept)
+
+
+def main_texts(pages: list[list[tuple[int, str]]], run: int = RUN, least: int = PAGES) -> list[str]:
+    """The main text of each page of a host that fits one place, given its blocks."""
+    laid = [_stream(found) for found in pages]
+    return [_kept(found, *at, hit) for found, at, hit in zip(pages, laid, covered([stream for stream, _ in laid], run, least))]
+
+
+class _TokenPrints(dict):
+    """64-bit print of each token, the same in every process."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= _TOKENS:
+            self.clear()
+        value = self[token] = xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return value
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a, b = a ^ (a >> np.uint64(29)), b ^ (b >> np.uint64(32))
+    return a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def run_prints(stream: list[str], host: str, run: int, known: _TokenPrints) -> np.ndarray:
+    """For each place where ``run`` tokens start, the print of the host and these tokens."""
+    if len(stream) < run:
+        return np.zeros(0, np.int64)
+    prints, width = np.array([known[t] for t in stream], np.uint64), 1
+    while width < run:
+        step = min(width, run - width)
+        prints, width = _mixed(prints[:-step], prints[step:]), width + step
+    return _mixed(prints, np.array([xxhash.xxh3_64_intdigest(host.encode("utf-8", "surrogatepass"))], np.uint64)).view(np.int64)
+
+
+def _reaching(found: list[tuple[int, str]], span: list[tuple[int, int]], starts: int, run: int) -> np.ndarray:
+    """For each place where a run starts, whether it reaches a token of an open block."""
+    marks = np.zeros(starts + run, np.int64)
+    for (role, _), (a, b) in zip(found, span):
+        if role == OPEN:
+            marks[a + 1 : b + 1] = 1
+    total = np.cumsum(marks)
+    return total[run:] > total[:-run]
+
+
+def _among(prints: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """For each print, whether it is one of ``some``, which are in order."""
+    return some[np.minimum(np.searchsorted(some, prints), len(some) - 1)] == prints if len(some) else np.zeros(len(prints), bool)
+
+
+def _open_runs(rows: list[tuple[str, str | None]], run: int, known: _TokenPrints) -> Iterator[np.ndarray]:
+    """For each (host, page), the prints of the runs that reach an open block, each once."""
+    for host, page in rows:
+        found = blocks(page)
+        prints = np.zeros(0, np.int64)
+        if any(role == OPEN for role, _ in found):
+            stream, span = _stream(found)
+            if len(prints := run_prints(stream, host, run, known)):
+                prints = np.unique(prints[_reaching(found, span, len(prints), run)])
+        yield prints
+
+
+def _rows(batch: pa.RecordBatch) -> list[tuple[str, str | None]]:
+    return list(zip(batch["host"].to_pylist(), batch["html"].to_pylist()))
+
+
+def _added(pages: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """``print, pages``: the pages of each print, added up for every ``_HELD`` prints or so."""
+    held, size = [], 0
+
+    def added() -> pa.RecordBatch:
+        prints, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(prints, pa.int64()), pa.array(counts, pa.int64())], ["print", "pages"])
+
+    for prints in pages:
+        if len(prints):
+            held.append(prints)
+            size += len(prints)
+        if size >= _HELD:
+            yield added()
+            held, size = [], 0
+    if held:
+        yield added()
+
+
+def _sent(prints: DataFrame):
+    return prints.sparkSession.sparkContext.broadcast(np.sort(prints.toPandas()["print"].to_numpy(np.int64)))
+
+
+def boilerplate(plain: DataFrame, run: int, least: int, hit_rows: int) -> DataFrame:
+    """``print`` of each run that ``least`` pages of a host share and that reaches an open block (columns host, html)."""
+    own = plain.select("host", "html")
+
+    def reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _TokenPrints()
+        return _added(p for batch in batches for p in _open_runs(_rows(batch), run, known))
+
+    asked = checkpointed(own.mapInArrow(reaching, "print long, pages long").select("print").distinct())
+    n = asked.count()
+    if not n:
+        return asked
+    wanted = _sent(asked) if n <= hit_rows else None
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, some = _TokenPrints(), wanted.value if wanted else None
+
+        def each() -> Iterator[np.ndarray]:
+            for batch in batches:
+                for host, page in _rows(batch):
+                    prints = np.unique(run_prints(_stream(blocks(page))[0], host, run, known))
+                    yield prints if some is None else prints[_among(prints, some)]
+
+        return _added(each())
+
+    met = own.mapInArrow(counts, "print long, pages long").groupBy("print").agg(F.sum("pages").alias("pages"))
+    met = met.filter(F.col("pages") >= least).select("print")
+    return checkpointed(met if wanted else met.join(asked, "print"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least: int = PAGES, group: int = GROUP) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least: int = PAGES, hit_rows: int = HIT_ROWS) -> DataFrame:
     """One row per input row: ``page_id, url, text, n_chars``.
 
     Null and empty pages, and pages without main text, give an empty text.  Pages with a
     null url are one host.  Repeated rows are distinct pages.  An empty table gives an
     empty result; other columns play no part.
     """
-    kind = pages.schema[id_col].dataType.simpleString()
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     host = F.lower(F.coalesce(F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1), F.lit("")))
-    plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)
-    sizes = plain.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("long").alias("groups"))
-    sizes = checkpointed(sizes)
-    if sizes.count() <= HOST_ROWS:
-        sizes = F.broadcast(sizes)
-    dealt = plain.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url", "html"), F.col("groups"))).drop("groups")
+    plain = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
+    hits = boilerplate(plain, run, least, hit_rows)
+    small = hits.count() <= hit_rows
+    if small:
+        sent = _sent(hits)
+    else:  # equal pages of a host have equal runs, so they share a name
+        plain = plain.withColumn("name", F.sha2(F.concat_ws("\n", "host", F.coalesce("html", F.lit(""))), 256))
 
-    def texts(rows: pd.DataFrame) -> pd.DataFrame:
-        found = main_texts([blocks(h) for h in rows["html"]], run, least)
-        return pd.DataFrame({"page_id": rows["page_id"], "url": rows["url"], "text": found, "n_chars": [len(t) for t in found]})
+        def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = _TokenPrints()
+            for batch in batches:
+                for name, prints in zip(batch["name"].to_pylist(), _open_runs(_rows(batch), run, known)):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(prints), pa.string()), pa.array(prints, pa.int64())], ["name", "print"])
 
-    return dealt.groupBy("host", "part").applyInPandas(texts, f"page_id {kind}, url string, text string, n_chars long")
+        own = plain.select("name", "host", "html").mapInArrow(named, "name string, print long").join(hits, "print").groupBy("name").agg(F.collect_set("print").alias("hits"))
+        plain = plain.join(own, "name", "left").drop("name")
 
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, everywhere = _TokenPrints(), sent.value if small else None
+        for batch in batches:
+            out = []
+            for k, (host, page) in enumerate(_rows(batch)):
+                found = blocks(page)
+                if any(role == OPEN for role, _ in found):
+                    stream, span = _stream(found)
+                    among = everywhere if small else np.sort(np.array(batch["hits"][k].as_py() or [], np.int64))
+                    prints = run_prints(stream, host, run, known) if len(among) else among
+                    starts = np.flatnonzero(_among(prints, among))
+                    marks = np.zeros(len(stream) + 1, np.int64)
+                    marks[starts] += 1
+                    marks[starts + run] -= 1
+                    out.append(_kept(found, stream, span, np.cumsum(marks[:-1]) > 0))
+                else:
+                    out.append("\n".join(text for role, text in found if role == CONTENT))
+            yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    return plain.mapInArrow(texts, f"page_id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")

@@ -119,6 +119,24 @@ def test_boilerplate_of_a_host_goes_and_unique_runs_stay(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_runs_are_counted_over_a_whole_host(spark):
+    rng = random.Random(15)
+    lines = {n: f"line {n} " + prose(rng, 12) for n in (2, 3, 40)}
+    rows = [[f"<body><p>{' '.join(str(rng.random()) for _ in range(12))}</p>"] for _ in range(800)]
+    for n, line in lines.items():
+        for k, row in enumerate(rng.sample(rows, n)):
+            row.append(f"<{'article' if k == 1 else 'div'}>{line} {k}")
+    rows = [(k, "https://one.example/", "".join(row)) for k, row in enumerate(rows)]
+    whole = html_text.main_texts([html_text.blocks(h) for *_, h in rows])
+    assert sum(lines[3] in t for t in whole) == 1 and sum(lines[2] in t for t in whole) == 2
+    other = [(k + 1000, "https://two.example/", h) for k, _, h in rows if lines[2] in h]
+    pages = spark.createDataFrame(rows + other, "page_id long, url string, html string").repartition(7)
+    for more in ({}, {"hit_rows": 0}):
+        got = {r.page_id: r.text for r in html_text.extract(pages, **more).collect()}
+        assert [got[k] for k in range(len(rows))] == whole
+        assert all(lines[2] in got[k] for k, *_ in other)
+
+
 def brute_fill(sizes, weights, budget, cap):
     target, open_ = {s: 0.0 for s in sizes}, set(sizes)
     while open_:
