@@ -48,8 +48,8 @@ LABEL_ROWS = 2_000_000
 SILENT = 3.0
 #: Labelled rows, about, on which the logistic curve is fitted.
 CURVE_ROWS = 20_000
-#: Letters of the word before that make a context, and contexts that a task holds before it passes them on.
-_BEFORE, _HELD = 4, 150_000
+#: Contexts that a task holds before it passes them on.
+_HELD = 150_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
 
@@ -66,7 +66,7 @@ def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: set[tuple[str, str]] = set()
             for text in texts:
                 own = openings(text)
-                seen.update(zip(own, ["^", *[o[:_BEFORE] for o in own]]))
+                seen.update(zip(own, ["^", *own]))
                 if len(seen) > _HELD:
                     yield pd.DataFrame([(toxic, *k) for k in seen], columns=names)
                     seen.clear()

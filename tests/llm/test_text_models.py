@@ -137,6 +137,11 @@ def test_toxicity_on_held_out_rows(spark):
         assert all(r.score < 0.5 for r in toxicity.score(odd, labelled, ["doc_id"]).collect())
 
 
+def test_contexts_are_whole_openings(spark):
+    train = spark.createDataFrame([("alphabet vile alphas vile alpha vile", 1)], "text string, toxic int")
+    assert {r.opening: r.toxic for r in toxicity.opening_counts(train).collect()}["vile$"] == 3
+
+
 def test_scores_depend_on_text_alone(spark):
     rows = toxic_rows(random.Random(9), 200)
     train = spark.createDataFrame([(t, x) for _, t, x in rows], "text string, toxic int")
