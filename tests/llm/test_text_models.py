@@ -1,10 +1,12 @@
 import json
+import math
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from helpers import clashing, documents, prose
 
 from quarry.llm import langid, packing, tokens, toxicity
@@ -137,9 +139,61 @@ def test_toxicity_on_held_out_rows(spark):
         assert all(r.score < 0.5 for r in toxicity.score(odd, labelled, ["doc_id"]).collect())
 
 
-def test_contexts_are_whole_openings(spark):
-    train = spark.createDataFrame([("alphabet vile alphas vile alpha vile", 1)], "text string, toxic int")
-    assert {r.opening: r.toxic for r in toxicity.opening_counts(train).collect()}["vile$"] == 3
+def test_contexts_are_whole_words(spark):
+    train = spark.createDataFrame([("alphabet vile alphabets vile alphabetic vile assessment assessor", 1)], "text string, toxic int")
+    assert {r.word: r.toxic for r in toxicity.word_counts(train).collect()} == {"vile": 3, "alphabet": 1, "alphabets": 1, "alphabetic": 1, "assessment": 1, "assessor": 1}
+
+
+def brute_differences(labelled, texts):
+    """The two Kneser-Ney models written out, over plain dictionaries."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    words = lambda t: regex.findall(r"[\p{L}\p{M}\p{N}]+", (t or "").lower())
+    cuts = lambda w: [f"^{w}$"[: k + 1][-order:] for k in range(1, len(w) + 2)]
+    n = [{}, {}]
+    for x in (0, 1):
+        for _, word in {(a, b) for t, y in labelled if y == x for a, b in zip(["^", *words(t)], words(t))}:
+            for g in cuts(word):
+                n[x][g] = n[x].get(g, 0) + 1
+    every = {g: n[0].get(g, 0) + n[1].get(g, 0) for g in {*n[0], *n[1]}}
+    total = lambda c, h: sum(v for g, v in c.items() if g[:-1] == h)
+    kinds = lambda c, h: sum(g[:-1] == h for g in c)
+    p2 = lambda g: sum(o[-2:] == g[-2:] for o in every) / sum(o[-2] == g[-2] for o in every)
+
+    def smooth(c, g, below):
+        return (max(c.get(g, 0) - d, 0) + d * kinds(c, g[:-1]) * below) / total(c, g[:-1])
+
+    def step(g):
+        h = g[:-1]
+        o, t = total(n[0], h), total(n[1], h)
+        if not o or not t or g not in every:
+            return 0.0
+        expected = every[g] * t / (o + t)
+        if abs(n[1].get(g, 0) - expected) <= toxicity.APART * math.sqrt(expected * o / (o + t)):
+            return 0.0
+        p = smooth(every, g, p2(g))
+        return math.log(smooth(n[1], g, p) / smooth(n[0], g, p))
+
+    known, out = {}, []
+    for t in texts:
+        own = words(t)
+        for w in {*own}:
+            if w not in known:
+                known[w] = sum(map(step, cuts(w)))
+        middle = float(np.clip(np.median([known[w] for w in {*own}]), -toxicity.SHIFT, toxicity.SHIFT)) if own else 0.0
+        out.append(sum(known[w] - middle for w in own) / (len(own) + toxicity.NEUTRAL))
+    return out
+
+
+def test_toxicity_is_brute_force(spark):
+    rng = random.Random(23)
+    labelled = [(t, x) for _, t, x in toxic_rows(rng, 60)] + [("vilest assessors assess", 1)] * 30 + [("assessments of alphabets", 0)] * 30
+    texts = [t for _, t, _ in toxic_rows(rng, 46)] + [None, "", "vilest", "assessors " * 50 + "vilezzz"]
+    table = toxicity.step_table(toxicity.word_counts(spark.createDataFrame(labelled, "text string, toxic int")))
+    want, some = brute_differences(labelled, texts), documents(spark, texts)
+    assert any(abs(x) > 0.1 for x in want)
+    for rows in (toxicity.TABLE_ROWS, 0):
+        got = {r.doc_id: r["__quarry_x"] for r in toxicity.text_differences(some, table, ["doc_id"], rows).collect()}
+        assert all(abs(got[k] - x) < 1e-9 for k, x in enumerate(want))
 
 
 def test_scores_depend_on_text_alone(spark):
