@@ -102,11 +102,78 @@ def test_language_by_words_then_grams(spark):
     assert all(0 <= r.score <= 1 for r in got) and got[3].score == 0
     nothing = langid.fit(docs.limit(0))
     assert {r.lang_pred for r in langid.predict(docs, nothing).collect()} == {"und"}
-    bounded = langid.fit(docs, words=2, grams=30)
-    assert len(bounded.words) <= 2 * 3 and len(bounded.grams) <= 30 * 3
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def brute_languages(labelled, texts):
+    """The model written out over plain dictionaries; every labelled row counts."""
+    words = lambda t: [r[k : k + 64] for r in regex.findall(r"\p{L}+", (t or "").lower()) for k in range(0, len(r), 64)]
+    grams = lambda w: [f"^{w}$"[a : a + o] for o in langid.ORDERS for a in range(len(w) + 3 - o)]
+    n = {"word": {}, "gram": {}}
+    for text, lang in labelled:
+        for w in words(text):
+            for kind, item in [("word", w), *(("gram", g) for g in grams(w))]:
+                own = n[kind].setdefault(lang, {})
+                own[item] = own.get(item, 0) + 1
+    languages = sorted(n["word"])
+
+    def log(kind, item, lang):
+        every = sum(sum(c.values()) for c in n[kind].values())
+        q = sum(c.get(item, 0) for c in n[kind].values()) / every
+        return math.log((n[kind][lang].get(item, 0) + langid.PRIOR * q) / (sum(n[kind][lang].values()) + langid.PRIOR)) if q else None
+
+    def value(w, lang):
+        if (known := log("word", w, lang)) is not None:
+            return known
+        marked, found = f"^{w}$", []
+        for a in range(len(marked)):
+            found += [x for o in langid.ORDERS if a + o <= len(marked) and (x := log("gram", marked[a : a + o], lang)) is not None][:1]
+        return sum(found) / len(found) if found else 0.0
+
+    out = []
+    for t in texts:
+        own = words(t)
+        if not own or not languages:
+            out.append(("und", 0.0))
+            continue
+        m = [sum(value(w, lang) for w in own) / len(own) * min(len(own), 50) for lang in languages]
+        best = m.index(max(m))
+        out.append((languages[best], 1 / sum(math.exp(x - m[best]) for x in m)))
+    return out
+
+
+def test_language_is_brute_force(spark):
+    rng = random.Random(31)
+    labelled = [(" ".join(rng.choices(words.split(), k=rng.choice([1, 5, 9]))), lang) for lang, words in LANGS.items() for _ in range(12)]
+    labelled += [("12 34", "no letters"), (None, "null"), ("kala kissa koira", "few"), ("kala meri", "few"), ("x" * 150, "few")]
+    texts = [*(t for t, _ in labelled), "kissat merellä", "straßenlorem über", "日本語 lorem", "ÉLÈVES " * 60, "x" * 200, None, "", "!!", "lorem dolor zwei"]
+    train = documents(spark, [(None if k % 2 else k, t) for k, (t, _) in enumerate(labelled)], lang=[lang for _, lang in labelled])
+    model, want = langid.fit(train), brute_languages(labelled, texts)
+    assert model.languages == ["aa", "bb", "cc", "few"]
+    for most in (langid.ITEMS, 0):
+        got = langid.predict(clashing(documents(spark, texts), "row", "word", "logs", "n"), model, most_items=most).orderBy("doc_id").collect()
+        for r, (lang, score) in zip(got, want, strict=True):
+            assert r.lang_pred == lang and abs(r.score - score) < 1e-9, texts[r.doc_id]
+
+
+def test_small_and_empty_languages_are_not_favoured(spark):
+    rng = random.Random(32)
+    letters = "abcdefghijklmnop"
+    made = lambda vowel: "".join(rng.choice(letters) + vowel for _ in range(3))
+    large = [" ".join(made(rng.choice("aeo")) for _ in range(8)) for _ in range(1500)]
+    rows = [(t, "large") for t in large] + [("tyrymy lyky", "small")] * 3 + [("12 34", "none")] * 2
+    docs = documents(spark, [(None, t) for t, _ in rows], lang=[lang for _, lang in rows])
+    model = langid.fit(docs)
+    assert model.languages == ["large", "small"]
+    unknown = [" ".join(made(rng.choice("aeo")) for _ in range(8)) for _ in range(50)]
+    got = langid.predict(documents(spark, [*large[:50], *unknown, "lyky tyrymy", "tyrykylyky"]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["large"] * 100 + ["small"] * 2
+    some = langid.fit(docs, rows_per_language=100)
+    assert some.languages == ["large", "small"]
+    rows = some.items.filter("kind = 'word'").count()
+    assert 0 < rows < model.items.filter("kind = 'word'").count() / 4
+
+
 def toxic_rows(rng, n, share=0.3):
     out = []
     for k in range(n):
