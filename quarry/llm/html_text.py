@@ -4,7 +4,11 @@ A page is read once into blocks in page order.  A block is the text between bloc
 boundaries, with character references decoded and white space made one space; it has a
 role by the elements it stands in: ``content`` (article or main), ``chrome`` (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments) or ``open``, where
-structure does not tell.
+structure does not tell.  Tags are read as the HTML standard reads them, in time that is
+linear in the page; a comment, script or style that never ends hides the rest, as it does
+there, other elements whose text is not shown only up to an end tag of theirs.  Tags are read as the HTML standard reads them, in time that is
+linear in the page; a comment, script or style that never ends hides the rest, as it does
+there, other elements whose text is not shown only up to an end tag of theirs.
 
 For each host the token streams of its pages, all blocks and roles, are concatenated and
 sorted as a suffix array (prefix doubling up to ``RUN`` tokens).  A run of ``RUN`` tokens
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,103 +48,205 @@ _HELD, _TOKENS = 400_000, 300_000
 CONTENT, OPEN, CHROME = 2, 1, 0
 
 # Element names of the HTML standard by what they mean here.
-_SKIPPED = {"script", "style", "template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "textarea", "select", "button", "title", "head"}
+_SKIPPED = {"template", "noscript", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "button"}
 _RAW = {"script", "style", "textarea", "title"}
 _CHROME = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 _CONTENT = {"article", "main"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "picture", "q", "rp", "rt", "ruby", "s", "samp", "small", "source", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "!doctype"}
-_CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|side-?bar|aside|widget|related|recommend\w*"
-    r"|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscri\w*|sign-?up|login|search|share|social|comments?|disqus|repl(?:y|ies)|pagination|pager|toolbar|skip)(?=$|[\s_-])"
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_P_ENDS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "div", "table", "pre", "blockquote", "section", "article", "main", "header", "footer", "nav", "aside", "form", "figure", "address", "fieldset", "hr", "details"}
+# Words of class and id names.  A name counts when all its words are of these and one is of the first
+# two sets; the second set counts outside an article only.
+_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets related recommended"
+    " recommendations cookie cookies consent gdpr popup newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies respond pagination pager toolbar".split()
 )
+_OUTSIDE = frozenset("header masthead footer aside banner notice notices alert alerts modal overlay search skip copyright legal".split())
+_PLACES = frozenset("site main top bottom left right primary secondary global inner outer box bar block list links link container wrapper wrap area section panel buttons button form more posts items item message policy thread the".split())
 _CHROME_ROLE = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu\w*")
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z!][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<\?[^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_P_ENDS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "dl", "div", "table", "pre", "blockquote", "section", "article", "main", "header", "footer", "nav", "aside", "form", "figure", "address", "fieldset", "hr", "details"}
-
-
-def _is_chrome(name: str, attributes: str) -> bool:
-    if not attributes:
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key == "role" and _CHROME_ROLE.fullmatch(value.strip()):
-            return True
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and _CHROME_NAME.search(value):
+_ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|(?=[\s/]|$))""", re.I)
+#: A tag: quotes count only as values of attributes.  Possessive, so that it never goes back.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+
+
+def _named(value: str, inside: bool) -> bool:
+    """Whether a class or id value has a name that stands for something other than the article."""
+    for name in value.split():
+        words = [w for w in re.split(r"[-_]+", name) if w]
+        strong = any(w in _NAMES or (not inside and w in _OUTSIDE) for w in words)
+        if strong and all(w in _NAMES or w in _OUTSIDE or w in _PLACES for w in words):
             return True
     return False
 
 
+def _kind(name: str, attributes: str, inside: bool) -> str:
+    """What an element says of its text: ``content``, ``chrome`` (by element, role or hidden), ``named`` (by class or id) or nothing."""
+    found = [(key.lower(), "".join(values).lower()) for key, *values in _ATTRIBUTE.findall(attributes)] if attributes else []
+    if any(key == "hidden" or (key == "role" and _CHROME_ROLE.fullmatch(value.strip())) for key, value in found):
+        return "chrome"
+    if name in _CHROME and not (name == "header" and inside):
+        return "chrome"
+    if name not in ("body", "html", "main") and any(_named(value, inside) for key, value in found if key in ("class", "id")):
+        return "named"
+    return "content" if name in _CONTENT else ""
+
+
+class _Scanner:
+    """Finds tags from left to right, each character once or a bounded number of times."""
+
+    def __init__(self, page: str):
+        self.page, self.quoted, self.last, self.nested = page, True, {}, {}
+
+    def tag(self, at: int) -> tuple[int, str, str, str] | None:
+        """(end, slash, name, attributes) of the tag at ``at``; None if it never ends.
+
+        Once a quote turns out not to close, the page's tags end at their first ``>``.
+        """
+        if self.quoted:
+            if m := _TAG.match(self.page, at):
+                return m.end(), m[1], m[2].lower(), m[3]
+            self.quoted = False
+        end = self.page.find(">", at)
+        if end < 0:
+            return None
+        name = _NAME.match(self.page, at)
+        return end + 1, "/" if self.page[at + 1] == "/" else "", name[1].lower(), self.page[name.end() : end]
+
+    def _closing(self, name: str) -> re.Pattern:
+        return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*+>", re.I)
+
+    def after(self, name: str, at: int) -> int | None:
+        """Where the element ``name`` that opened before ``at`` has ended; None if no end tag follows."""
+        closing = self._closing(name)
+        if name not in self.last:
+            self.last[name] = max((m.start() for m in closing.finditer(self.page, at) if m[1]), default=-1)
+        if at > self.last[name]:
+            return None
+        depth, first = 1, None
+        for m in closing.finditer(self.page, at):
+            if m[1]:
+                first = first or m.end()
+                depth -= 1
+                if not depth or name in _RAW or name in self.nested:
+                    return m.end()
+            elif not m[0].endswith("/>"):
+                depth += 1
+        self.nested[name] = True  # ends do not balance: from here on the first one counts
+        return first
+
+
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(role, text) of each non-empty block of a page, in page order."""
+    """(role, text) of each non-empty block of a page, in page order.
+
+    An element named as chrome by class or id alone is not believed if it holds the page's
+    first article or main, or, on a page without one, most of the text.
+    """
     page = page or ""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # open elements that change the role, and the role outside them
-    role, skipping, parts, at = OPEN, "", [], 0
+    scan, at, parts = _Scanner(page), 0, []
+    out: list[tuple[int, str]] = []  # (region, text)
+    regions: list[list] = [[-1, "", False, False]]  # (region around it, kind, in content, in chrome)
+    stack: list[tuple[str, int]] = []  # open elements with a region of their own, and the region outside them
+    region, seen_article = 0, False
 
     def close() -> None:
         if parts:
             if text := " ".join(html.unescape("".join(parts)).split()):
-                out.append((role, text))
+                out.append((region, text))
             parts.clear()
 
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
+    open_ = Counter()
+    while at < len(page):
+        start = page.find("<", at)
+        if start < 0:
+            parts.append(page[at:])
+            break
+        if start > at:
+            parts.append(page[at:start])
+        after = page[start + 1 : start + 3]
+        if after[:1] in ("!", "?"):
+            comment = page.startswith("<!--", start)
+            end = start + 5 if comment and page.startswith(("<!-->",), start) else page.find("-->" if comment else ">", start + (4 if comment else 1))
+            at = len(page) if end < 0 else end if comment and page[start : start + 5] == "<!-->" else end + (3 if comment else 1)
             continue
-        if not skipping and m.start() > at:
-            parts.append(page[at : m.start()])
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
+        letter = after[1:] if after[:1] == "/" else after[:1]
+        if not (letter.isascii() and letter.isalpha()):  # a sign of its own, or an end tag without a name
+            if after[:1] == "/" and letter:
+                end = page.find(">", start)
+                at = len(page) if end < 0 else end + 1
+            else:
+                parts.append("<")
+                at = start + 1
             continue
-        if skipping:
-            if m[1] and name == skipping:
-                skipping = ""
-            continue
-        if m[1]:
-            if any(n == name for n, _ in stack):
+        found = scan.tag(start)
+        if found is None:  # the page ends inside a tag
+            break
+        at, slash, name, attributes = found
+        if slash:
+            if open_[name]:
                 close()
                 while stack:
-                    n, role = stack.pop()
+                    n, region = stack.pop()
+                    open_[n] -= 1
                     if n == name:
                         break
             elif name not in _INLINE:
                 close()
             continue
-        if name in _SKIPPED:
+        if name in _RAW or name in _SKIPPED:
             if name not in _INLINE:
                 close()
-            if name in _RAW:  # up to its own end tag, whatever stands between
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif name != "head" and not m[3].endswith("/"):
-                skipping = name
+            if not attributes.endswith("/") or name in _RAW:
+                end = scan.after(name, at)
+                at = end if end is not None else len(page) if name in ("script", "style") else at
             continue
         if name == "br":
             parts.append(" ")
-        if name not in _INLINE:
-            close()
-        if name in _VOID or m[3].endswith("/"):
+        if name in _INLINE:
+            continue
+        close()
+        if name in _VOID or attributes.endswith("/"):
             continue
-        if name in _P_ENDS:  # an open p with a role of its own ends here
+        if name in _P_ENDS:  # an open p with a region of its own ends here
             while stack and stack[-1][0] == "p":
-                role = stack.pop()[1]
-        inner = role
-        if name in _CONTENT and role != CHROME:
-            inner = CONTENT
-        elif (name in _CHROME and not (name == "header" and role == CONTENT)) or _is_chrome(name, m[3]):
-            inner = CHROME
-        if inner != role or any(n == name for n, _ in stack):
-            if inner != role:
-                close()
-            stack.append((name, role))
-            role = inner
-    if not skipping and at < len(page):
-        parts.append(page[at:])
+                region = stack.pop()[1]
+                open_["p"] -= 1
+        *_, inside, hidden = regions[region]
+        kind = _kind(name, attributes, inside)
+        if kind == "content" and not hidden and not seen_article:
+            seen_article, outer = True, region
+            while outer >= 0:
+                if regions[outer][1] == "named":
+                    regions[outer][1] = ""
+                outer = regions[outer][0]
+        if kind or open_[name]:
+            stack.append((name, region))
+            open_[name] += 1
+            if kind:
+                regions.append([region, kind, inside or kind == "content", hidden or kind == "chrome"])
+                region = len(regions) - 1
     close()
-    return out
+    return _roles(out, regions, seen_article)
+
+
+def _roles(found: list[tuple[int, str]], regions: list[list], seen_article: bool) -> list[tuple[int, str]]:
+    """Blocks with the roles that their regions give them."""
+    if not seen_article:
+        held = [0] * len(regions)
+        for region, text in found:
+            held[region] += len(text)
+        for k in range(len(regions) - 1, 0, -1):  # a region stands after the one around it
+            held[regions[k][0]] += held[k]
+        for k in range(1, len(regions)):
+            if regions[k][1] == "named" and 2 * held[k] > held[0]:
+                regions[k][1] = ""
+    roles = [OPEN]
+    for outer, kind, *_ in regions[1:]:
+        role = roles[outer]
+        if role != CHROME and kind:
+            role = CONTENT if kind == "content" else CHROME
+        roles.append(role)
+    return [(roles[region], text) for region, text in found]
 
 
 def covered(pages: list[list[str]], run: int = RUN, least: int = PAGES) -> list[np.ndarray]:
@@ -155,7 +262,7 @@ def covered(pages: list[list[str]], run: int = RUN, least: int = PAGES) -> list[
     while width < run:  # rank of each suffix by its first `width` tokens, doubled; a page's end is rank 0
         step = min(width, run - width)
         ahead = np.zeros(total, np.int64)
-        ahead[: total - step] = rank[step:]
+        ahead[: max(0, total - step)] = rank[step:]
         ahead[np.arange(total) + step >= ends] = 0
         _, rank = np.unique(rank * (total + 2) + ahead, return_inverse=True)
         rank, width = rank.astype(np.int64) + 1, width + step

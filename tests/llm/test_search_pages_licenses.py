@@ -1,8 +1,11 @@
 import math
 import random
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
+import pytest
 from helpers import clashing, documents, prose
 from pyspark.sql import functions as F
 
@@ -88,11 +91,14 @@ def test_page_text():
 
 
 def brute_covered(pages, run, least):
-    out = []
+    out, where = [], {}
+    for n, page in enumerate(pages):
+        for k in range(len(page) - run + 1):
+            where.setdefault(tuple(page[k : k + run]), set()).add(n)
     for page in pages:
         hit = [False] * len(page)
         for k in range(len(page) - run + 1):
-            if sum(any(p[j : j + run] == page[k : k + run] for j in range(len(p) - run + 1)) for p in pages) >= least:
+            if len(where[tuple(page[k : k + run])]) >= least:
                 hit[k : k + run] = [True] * run
         out.append(hit)
     return out
@@ -137,6 +143,148 @@ def test_runs_are_counted_over_a_whole_host(spark):
         assert all(lines[2] in got[k] for k, *_ in other)
 
 
+class Tree(HTMLParser):
+    """The elements of a well-formed page as nested lists [name, attributes, children]."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.open = [["", {}, []]]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, name, attributes):
+        node = [name, dict(attributes), []]
+        self.open[-1][2].append(node)
+        if name != "br":
+            self.open.append(node)
+
+    def handle_endtag(self, name):
+        self.open.pop()
+
+    def handle_data(self, text):
+        self.open[-1][2].append(text)
+
+
+CHROME_CLASSES, OTHER_CLASSES = ("ad", "cookie-notice", "site_nav", "related-posts", "sidebar"), ("has-sidebar", "story", "lead-text", "admin")
+
+
+def brute_roles(page):
+    """(role, text) of a page's blocks, by walking its tree."""
+    root, found, spot = Tree(page).open[0], [], {}
+
+    def first_article(node, above):
+        for child in node[2]:
+            if isinstance(child, list) and child[0] not in ("nav", "aside", "footer", "script"):
+                if child[0] in ("article", "main"):
+                    return [*above, child]
+                if hit := first_article(child, [*above, child]):
+                    return hit
+        return None
+
+    holders = [id(n) for n in first_article(root, []) or []]
+    total = lambda n: sum(len(" ".join(c.split())) if isinstance(c, str) else total(c) for c in n[2] if c[0] != "script")
+
+    def walk(node, role, block):
+        for child in node[2]:
+            if isinstance(child, str):
+                spot.setdefault((block[0], id(node) if node[0] not in ("b", "br", "a") else block[1]), [role, []])[1].append(child)
+                continue
+            name, attributes, _ = child
+            if name == "script":
+                block[0] += 1
+            elif name == "br":
+                spot.setdefault((block[0], block[1]), [role, []])[1].append(" ")
+            elif name in ("b", "a"):
+                walk(child, role, block)
+            else:
+                inner = role
+                if role != html_text.CHROME:
+                    if name in ("nav", "aside", "footer") or (attributes.get("class") in CHROME_CLASSES and id(child) not in holders):
+                        inner = html_text.CHROME
+                    elif name in ("article", "main"):
+                        inner = html_text.CONTENT
+                block[0], outer = block[0] + 1, block[1]
+                block[1] = id(child)
+                walk(child, inner, block)
+                block[0], block[1] = block[0] + 1, outer
+
+    walk(root, html_text.OPEN, [0, id(root)])
+    for role, texts in spot.values():
+        if text := " ".join("".join(texts).split()):
+            found.append((role, text))
+    return found
+
+
+def random_page(rng, shared):
+    def inside(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 4)):
+            kind = rng.random()
+            if kind < 0.4 or depth > 3:
+                out += f"<p>{prose(rng, rng.choice([2, 9]))} <b>x &amp; y</b>{rng.choice(shared) if rng.random() < 0.5 else ''}<br>end</p>"
+            elif kind < 0.5:
+                out += rng.choice(["<!-- <p>no -->", "<script>if (a<b) '</p><!--'</script>", "plain &lt;text&gt;"])
+            else:
+                name = rng.choice(["div", "section", "nav", "aside", "footer", "div", "ul"])
+                named = f' class="{rng.choice(CHROME_CLASSES + OTHER_CLASSES)}"' if rng.random() < 0.3 else rng.choice(["", " title=don't", " data-x"])
+                out += f"<{name}{named}>{inside(depth + 1)}</{name}>"
+        return out
+
+    # an article with text enough that no class around it holds most of a page without one
+    return f"<html><body>{inside(0)}<div{rng.choice(['', ' class=sidebar'])}><article><h1>{prose(rng, 4)}</h1>{inside(1)}</article></div>{inside(0)}</body></html>"
+
+
+def test_extraction_is_brute_force(spark):
+    rng = random.Random(41)
+    shared = [prose(rng, 12) for _ in range(6)]
+    rows = [(k, f"https://{'big' if k % 4 else 'small'}.example/{k}", random_page(rng, shared)) for k in range(200)]
+    roles = {k: brute_roles(h) for k, _, h in rows}
+    for k, _, h in rows:
+        assert html_text.blocks(h) == roles[k], h
+    want, off = {}, {}
+    for host in (0, 1):
+        own = [k for k, *_ in rows if bool(k % 4) == bool(host)]
+        streams = [html_text._stream(roles[k]) for k in own]
+        hits = brute_covered([s for s, _ in streams], html_text.RUN, html_text.PAGES)
+        for k, (stream, span), hit in zip(own, streams, hits):
+            want[k] = html_text._kept(roles[k], stream, span, np.array(hit))
+            off[k] = html_text._kept(roles[k], stream, span, np.zeros(len(stream), bool))
+    assert sum(want[k] != off[k] for k in want) > 50  # the array decides
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 3, 16):
+        assert {r.page_id: r.text for r in html_text.extract(pages.repartition(n)).collect()} == want
+
+
+FAULTY = [
+    ('<div class="content has-sidebar"><p>Main text', "Main text"),
+    ('<main><p class="alert">Mind the step</p></main>', "Mind the step"),
+    ("<script>x='<!--'</script><article><p>Main text here</p></article></body>", "Main text here"),
+    ("<article><p title=don't>One</p><p>Two</p></article>", "One\nTwo"),
+    ('<article><p title="open>One</p><p>Two</p></article>', "One\nTwo"),
+    ("<article><select><p>Text</article>", "Text"),
+    ("<article><iframe><p>Text</article>", "Text"),
+    ("<article><noscript><p>Text</article>", "Text"),
+    ("<article>1 < 2 <3 & 4</article>", "1 < 2 <3 & 4"),
+    ('<article>A<section id="comments"><article class="comment">B</article></section>C</article>', "A\nC"),
+    ('<article>A</article><section id="comments"><article>B</article></section>', "A"),
+    ("<article><svg><svg></svg>x</svg>A<textarea>x</textarea>B<title>C</article>", "A\nB\nC"),
+]
+
+
+@pytest.mark.parametrize("page, text", FAULTY)
+def test_faulty_pages(page, text):
+    assert html_text.main_texts([html_text.blocks(page)]) == [text]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<svg>", "<svg><svg></svg>", "<title>", "<", "<p x='>", '<a b="<a>" c=\'', "<div hidden>", "<b><i>", "&", "</", "<!--", "<select>"])
+def test_reading_a_page_is_linear(part):
+    began = time.time()
+    html_text.blocks(part * (5_000_000 // len(part) // 5))
+    small = time.time() - began
+    html_text.blocks(part * (5_000_000 // len(part)))
+    assert time.time() - began - small < max(5.0, 12 * small)
+
+
 def brute_fill(sizes, weights, budget, cap):
     target, open_ = {s: 0.0 for s in sizes}, set(sizes)
     while open_:
