@@ -26,6 +26,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,13 +66,20 @@ class Fitted(NamedTuple):
 class Model:
     """Word and n-gram log frequencies in memory, a row an item and a column a language."""
 
-    def __init__(self, languages: list[str], words: dict[str, int], grams: dict[str, int], word_logs: np.ndarray, gram_logs: np.ndarray):
-        self.languages, self.words, self.grams, self.word_logs, self.gram_logs = languages, words, grams, word_logs, gram_logs
+    def __init__(self, languages: list[str], table: pa.Table | None = None):
+        """From rows ``kind, item`` and a column of logs a language."""
+        self.languages, none = languages, np.zeros((0, len(languages)))
+        self.words, self.grams, self.word_logs, self.gram_logs = {}, {}, none, none
+        for kind in ("word", "gram") if table is not None else ():
+            part = table.filter(pc.equal(table["kind"], kind))
+            items = {item: k for k, item in enumerate(part["item"].to_pylist())}
+            logs = np.column_stack([part[f"l{k}"].to_numpy() for k in range(len(languages))])
+            if kind == "word":
+                self.words, self.word_logs = items, logs
+            else:
+                self.grams, self.gram_logs = items, logs
         self._forget()
 
-    def __reduce__(self):
-        return Model, (self.languages, self.words, self.grams, self.word_logs, self.gram_logs)
-
     def _forget(self) -> None:
         """Start the memory of unseen words anew: their rows follow those of the known words."""
         self.met: dict[str, int] = {}
@@ -163,15 +172,11 @@ def _by_language(share: dict[str, float]) -> Column:
     return F.element_at(F.create_map(*pairs), F.col("lang"))
 
 
-def held(model: Fitted) -> Model:
-    """The model in memory; its rows have been counted before."""
+def held(model: Fitted) -> pa.Table | None:
+    """The model's rows, which have been counted before, as one Arrow table: kind, item and a column of logs a language."""
     if model.items is None:
-        return Model([], {}, {}, np.zeros((0, 0)), np.zeros((0, 0)))
-    table, out = model.items.toPandas(), {}
-    for kind in ("word", "gram"):
-        part = table[table["kind"] == kind]
-        out[kind] = {item: k for k, item in enumerate(part["item"])}, np.stack(part["logs"].to_list())
-    return Model(model.languages, out["word"][0], out["gram"][0], out["word"][1], out["gram"][1])
+        return None
+    return model.items.select("kind", "item", *[F.col("logs")[k].alias(f"l{k}") for k in range(len(model.languages))]).toArrow()
 
 
 def predict(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text", most_items: int = ITEMS) -> DataFrame:
@@ -186,10 +191,10 @@ def predict(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: st
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if model.items is not None and model.items.count() > most_items:
         return _by_join(plain, model)
-    sent = docs.sparkSession.sparkContext.broadcast(held(model))
+    languages, sent = model.languages, docs.sparkSession.sparkContext.broadcast(held(model))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = sent.value
+        known = Model(languages, sent.value)
         for batch in batches:
             found = [known.predict(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]})
