@@ -11,11 +11,13 @@ import contextlib
 import struct
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import islice, repeat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry import schemas
 
@@ -27,6 +29,8 @@ TEXT = {"tx3g", "wvtt", "stpp"}
 TOP_TYPES = {"ftyp", "moov", "mdat", "free", "skip", "wide", "uuid", "meta", "moof", "mfra", "sidx", "ssix", "styp", "pdin", "emsg", "prft", "udta"}
 META_CHILDREN = {b"hdlr", b"keys", b"ilst", b"free", b"mhdr"}
 MOST_DEPTH, MOST_BOXES, MOST_ENTRIES = 12, 200_000, 64
+#: Decoded rows that go on in one batch.
+_ROWS = 4096
 
 
 @dataclass
@@ -308,15 +312,19 @@ def decode_errors(files: DataFrame, decoders: dict[str, Callable[[str, bytes], I
 
 
 def per_file(files: DataFrame, decode: Callable[[str, bytes], Iterable[tuple]], schema: str, id_col: str = "video_id", content: str = "content") -> DataFrame:
-    """Rows that ``decode`` yields for each file, narrow: files stay in the partitions that read them."""
-    names = [c.split()[0] for c in schema.split(", ")]
+    """Rows that ``decode`` yields for each file, narrow: files stay in the partitions that read them.
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ident, data in zip(batch["id"], batch["data"]):
-                yield pd.DataFrame(list(_until_fault(decode, ident, bytes(data or b""))), columns=names, dtype=object)
+    Rows of several files go on together, ``_ROWS`` at a time, so neither many small files
+    nor one with many rows costs a batch a file or a list a file.
+    """
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (row for batch in batches for k in range(batch.num_rows) for row in _until_fault(decode, batch["id"][k].as_py(), batch["data"][k].as_py() or b""))
+        while some := list(islice(found, _ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(zip(*some), made)], schema=made)
 
-    return files.select(F.col(id_col).alias("id"), F.col(content).alias("data")).mapInPandas(rows, schema)
+    return files.select(F.col(id_col).alias("id"), F.col(content).cast("binary").alias("data")).mapInArrow(rows, schema)
 
 
 def box_rows(video: str, data: bytes) -> Iterator[tuple]:

@@ -119,7 +119,7 @@ def hexdump(data: Column, base: Column, most: int = 256) -> Column:
 def image_kind(payload: Column) -> Column:
     from quarry.functions.rules import IMAGE_KINDS
 
-    head, out = F.lower(F.hex(F.substring(payload, 1, 8))), F.lit(None).cast("string")
+    head, out = F.substring(payload, 1, 8), F.lit(None).cast("string")
     for prefix, name, _ in reversed(IMAGE_KINDS):
-        out = F.when(F.startswith(head, F.lit(prefix)), name).otherwise(out)
+        out = F.when(F.startswith(head, F.lit(bytearray(prefix))), name).otherwise(out)
     return out

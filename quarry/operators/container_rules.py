@@ -200,9 +200,9 @@ def signatures(data: bytes, most: int = 8) -> list[tuple[str, int, bool]]:
     """(code, offset, valid) of embedded signatures, in order of offset."""
     out = []
     for code, magic, pad in rules.MAGICS:
-        at, raw = -1, bytes.fromhex(magic)
+        at = -1
         for _ in range(most):
-            at = data.find(raw, at + 1)
+            at = data.find(magic, at + 1)
             if at < 0:
                 break
             start = at - pad if at >= pad else at
@@ -220,7 +220,7 @@ def _valid(code: str, d: bytes) -> bool:
         "zip_empty": lambda: len(d) >= 22 and u16(8) == u16(10),
         "gzip": lambda: len(d) > 9 and d[3] < 32,
         "pdf": lambda: d[:7] == b"%PDF-1.",
-        "sqlite": lambda: len(d) >= 100 and u16(16) in (1, *[2**k for k in range(8)]),
+        "sqlite": lambda: len(d) >= 100 and int.from_bytes(d[16:18], "big") in (1, *[2**k for k in range(8, 16)]),  # page size; 1 stands for 65536
         "ogg": lambda: len(d) > 5 and d[4] == 0 and d[5] in (0, 2, 4, 6),
         "flac": lambda: len(d) > 4 and d[4] & 127 == 0,
         "elf": lambda: len(d) > 5 and d[4] in (1, 2) and d[5] in (1, 2),

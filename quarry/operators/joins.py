@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str, take: list[str]) -> DataFrame:
@@ -13,8 +14,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str
     shuffle and a sort, never a range join.  Right starts must be unique in a key.
     """
     carried = F.struct(*[F.col(c) for c in take])
-    asks = left.withColumns({"_at": F.col(at).cast("double"), "_side": F.lit(1)})
-    gives = right.select(*keys, F.col(start).cast("double").alias("_at"), carried.alias("_took")).withColumn("_side", F.lit(0))
+    whole = all(isinstance(df.schema[c].dataType, T.IntegralType) for df, c in ((left, at), (right, start)))
+    kind = "long" if whole else "double"  # a double holds whole numbers only up to 2 ** 53
+    asks = left.withColumns({"_at": F.col(at).cast(kind), "_side": F.lit(1)})
+    gives = right.select(*keys, F.col(start).cast(kind).alias("_at"), carried.alias("_took")).withColumn("_side", F.lit(0))
     over = Window.partitionBy(*keys).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = asks.unionByName(gives, allowMissingColumns=True).withColumn("_last", F.last("_took", ignorenulls=True).over(over))
     return both.filter("_side = 1").select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in take])

@@ -28,23 +28,24 @@ def jumps(df: DataFrame, keys: list[str], order: list[str], y: str, k: float = 6
     return stepped.join(bar, keys).withColumn("is_jump", F.coalesce(F.col("step") > F.col("bar"), F.lit(False)))
 
 
-def flashes(df: DataFrame, keys: list[str], order: list[str], y: str, k: float = 6.0, tolerance: float = 0.25, mode: str = "intended") -> DataFrame:
+def flashes(df: DataFrame, keys: list[str], order: list[str], y: str, k: float = 6.0, tolerance: float = 0.45, mode: str = "intended") -> DataFrame:
     """Jumps with ``kind``: "flash" if the value comes back at once, else "cut".
 
     ``intended``: a jump at i is a flash if value i+2 is back at value i within
-    ``tolerance`` steps, which catches a lone spike.  ``literal``: jumps at both i and
+    ``tolerance`` of the larger of steps i and i+1, which catches a lone spike.  ``literal``: jumps at both i and
     i+1 and value i+1 back at value i-1, the first taking the last value before it;
     a lone spike is then two cuts.
     """
     over = _over(keys, order)
-    marked = jumps(df, keys, order, y, k).withColumns({"two_on": F.lead(y, 2).over(over), "next_jump": F.lead("is_jump").over(over), "next": F.lead(y).over(over)})
+    marked = jumps(df, keys, order, y, k).withColumns({"two_on": F.lead(y, 2).over(over), "next_jump": F.lead("is_jump").over(over), "next": F.lead(y).over(over), "next_step": F.lead("step").over(over)})
+    within = F.lit(tolerance) * F.greatest("step", "next_step")
     if mode == "intended":
-        back = F.abs(F.col("two_on") - F.col(y)) < F.lit(tolerance) * F.col("step")
+        back = F.abs(F.col("two_on") - F.col(y)) < within
     else:
         whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         before = F.coalesce(F.lag(y).over(over), F.last(y).over(whole))
         marked = marked.withColumn("before", before)
-        back = F.coalesce(F.col("next_jump"), F.lit(False)) & (F.abs(F.col("next") - F.col("before")) < F.lit(tolerance) * F.col("step"))
+        back = F.coalesce(F.col("next_jump"), F.lit(False)) & (F.abs(F.col("next") - F.col("before")) < within)
     kind = F.when(F.coalesce(back, F.lit(False)), "flash").otherwise("cut")
     return marked.filter("is_jump").withColumn("kind", kind)
 

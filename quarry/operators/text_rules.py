@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import rules
 
+#: Rows of a rule table that become constant expressions.
+CONSTANT_RULES = 200
+
 
 def matches(text: Column, kind: str) -> Column:
     """All matches of a named pattern."""
@@ -37,11 +42,19 @@ def intelligence(df: DataFrame, keys: list[str], text: str) -> DataFrame:
 def rule_hits(df: DataFrame, keys: list[str], text: str, dimension: DataFrame, samples: int = 5) -> DataFrame:
     """``keys, code, severity, n, samples``: fingerprint rules that a text matches, whole matches as samples.
 
-    The dimension holds a few dozen rows by design; Spark broadcasts it to a nested loop.
+    The dimension holds a few dozen rows by design, which become constant expressions: a
+    text stays one row and each pattern is compiled once.  A larger one is joined.
     """
-    found = df.select(*keys, text).join(F.broadcast(dimension), F.regexp_like(F.col(text), F.col("java")))
-    all_ = F.regexp_extract_all(F.col(text), F.col("java"), F.lit(0))
-    return found.select(*keys, "code", "severity", F.size(all_).cast("long").alias("n"), F.slice(all_, 1, samples).alias("samples"))
+    few = dimension.select("code", "severity", "java").limit(CONSTANT_RULES + 1).collect()
+    if len(few) <= CONSTANT_RULES:
+        each = [F.struct(F.lit(r.code).alias("code"), F.lit(r.severity).alias("severity"), F.regexp_extract_all(F.col(text), F.lit(r.java), F.lit(0)).alias("all")) for r in few]
+        if not each:
+            each = [F.struct(F.lit("").alias("code"), F.lit("").alias("severity"), F.array().cast("array<string>").alias("all"))]
+        found = df.select(*keys, F.explode(F.array(*each)).alias("f")).filter(F.size("f.all") > 0).select(*keys, "f.*")
+    else:
+        met = df.select(*keys, text).join(dimension, F.regexp_like(F.col(text), F.col("java")))
+        found = met.select(*keys, "code", "severity", F.regexp_extract_all(F.col(text), F.col("java"), F.lit(0)).alias("all"))
+    return found.select(*keys, "code", "severity", F.size("all").cast("long").alias("n"), F.slice("all", 1, samples).alias("samples"))
 
 
 def is_hex_like(value: Column) -> Column:
@@ -56,10 +69,12 @@ def is_base64_like(value: Column) -> Column:
 
 
 def is_interesting(value: Column) -> Column:
-    found = value.rlike(rules.INTERESTING_PATH)
-    found = found | (value.rlike(rules.INTERESTING_BASE64) & value.rlike("[A-Z]") & value.rlike("[a-z]"))
-    for pattern in rules.INTERESTING:
-        found = found | value.rlike(pattern)
+    found = F.lit(False)
+    for pattern, further in rules.INTERESTING:
+        met = value.rlike(pattern)
+        for also in further:
+            met = met & value.rlike(also)
+        found = found | met
     return (F.length(value) >= 7) & found
 
 
@@ -68,15 +83,20 @@ def host(url: Column) -> Column:
 
 
 def char_entropy(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, entropy``: Shannon entropy in bits of a text's characters.
+    """``keys, entropy``: Shannon entropy in bits of a text's characters, one row a text; null and empty texts give no row.
 
-    Characters are counted inside the row's key by partial aggregation, so the shuffle
-    carries one row for each distinct character of a text.
+    Characters are counted where the text is, without a shuffle.
     """
-    letters = df.select(*keys, F.explode(F.split(F.col(text), "")).alias("c")).filter("c <> ''")
-    counted = letters.groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("n"))
-    total = counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log2(F.col("n").cast("double"))).alias("s"))
-    return total.select(*keys, (F.log2(F.col("n").cast("double")) - F.col("s") / F.col("n")).alias("entropy"))
+
+    @F.pandas_udf("double")
+    def entropy(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            n = np.unique(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)[1].astype(float)
+            out.append(np.log2(n.sum()) - (n * np.log2(n)).sum() / n.sum())
+        return pd.Series(out, dtype="float64")
+
+    return df.filter(F.length(text) > 0).select(*keys, entropy(text).alias("entropy"))
 
 
 def hashes(df: DataFrame, keys: list[str], text: str) -> DataFrame:

@@ -166,15 +166,15 @@ def series_jumps(t: Tables) -> DataFrame:
     return series.jumps(t.events, ["user_id"], ["ts", "event_id"], "value", _K).select("user_id", "event_id", F.col("i").cast("long").alias("i"), r6(F.col("step")).alias("step"), "is_jump")
 
 
-@query("flash_intended", _STEPS + " SELECT user_id, event_id, CASE WHEN abs(two_on - value) < 0.25 * step THEN 'flash' ELSE 'cut' END AS kind FROM j WHERE is_jump")
+@query("flash_intended", _STEPS + ", l AS (SELECT *, lead(step) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_step FROM j) SELECT user_id, event_id, CASE WHEN abs(two_on - value) < 0.45 * greatest(step, next_step) THEN 'flash' ELSE 'cut' END AS kind FROM l WHERE is_jump")
 def flash_intended(t: Tables) -> DataFrame:
     return series.flashes(t.events, ["user_id"], ["ts", "event_id"], "value", _K).select("user_id", "event_id", "kind")
 
 
 @query("flash_literal", _STEPS + """
-, k AS (SELECT *, lead(is_jump) OVER w AS nj, coalesce(before, last_value(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS bf
+, k AS (SELECT *, lead(is_jump) OVER w AS nj, lead(step) OVER w AS next_step, coalesce(before, last_value(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS bf
         FROM j WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, CASE WHEN coalesce(nj, false) AND abs(nxt - bf) < 0.25 * step THEN 'flash' ELSE 'cut' END AS kind FROM k WHERE is_jump""")
+SELECT user_id, event_id, CASE WHEN coalesce(nj, false) AND abs(nxt - bf) < 0.45 * greatest(step, next_step) THEN 'flash' ELSE 'cut' END AS kind FROM k WHERE is_jump""")
 def flash_literal(t: Tables) -> DataFrame:
     return series.flashes(t.events, ["user_id"], ["ts", "event_id"], "value", _K, mode="literal").select("user_id", "event_id", "kind")
 
@@ -409,12 +409,16 @@ def base64like_values(t: Tables) -> DataFrame:
 
 
 @query("interesting_strings", f"""
-SELECT id FROM {_VALUES} WHERE length(text) >= 7 AND (
+WITH r AS (SELECT CAST(id AS BIGINT) AS id, CAST(0 AS INTEGER) AS pos, text FROM {_VALUES}
+  UNION ALL SELECT -doc_id - 1, CAST(generate_subscripts(m, 1) - 1 AS INTEGER), unnest(m) FROM (SELECT doc_id, regexp_extract_all(text, '[\x20-\x7e]{{7,}}') AS m FROM documents))
+SELECT id, pos FROM r WHERE length(text) >= 7 AND (
   regexp_matches(text, '(?i)http|ftp|www\\.|\\.com|\\.cn|\\.net|\\.org|\\.ru|\\.io') OR regexp_matches(text, '(?i)vid:|aweme|douyin|tiktok|bytedance|watermark|token|secret|passw|key=|uid|user')
   OR regexp_matches(text, '[0-9]{{10,}}') OR regexp_matches(text, '^[0-9a-fA-F]{{16,}}$') OR regexp_matches(text, '(?i)\\.(mp4|mov|jpg|png|json|xml|txt|db|log|zip)$')
   OR (regexp_matches(text, '[A-Za-z0-9+/]{{28,}}=?=?') AND regexp_matches(text, '[A-Z]') AND regexp_matches(text, '[a-z]')) OR regexp_matches(text, '^[A-Za-z]:\\\\\\\\|^/[0-9A-Za-z_/\\.\\-]{{6,}}'))""")
 def interesting_strings(t: Tables) -> DataFrame:
-    return _planted(t).filter(text_rules.is_interesting(F.col("text"))).select("id")
+    runs = text_rules.printable_runs(t.documents, ["doc_id"], "text").select((-F.col("doc_id") - 1).cast("long").alias("id"), "pos", F.col("run").alias("text"))
+    rows = _planted(t).select(F.col("id").cast("long").alias("id"), F.lit(0).alias("pos"), "text").unionByName(runs)
+    return rows.filter(text_rules.is_interesting(F.col("text"))).select("id", "pos")
 
 
 @query("distinct_collect", "SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type))), ',') AS kinds FROM events GROUP BY user_id")
@@ -660,11 +664,11 @@ def patch_overlay(t: Tables) -> DataFrame:
 
 
 @query("diff_runs", """
-WITH p AS (SELECT doc_id, unnest(range(0, least(200, length(text)))) AS p, text, translate(text, 'aeo', 'xyz') AS new FROM (SELECT doc_id, text FROM documents)),
-d AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM p WHERE substr(text, p + 1, 1) <> substr(new, p + 1, 1))
+WITH p AS (SELECT doc_id, unnest(range(0, length(text))) AS p, unnest(string_split(text, '')) AS c, unnest(string_split(translate(text, 'aeo', 'xyz'), '')) AS new FROM documents),
+d AS (SELECT doc_id, p, p - row_number() OVER (PARTITION BY doc_id ORDER BY p) AS g FROM p WHERE c <> new)
 SELECT doc_id, min(p) AS a, max(p) AS b, count(*) AS n FROM d GROUP BY doc_id, g""")
 def diff_runs(t: Tables) -> DataFrame:
-    old = t.documents.select("doc_id", F.left("text", F.lit(200)).alias("v"))
+    old = t.documents.select("doc_id", F.col("text").alias("v"))
     return patches.diff_runs(old, old.withColumn("v", F.translate("v", "aeo", "xyz")), ["doc_id"], "v")
 
 
@@ -773,12 +777,13 @@ def _movies(t: Tables) -> DataFrame:
             made = [_movie(x.encode(), m.encode(), s.encode()) for x, m, s in zip(b["text"], b["mark"], b["source"])]
             yield pd.DataFrame({"video_id": b["video_id"], "length": [len(c) for c, _ in made], "content": [c for c, _ in made], "base": [k for _, k in made]})
 
-    docs = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5("text").alias("mark"), "source")
+    docs = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("source", F.lit("")).alias("source"))
     return docs.mapInPandas(rows, "video_id string, length long, content binary, base long")
 
 
 _MOVIE = """
-WITH m AS (SELECT doc_id::VARCHAR AS video_id, text, source, strlen(text) AS n, (strlen(text) // 10)::BIGINT AS k, md5(text) AS mark FROM documents)"""
+WITH m AS (SELECT doc_id::VARCHAR AS video_id, text, source, strlen(text) AS n, (strlen(text) // 10)::BIGINT AS k, md5(text) AS mark
+           FROM (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS source FROM documents))"""
 
 
 @query("sample_table", _MOVIE + """
@@ -810,7 +815,7 @@ def track_timing(t: Tables) -> DataFrame:
 def sei_records(t: Tables) -> DataFrame:
     from quarry.functions import bitstream
 
-    return bitstream.sei(_movies(t)).filter("sample_no = 0").select("video_id", "sample_no", "type", "size", "uuid")
+    return bitstream.sei(_movies(t), deep=True).select("video_id", "sample_no", "type", "size", "uuid")
 
 
 @query("sps_info", _MOVIE + " SELECT video_id, 1920 AS width, 1080 AS height, 77 AS profile_idc FROM m")

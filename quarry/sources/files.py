@@ -36,11 +36,20 @@ def targets(paths: DataFrame, extensions: tuple[str, ...] = SCANNED, skip_repair
     return kept.groupBy("path").agg(F.min("seq").alias("seq"))
 
 
+def name_glob(extensions: tuple[str, ...]) -> str:
+    """A glob of names with these extensions in any case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions) + "}"
+
+
+def is_fresh(path: Column) -> Column:
+    """Whether a path's name does not contain "repaired"."""
+    return ~F.lower(F.regexp_extract(path, r"([^/]+)$", 1)).contains("repaired")
+
+
 def whole_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = SCANNED, recursive: bool = True) -> DataFrame:
     """``video_id, path, length, content`` of files under ``path``; for files under 2 GB."""
-    glob = "*.{" + ",".join(x for e in extensions for x in (e, e.upper())) + "}"
-    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return found.filter(~F.lower(F.regexp_extract("path", r"([^/]+)$", 1)).contains("repaired")).select(video_id(F.col("path")).alias("video_id"), "path", "length", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", name_glob(extensions)).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return found.filter(is_fresh(F.col("path"))).select(video_id(F.col("path")).alias("video_id"), "path", "length", "content")
 
 
 def content_hashes(files: DataFrame) -> DataFrame:

@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarry.sources.files import SCANNED, video_id
+from quarry.sources.files import SCANNED, is_fresh, name_glob, video_id
 
 ARRIVAL = "path string, modificationTime timestamp, length long, content binary"
 
 
 def arriving_files(spark: SparkSession, folder: str, late: str = "1 day", extensions: tuple[str, ...] = SCANNED) -> DataFrame:
-    """A stream of ``video_id, path, length, content``; a file seen twice with one time is one arrival."""
-    glob = "*.{" + ",".join(extensions) + "}"
-    found = spark.readStream.format("binaryFile").schema(ARRIVAL).option("pathGlobFilter", glob).load(folder)
+    """A stream of ``video_id, path, length, content`` of the files that ``whole_files`` would read; one seen twice with one time is one arrival."""
+    found = spark.readStream.format("binaryFile").schema(ARRIVAL).option("pathGlobFilter", name_glob(extensions)).load(folder).filter(is_fresh(F.col("path")))
     once = found.withWatermark("modificationTime", late).dropDuplicatesWithinWatermark(["path", "modificationTime"])
     return once.select(video_id(F.col("path")).alias("video_id"), "path", "modificationTime", "length", "content")
 
@@ -31,11 +30,11 @@ def scan_arrivals(files: DataFrame, scan: Callable[[DataFrame], DataFrame], out:
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def online_flashes(series: DataFrame, bar: float, tolerance: float = 0.25) -> DataFrame:
+def online_flashes(series: DataFrame, bar: float, tolerance: float = 0.45) -> DataFrame:
     """``key, order, kind`` of a stream of ``key, order, y`` whose rows arrive in order within a key.
 
     A step above ``bar`` is a flash if the value after it is back within ``tolerance`` of
-    the step, else a cut; the state is a key's last two values.
+    the larger of this step and the next, else a cut; the state is a key's last two values.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,7 +48,7 @@ def online_flashes(series: DataFrame, bar: float, tolerance: float = 0.25) -> Da
                     (at, first), (_, second), (_, third) = last
                     size = abs(second - first)
                     if size > bar:
-                        out.append((key[0], at, "flash" if abs(third - first) < tolerance * size else "cut"))
+                        out.append((key[0], at, "flash" if abs(third - first) < tolerance * max(size, abs(third - second)) else "cut"))
                     last.pop(0)
         (a, x), (b, y) = [*last, (0, 0.0), (0, 0.0)][:2]
         state.update((len(last), a, x, b, y))

@@ -147,3 +147,18 @@ def test_summary_of_a_video(spark):
     found = container_rules.scan(files(spark, a=movie(stbl([1], [1], [(1, 1)]), b"x") + box("free", b"\x07" * 128)))
     (row,) = video_summary(found).collect()
     assert row.gravest == "HIGH" and row.high >= 1 and row.titles[0] in ("data in padding free", "samples outside media boxes")
+
+
+def test_sqlite_of_any_page_size():
+    head = b"SQLite format 3\x00"
+    for size, good in ((b"\x00\x01", True), (b"\x01\x00", True), (b"\x10\x00", True), (b"\x00\x03", False)):
+        found = [s for s in container_rules.signatures(b"xx" + head + size + bytes(100)) if s[0] == "sqlite"]
+        assert found == [("sqlite", 2, good)]
+
+
+def test_many_rows_of_many_files(spark):
+    from quarry.functions import boxes
+
+    files = spark.createDataFrame([(str(k), k) for k in range(60)], "video_id string, n int").selectExpr("video_id", "CAST(repeat('ab', n) AS BINARY) AS content").repartition(2)
+    rows = boxes.per_file(files, lambda v, d: ((v, i, d[i : i + 1], [i]) for i in range(len(d) * 100)), "video_id string, i long, c binary, l array<int>")
+    assert rows.count() == 100 * sum(2 * k for k in range(60))

@@ -38,3 +38,20 @@ def test_frozen_needs_sixteen_steps(spark):
 def test_low_pick_is_not_interpolated(spark):
     assert robust.low_pick(frame(spark, range(1, 351)), ["k"], "y").first().low == 3.0
     assert robust.low_pick(frame(spark, [4.0, 2.0]), ["k"], "y").first().low == 2.0
+
+
+def test_flash_comes_back_within_the_larger_of_two_steps(spark):
+    y = [1.0] * 200 + [9.0, 4.4] + [4.4] * 199  # back within 3.4 of 8, over a quarter of it
+    assert kinds(spark, y, k=3.0)[0] == (199, "flash")
+    y = [1.0] * 200 + [9.0, 4.7] + [4.7] * 199
+    assert kinds(spark, y, k=3.0)[0] == (199, "cut")
+    assert "flash" in {k for _, k in kinds(spark, [1.0] * 100 + [9.0, 2.0, 9.0] + [1.0] * 100, mode="literal", k=5.0)}
+
+
+def test_asof_keeps_long_offsets(spark):
+    from quarry.operators import joins
+
+    far = 2**53
+    left = spark.createDataFrame([("a", far), ("a", far + 1)], "k string, at long")
+    right = spark.createDataFrame([("a", far, 1), ("a", far + 1, 2)], "k string, start long, seg int")
+    assert {r.at: r.seg for r in joins.asof(left, right, ["k"], "at", "start", ["seg"]).collect()} == {far: 1, far + 1: 2}
