@@ -23,7 +23,8 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 
 # Licences as (label, keyword, names in running text, machine tags).
 FAMILIES = (
-    ("mit", "mit", r"(?:the )?(?:mit|expat|x11) licen[sc]e", r"mit"),
+    ("mit", "mit", r"(?:the )?mit licen[sc]e", r"mit"),
+    ("mit", "expat", r"(?:the )?expat licen[sc]e", r"expat"),
     ("mit-0", "mit", r"(?:the )?mit (?:no attribution|0) licen[sc]e", r"mit 0"),
     ("apache-2", "apache", r"(?:the )?apache (?:software )?licen[sc]e(?: version)? 2(?: 0)?", r"apache 2 0"),
     ("apache-1.1", "apache", r"(?:the )?apache (?:software )?licen[sc]e(?: version)? 1 1", r"apache 1 1"),
@@ -37,7 +38,10 @@ FAMILIES = (
     ("agpl-3", "affero", r"(?:the )?(?:gnu )?affero general public licen[sc]e (?:version |v)3(?: 0)?", r"agpl 3 0(?: only| or later)?"),
     ("gfdl-1.2", "documentation", r"(?:the )?(?:gnu )?free documentation licen[sc]e (?:version |v)1 2", r"gfdl 1 2(?: only| or later)?"),
     ("gfdl-1.3", "documentation", r"(?:the )?(?:gnu )?free documentation licen[sc]e (?:version |v)1 3", r"gfdl 1 3(?: only| or later)?"),
-    ("bsd-2-clause", "bsd", r"(?:the )?(?:simplified|freebsd|2 clause|two clause)(?: bsd)? licen[sc]e|(?:the )?bsd (?:2|two) clause licen[sc]e", r"bsd 2 clause"),
+    ("bsd-2-clause", "bsd", r"(?:the )?(?:simplified|2 clause|two clause) bsd licen[sc]e|(?:the )?freebsd(?: bsd)? licen[sc]e|(?:the )?bsd (?:2|two) clause licen[sc]e", r"bsd 2 clause"),
+    ("bsd-2-clause", "2 clause", r"(?:the )?2 clause licen[sc]e", r"bsd 2 clause"),
+    ("bsd-2-clause", "two clause", r"(?:the )?two clause licen[sc]e", r"bsd 2 clause"),
+    ("bsd-2-clause", "simplified licen", r"(?:the )?simplified licen[sc]e", r"bsd 2 clause freebsd"),
     ("bsd-3-clause", "bsd", r"(?:the )?(?:new|revised|modified|3 clause|three clause) bsd licen[sc]e|(?:the )?bsd (?:3|three) clause licen[sc]e", r"bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:the )?(?:original|old|4 clause|four clause) bsd licen[sc]e|(?:the )?bsd (?:4|four) clause licen[sc]e", r"bsd 4 clause"),
     ("0bsd", "bsd", r"(?:the )?(?:zero clause|0 clause|0) ?bsd licen[sc]e", r"0bsd"),
@@ -78,13 +82,14 @@ FAMILIES = (
     ("odc-by-1", "commons attribution", r"(?:the )?open data commons attribution licen[sc]e(?: version| v)?(?: 1)?(?: 0)?", r"odc by 1 0"),
     ("cc0-1", "cc0", r"(?:the )?(?:creative commons )?cc0(?: 1 0)?(?: universal)?(?: licen[sc]e| dedication)?", r"cc0 1 0"),
     ("cc-by", "commons attribution", r"(?:the |a )?creative commons attribution(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by [1-4] [05]"),
-    ("cc-by-sa", "sharealike", r"(?:the |a )?creative commons attribution sharealike(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by sa [1-4] [05]"),
-    ("cc-by-nd", "noderiv", r"(?:the |a )?creative commons attribution noderiv(?:s|atives)(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nd [1-4] [05]"),
-    ("cc-by-nc", "noncommercial", r"(?:the |a )?creative commons attribution noncommercial(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nc [1-4] [05]"),
-    ("cc-by-nc-sa", "noncommercial", r"(?:the |a )?creative commons attribution noncommercial sharealike(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nc sa [1-4] [05]"),
-    ("cc-by-nc-nd", "noncommercial", r"(?:the |a )?creative commons attribution noncommercial noderiv(?:s|atives)(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nc nd [1-4] [05]"),
+    ("cc-by-sa", "alike", r"(?:the |a )?creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by sa [1-4] [05]"),
+    ("cc-by-nd", "deriv", r"(?:the |a )?creative commons attribution no ?deriv(?:s|atives)(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nd [1-4] [05]"),
+    ("cc-by-nc", "commercial", r"(?:the |a )?creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nc [1-4] [05]"),
+    ("cc-by-nc-sa", "commercial", r"(?:the |a )?creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", "commercial", r"(?:the |a )?creative commons attribution non ?commercial no ?deriv(?:s|atives)(?: [1-4] [05])?(?: international| unported| generic)? licen[sc]e", r"cc by nc nd [1-4] [05]"),
     ("llama", "llama", r"(?:the )?llama [2-4](?: [1-3])? community licen[sc]e(?: agreement)?", r"llama [2-4](?: [1-3])?"),
-    ("openrail", "openrail", r"(?:the )?(?:creativeml )?open ?rail(?: m|\+\+ m)? licen[sc]e", r"openrail(?: m)?"),
+    ("openrail", "openrail", r"(?:the )?(?:creativeml )?openrail(?: m)? licen[sc]e", r"openrail(?: m)?"),
+    ("openrail", "open rail", r"(?:the )?(?:creativeml )?open rail(?: m)? licen[sc]e", r"open rail(?: m)?"),
     ("mulan-2", "mulan", r"(?:the )?mulan (?:psl|permissive software licen[sc]e)(?: version| v)? ?2", r"mulanpsl 2 0"),
     ("vim", "vim", r"(?:the )?vim licen[sc]e", r"vim"),
     ("x11", "x11", r"(?:the )?x11 licen[sc]e", r"x11"),
@@ -115,7 +120,7 @@ SINGLE = (
     Rule("free of charge", r"permission is hereby granted free of charge to any person obtaining a copy", 1, "mit"),
     Rule("binary forms", r"redistribution and use in source and binary forms with or without modification are permitted", 1, "bsd"),
     Rule("permission to use", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 1, "isc"),
-    Rule("apache", r"you may not use this file except in compliance with the license", 1, "apache-2"),
+    Rule("except in compliance", r"you may not use this file except in compliance with the licen[sc]e", 1, "apache-2"),
     Rule("unencumbered", r"this is free and unencumbered software released into the public domain", 1, "unlicense"),
     Rule("all rights reserved", r"copyright (?:c )?(?:[0-9]{4} )?(?:[^ ]+ ){1,6}all rights reserved", 3, "proprietary"),
     Rule("proprietary", r"(?:proprietary and confidential|confidential and proprietary)", 3, "proprietary"),
@@ -128,6 +133,55 @@ SINGLE = (
     Rule("mozilla", r"mozilla public licen[sc]e", 4, "mpl"),
     Rule("eclipse", r"eclipse public licen[sc]e", 4, "epl"),
     Rule("artistic", r"artistic licen[sc]e", 4, "artistic"),
+    # sentences of licence texts and notices
+    Rule("the software is provided", r"the software is provided as is without warranty of any kind express or implied", 3, "permissive-notice"),
+    Rule("above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1, "mit"),
+    Rule("retain the above", r"redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 1, "bsd"),
+    Rule("endorse or promote", r"neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products", 1, "bsd-3-clause"),
+    Rule("advertising materials", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1, "bsd-4-clause"),
+    Rule("free software", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e", 1, "gpl"),
+    Rule("free software", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e", 1, "lgpl"),
+    Rule("verbatim copies", r"everyone is permitted to copy and distribute verbatim copies of this licen[sc]e document but changing it is not allowed", 1, "gpl"),
+    Rule("mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e v 2 0", 1, "mpl-2"),
+    Rule("eclipse", r"this program and the accompanying materials are made available under the terms of the eclipse public licen[sc]e(?: v)?(?: 2 0)?", 1, "epl"),
+    Rule("misrepresented", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", 1, "zlib"),
+    Rule("boost software", r"distributed under the boost software licen[sc]e version 1 0", 1, "boost-1"),
+    Rule("development and distribution", r"the contents of this file are subject to the terms of the common development and distribution licen[sc]e", 1, "cddl"),
+    Rule("attribution assurance", r"attribution assurance licen[sc]e", 3, "aal"),
+    Rule("waived all copyright", r"(?:has|have) waived all copyright and related or neighbou?ring rights", 1, "cc0-1"),
+    Rule("no rights reserved", r"no rights reserved", 3, "public-domain"),
+    Rule("some rights reserved", r"some rights reserved", 3, "creative-commons"),
+    Rule("dual licensed", r"dual licensed under (?:[^ ]+ ){1,8}(?:and|or) (?:the )?(?:mit|apache|gpl|bsd|lgpl|mpl)", 3, "dual"),
+    Rule("same terms as perl", r"(?:licen[sc]ed )?under the same terms as perl(?: itself)?", 1, "artistic-1"),
+    Rule("same terms as ruby", r"(?:licen[sc]ed )?under the same terms as ruby(?: itself)?", 1, "ruby"),
+    Rule("beerware", r"beerware licen[sc]e(?: revision 42)?|licen[sc]ed under beerware", 3, "beerware"),
+    Rule("for non commercial", r"licen[sc]ed for non commercial (?:use|purposes|research)(?: only)?", 1, "noncommercial"),
+    Rule("for research purposes only", r"(?:licen[sc]ed |released |available )for research purposes only", 1, "research-only"),
+    Rule("all rights reserved", r"all rights reserved", 4, "proprietary"),
+    Rule("commercial licen", r"commercial licen[sc]e (?:is )?required", 3, "commercial"),
+    Rule("open government", r"(?:contains public sector information )?licen[sc]ed under the open government licen[sc]e v[123](?: 0)?", 1, "ogl"),
+    Rule("open government", r"open government licen[sc]e", 4, "ogl"),
+    Rule("responsible ai", r"responsible ai licen[sc]e", 3, "rail"),
+    Rule("gemma terms", r"(?:subject to )?(?:the )?gemma terms of use licen[sc]e", 3, "gemma"),
+    Rule("bigscience", r"(?:the )?bigscience (?:bloom )?rail(?: 1 0)? licen[sc]e", 1, "bigscience-rail"),
+    Rule("data licen", r"community data licen[sc]e agreement (?:permissive|sharing)(?: version)?(?: [12] 0)?", 1, "cdla"),
+    Rule("etalab", r"etalab open licen[sc]e(?: 2 0)?", 1, "etalab-2"),
+    Rule("peer production", r"peer production licen[sc]e", 3, "ppl"),
+    Rule("anti 996", r"anti 996 licen[sc]e", 3, "anti-996"),
+    Rule("hippocratic", r"hippocratic licen[sc]e(?: version)?(?: [123] [0-9])?", 3, "hippocratic"),
+    Rule("prosperity public", r"prosperity public licen[sc]e(?: [23] 0 0)?", 3, "prosperity"),
+    Rule("polyform", r"polyform (?:noncommercial|small business|strict|shield|internal use) licen[sc]e(?: 1 0 0)?", 3, "polyform"),
+    Rule("functional source", r"functional source licen[sc]e(?: version)?(?: 1 1)?", 3, "fsl"),
+    Rule("blue oak", r"blue oak model licen[sc]e(?: 1 0 0)?", 3, "blueoak"),
+    Rule("cern open", r"cern open hardware licen[sc]e(?: version)?(?: 2)?", 3, "cern-ohl"),
+    Rule("solderpad", r"solderpad hardware licen[sc]e", 3, "solderpad"),
+    Rule("educational community", r"educational community licen[sc]e(?: version)?(?: 2 0)?", 3, "ecl"),
+    Rule("cecill", r"cecill(?: [bc])? (?:free software )?licen[sc]e", 3, "cecill"),
+    Rule("nasa open", r"nasa open source agreement(?: version)?(?: 1 3)? licen[sc]e", 3, "nasa"),
+    Rule("intel open", r"intel open source licen[sc]e", 3, "intel"),
+    Rule("apple public", r"apple public source licen[sc]e(?: version)?(?: [12] [0-9])?", 3, "apsl"),
+    Rule("sun industry", r"sun industry standards source licen[sc]e", 3, "sissl"),
+    Rule("qt", r"qt (?:commercial|public) licen[sc]e", 3, "qt"),
 )
 
 
@@ -148,4 +202,4 @@ def re_versioned(label: str) -> bool:
 
 
 #: Words of which every rule's match has one; a text with none of them meets no rule.
-GATE = ("licen", "cc by", "cc0", "public domain", "spdx", "rights reserved", "proprietary", "creative commons", "free of charge", "binary forms", "permission to use", "unencumbered", "mulan psl")
+GATE = ("licen", "cc by", "cc0", "public domain", "spdx", "rights reserved", "proprietary", "creative commons", "free of charge", "binary forms", "permission to use", "unencumbered", "mulan psl", "copyright notice", "software is provided", "endorse or promote", "advertising materials", "misrepresented", "waived all copyright", "same terms as", "research purposes only", "beerware")

@@ -54,10 +54,14 @@ def _found(words: Column, every: list[Rule]) -> Column:
     )
 
 
+#: Detections that one round of the suppression takes, so that no array grows one element at a time.
+_ROUND = 128
+
+
 def _suppressed(found: Column, tiers: int) -> Column:
     """Detections that stay.  In order of start, the longest first, one is inside another of tier t if the ends so far in t reach its own."""
+    kind = "array<struct<start:bigint,end:bigint,tier:int,label:string>>"
     ordered = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("start"), (-d["end"]).alias("back"), d["tier"].alias("tier"), d["label"].alias("label"))))
-    start = F.struct(F.array_repeat(F.lit(0).cast("long"), tiers).alias("reach"), F.array().cast("array<struct<start:bigint,end:bigint,tier:int,label:string>>").alias("kept"))
 
     def step(state: Column, d: Column) -> Column:
         end = -d["back"]
@@ -66,7 +70,16 @@ def _suppressed(found: Column, tiers: int) -> Column:
         reach = F.transform(state["reach"], lambda r, t: F.when(t == d["tier"], F.greatest(r, end)).otherwise(r))
         return F.struct(reach.alias("reach"), F.when(inside, state["kept"]).otherwise(F.concat(state["kept"], stays)).alias("kept"))
 
-    return F.aggregate(ordered, start, step, lambda s: s["kept"])
+    def a_round(state: Column, n: Column, every: Column) -> Column:
+        begun = F.struct(state["reach"].alias("reach"), F.array().cast(kind).alias("kept"))
+        done = F.aggregate(F.slice(every, n * _ROUND + 1, F.lit(_ROUND)), begun, step)
+        # an array of one, so that the round is worked out once
+        return F.element_at(F.transform(F.array(done), lambda d: F.struct(d["reach"].alias("reach"), F.concat(state["rounds"], F.array(d["kept"])).alias("rounds"))), 1)
+
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), tiers).alias("reach"), F.array().cast(f"array<{kind}>").alias("rounds"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.size(found) / _ROUND).cast("int") - 1)
+    whole = F.transform(F.array(ordered), lambda every: F.aggregate(rounds, start, lambda s, n: a_round(s, n, every), lambda s: F.flatten(s["rounds"])))
+    return F.element_at(whole, 1)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: list[Rule] | None = None) -> DataFrame:
