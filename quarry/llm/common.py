@@ -37,6 +37,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):  # executors would each write to their own disk
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(folder)

@@ -72,8 +72,9 @@ def mix(
     share: float = SHARE,
     epochs: int = EPOCHS,
     seed: int = SEED,
+    keep_source: bool = False,
 ) -> DataFrame:
-    """One row per input row: ``doc_id, size, source_size, target, taken``.
+    """One row per input row: ``doc_id, size, source_size, target, taken``; ``source`` too if it is to be kept.
 
     Each source's ``taken`` sums to its target, rounded to whole words; no document
     exceeds ``epochs`` times its size.  Null texts have size 0; null is a source of
@@ -101,7 +102,7 @@ def mix(
     spent = sums.withColumn("upto", F.sum("words").over(ranges)).withColumn("before", F.col("upto") - F.col("words"))
     cut = spent.join(sources, "key").filter((F.col("before") <= F.col("more")) & (F.col("more") < F.col("upto"))).select("key", F.col("range").alias("cut"), "before")
     plan = checkpointed(sources.join(cut, "key", "left"))  # a row a source, apart from the window that found the cuts
-    rows = thin.drop("source")
+    rows = thin if keep_source else thin.drop("source")
     # away from the cut no order is needed, so a hot source's join may be split over many tasks
     plain = rows.join(plan, "key").filter(F.col("cut").isNull() | (F.col("range") != F.col("cut")))
     plain = plain.withColumn("part", F.when(F.col("range") < F.col("cut"), F.col("size")).otherwise(F.lit(0)))
@@ -111,22 +112,26 @@ def mix(
     ahead = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("before")
     edge = edge.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - ahead)))
     out = plain.unionByName(edge)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("part")).cast("long").alias("taken"))
+    return out.select("doc_id", *(["source"] if keep_source else []), "size", "source_size", "target", (F.col("times") * F.col("size") + F.col("part")).cast("long").alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` as the mix takes them: a row for each whole repetition and one, cut after its words, for a fraction.
 
     Columns are those of ``docs``; ``n_chars``, if there, follows a cut text.  Rows
-    with no words carry nothing to weigh and are kept once.
+    with no words carry nothing to weigh and are kept once.  Rows of a source that repeat
+    an id (or have none) and have one size share what they take together; the words that
+    do not divide go to as many of them by a hash of their text, so a source may miss its
+    target by a word for some of these rows.  An empty table gives an empty result.
     """
-    rows = docs.withColumn("__quarry_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    taken = mix(docs, **parameters).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__quarry_id"), "size", "taken")
-    # rows repeated with one id and size share equally what they take together
-    taken = taken.groupBy("__quarry_id", "size").agg(F.sum("taken").alias("__quarry_all"), F.count(F.lit(1)).alias("__quarry_n"))
-    rows = rows.withColumn("__quarry_size", n_words(F.col("text")))
-    joined = rows.join(taken.withColumnRenamed("size", "__quarry_size"), ["__quarry_id", "__quarry_size"])
-    each = F.floor(F.col("__quarry_all") / F.col("__quarry_n"))
+    ident, source = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    rows = docs.withColumns({"__quarry_id": ident, "__quarry_source": source, "__quarry_size": n_words(F.col("text"))})
+    key = ["__quarry_id", "__quarry_source", "__quarry_size"]
+    taken = mix(docs, keep_source=True, **parameters).select(ident.alias(key[0]), source.alias(key[1]), F.col("size").alias(key[2]), "taken")
+    taken = taken.groupBy(*key).agg(F.sum("taken").alias("__quarry_all"), F.count(F.lit(1)).alias("__quarry_n"))
+    joined = rows.join(taken, key)
+    n = F.col("__quarry_n")
+    each = F.floor(F.col("__quarry_all") / n) + F.when(F.pmod(F.xxhash64("text", F.col("__quarry_id")), n) < F.col("__quarry_all") % n, 1).otherwise(0)
     whole = F.when(F.col("__quarry_size") > 0, F.floor(each / F.col("__quarry_size"))).otherwise(F.lit(1))
     part = F.when(F.col("__quarry_size") > 0, each - whole * F.col("__quarry_size")).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.col("__quarry_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))

@@ -26,10 +26,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Entries kept in a memory before it is emptied.
-MEMORY = 400_000
+#: Entries kept in a memory before it is emptied, and characters of an entry that is kept: together they bound its bytes.
+MEMORY, LONGEST = 400_000, 64
 #: Characters whose letter, number and space classes every Unicode version of the libraries shares.
 _SETTLED = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-€]")
+#: More of them, where only the classes matter: Greek, Cyrillic, Hebrew and Arabic letters, Devanagari, Thai, signs, kana, Han, Hangul, full-width forms, pictographs.
+CLASSED = (
+    (0x0000, 0x024F), (0x0370, 0x03FF), (0x0400, 0x052F), (0x05D0, 0x05EA), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0E01, 0x0E5B), (0x1E00, 0x1FFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20AC),
+    (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x303F), (0x3041, 0x30FF), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFFEE), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF),
+)
+_CLASSED = re.compile("[^" + "".join(f"{chr(a)}-{chr(b)}" for a, b in CLASSED) + "]")
 #: The byte-level pre-token pattern of the vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -75,7 +81,7 @@ def prove_whole_tokens(vocabulary: str) -> frozenset[str]:
             text = bytes(back[c] for c in entry).decode("utf-8")
         except (KeyError, UnicodeDecodeError):
             continue
-        if _SETTLED.search(text) or (m := split.match(text)) is None or m.end() != len(text):
+        if _CLASSED.search(text) or (m := split.match(text)) is None or m.end() != len(text):
             continue
         if [t.id for t in tokenizer.model.tokenize(entry)] == [ident]:
             proved.add(text)
@@ -105,12 +111,14 @@ class WholeTokenCounts:
         if n is None:
             if len(self.merged) >= MEMORY:
                 self.merged.clear()
-            n = self.merged[pre_token] = len(self.library.model.tokenize(lettered(pre_token)))
+            n = len(self.library.model.tokenize(lettered(pre_token)))
+            if len(pre_token) <= LONGEST:
+                self.merged[pre_token] = n
         return n
 
     def count(self, text: str) -> int:
         # special strings and characters that Unicode versions class differently go to the library whole
-        if (self.special and self.special.search(text)) or (not text.isascii() and _SETTLED.search(text)):
+        if (self.special and self.special.search(text)) or (not text.isascii() and _CLASSED.search(text)):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         whole, merge = self.whole, self.merge
         return sum([whole.get(p) or merge(p) for p in self.split(text)])
@@ -127,6 +135,8 @@ class Memory(dict):
         value = self.before.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONGEST:
+            return value
         if len(self) >= self.most:
             self.before = dict(self)
             self.clear()

@@ -9,7 +9,8 @@ second selection on at most k rows a block.
 
 Every candidate is scored by every query.  Blocks hold at most ``QUERY_BLOCK`` and
 about ``CANDIDATE_BLOCK`` rows, so a task's memory does not grow with the table; both
-sides go to their blocks through a shuffle and nothing is broadcast.
+sides go to their blocks through a shuffle, their components as the narrowest integers
+that hold them all, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -19,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, CANDIDATE_BLOCK, K = 256, 16_384, 5
+QUERY_BLOCK, CANDIDATE_BLOCK, K = 2_048, 16_384, 5
+#: Queries of a block that are scored at once; their score arrays are what a task holds besides its rows.
+_AT_ONCE = 256
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -101,7 +104,10 @@ def top_k(
     spark = rows.sparkSession
     usable_rows = rows.filter(usable(F.col(vector_col)) & F.col(id_col).isNotNull())
     plain = usable_rows.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    sizes = plain.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q")).first()
+    peak = F.max(F.array_max(F.transform("vector", lambda x: F.greatest(x, -x))))
+    sizes = plain.agg(F.count(F.lit(1)).alias("n"), F.count_if("asks").alias("q"), F.coalesce(peak, F.lit(0)).alias("peak")).first()
+    kind = next(k for k, bits in (("smallint", 15), ("int", 31), ("bigint", 64)) if sizes["peak"] < 2**bits)
+    plain = plain.withColumn("vector", F.col("vector").cast(f"array<{kind}>"))
     c_blocks, q_blocks = (max(1, -(-sizes["n"] // candidate_block)), max(1, -(-sizes["q"] // query_block)))
     # no block is left to one task while others idle
     c_blocks = max(c_blocks, min(sizes["n"] // 256 + 1, -(-2 * spark.sparkContext.defaultParallelism // q_blocks)))
@@ -116,10 +122,11 @@ def top_k(
         ids = right["id"].to_numpy(np.int64)
         vectors = [np.asarray(v, np.int64) for v in right["vector"]]
         asked = [np.asarray(v, np.int64) for v in left["vector"]]
-        scores, out = accumulate(asked, postings(ids, vectors), len(ids)), []
-        for q, (own, mark) in enumerate(zip(left["id"].tolist(), left["mark"].tolist())):
-            best = select(scores[q], ids, own, k)
-            out.append(pd.DataFrame({"query_id": own, "query_key": mark, "vec_id": ids[best], "score": scores[q][best].astype(np.int64)}))
+        inverted, out, owns, marks = postings(ids, vectors), [], left["id"].tolist(), left["mark"].tolist()
+        for first in range(0, len(asked), _AT_ONCE):
+            for scores, own, mark in zip(accumulate(asked[first : first + _AT_ONCE], inverted, len(ids)), owns[first:], marks[first:]):
+                best = select(scores, ids, own, k)
+                out.append(pd.DataFrame({"query_id": own, "query_key": mark, "vec_id": ids[best], "score": scores[best].astype(np.int64)}))
         return pd.concat(out, ignore_index=True)[names]
 
     ask = ask.withColumn("mark", F.xxhash64("vector"))

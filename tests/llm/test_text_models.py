@@ -34,6 +34,21 @@ def test_token_counts_are_the_librarys(spark, texts):
         assert (got[k].n_tokens, got[k].n_bytes, got[k].over_limit) == (n, len((t or "").encode()), n > 512), repr(t)[:60]
 
 
+def test_classes_agree_with_the_librarys():
+    split, pre = regex.compile(tokens.PRE_TOKEN).findall, tokens._library(BYTE).pre_tokenizer
+    for a, b in tokens.CLASSED:
+        for k in range(a, b + 1):
+            text = f"a{chr(k)}a 1{chr(k)}1 !{chr(k)}! {chr(k)} {chr(k)}{chr(k)}"
+            assert [y - x for _, (x, y) in pre.pre_tokenize_str(text)] == [len(p) for p in split(text)], hex(k)
+
+
+@pytest.mark.parametrize("text", ["съешь же ещё этих мягких французских булок, да выпей чаю", "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", "中文 字符，混合 text 日本語のテキスト 한국어 텍스트", "😀 emoji 🚀🚀 ok", "שלום עולם مرحبا بالعالم नमस्ते สวัสดี", "ｆｕｌｌ　ｗｉｄｔｈ", "x" * 300 + "я" * 300])
+def test_shortcut_beyond_latin(text):
+    counts = tokens.WholeTokenCounts.of(BYTE)
+    assert not tokens._CLASSED.search(text) and counts.count(text) == len(library(BYTE, text))
+    assert max(map(len, counts.merged), default=0) <= tokens.LONGEST
+
+
 def test_whole_tokens_are_proved():
     whole = tokens.prove_whole_tokens(BYTE)
     assert len(whole) > 20_000
