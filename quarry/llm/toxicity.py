@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ LABEL_ROWS = 2_000_000
 #: Labelled rows, about, on which the logistic curve is fitted.
 CURVE_ROWS = 20_000
 #: Contexts that a task holds before it passes them on; words whose differences it remembers, and their letters at most.
-_HELD, _WORDS, _LETTERS = 150_000, 200_000, 64
+_HELD, _WORDS, _LETTERS = 60_000, 60_000, 64
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 
 
@@ -56,19 +57,25 @@ def words_of(text: str | None) -> list[str]:
     return _WORD((text or "").lower())
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, word, word before), each once for every ``_HELD`` or so that differ."""
-    names = ["toxic", "word", "before"]
+    seen: tuple[set, set] = (set(), set())
+
+    def passed(toxic: int) -> pa.RecordBatch:
+        words, before = zip(*seen[toxic])
+        size = len(seen[toxic])
+        seen[toxic].clear()
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(toxic, pa.int32()), size), pa.array(words, pa.string()), pa.array(before, pa.string())], ["toxic", "word", "before"])
+
     for batch in batches:
-        for toxic, texts in batch.groupby("toxic")["text"]:
-            seen: set[tuple[str, str]] = set()
-            for text in texts:
-                own = words_of(text)
-                seen.update(zip(own, ["^", *own]))
-                if len(seen) > _HELD:
-                    yield pd.DataFrame([(toxic, *k) for k in seen], columns=names)
-                    seen.clear()
-            yield pd.DataFrame([(toxic, *k) for k in seen], columns=names)
+        for toxic, text in zip(batch["toxic"], batch["text"]):
+            own, toxic = words_of(text.as_py()), toxic.as_py()
+            seen[toxic].update(zip(own, ["^", *own]))
+            if len(seen[toxic]) > _HELD:
+                yield passed(toxic)
+    for toxic in (0, 1):
+        if seen[toxic]:
+            yield passed(toxic)
 
 
 def word_counts(labelled: DataFrame) -> DataFrame:
@@ -76,7 +83,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
     The word before is told by its 64-bit hash, which keeps the shuffled rows short.
     """
-    met = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInPandas(_contexts, "toxic int, word string, before string")
+    met = labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_contexts, "toxic int, word string, before string")
     met = met.select("toxic", "word", F.xxhash64("before").alias("before")).distinct()
     return met.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
 
@@ -151,13 +158,13 @@ def text_differences(docs: DataFrame, table: DataFrame, keep: list[str], table_r
         pairs = table.toPandas()  # its rows have just been counted
         sent = docs.sparkSession.sparkContext.broadcast(dict(zip(pairs["at"], pairs["step"])))
 
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = Words(sent.value)
-            for batch in batches:
-                x = [words.difference(t) for t in batch[own]]
-                yield batch[keep].assign(__quarry_x=x)
+            for batch in batches:  # the columns that are kept pass through as they are
+                x = pa.array([words.difference(t.as_py()) for t in batch[own]], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), x], [*keep, "__quarry_x"])
 
-        return plain.mapInPandas(score, f"{schema}, `__quarry_x` double")
+        return plain.mapInArrow(score, f"{schema}, `__quarry_x` double")
     return _by_join(plain, table, keep)
 
 
