@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries kept in a memory before it is emptied, and characters of an entry that is kept: together they bound its bytes.
-MEMORY, LONGEST = 400_000, 64
+MEMORY, LONGEST = 100_000, 64
 #: Characters whose letter, number and space classes every Unicode version of the libraries shares.
 _SETTLED = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-€]")
 #: More of them, where only the classes matter: Greek, Cyrillic, Hebrew and Arabic letters, Devanagari, Thai, signs, kana, Han, Hangul, full-width forms, pictographs.
