@@ -298,31 +298,54 @@ def all_parts(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, probe: DataFrame | None = None, kinds: DataFrame | None = None, deep: bool = False, held: list[DataFrame] | None = None) -> DataFrame:
     """Every container rule over ``files`` (video_id, path, length, content), one findings table.
 
-    Contents are decoded where they are read and never shuffled; the thin tables that
-    several rules share are persisted.
+    ``probe`` (see ``sources.files.probes``) adds the rules on streams and declared sizes and
+    frames, ``kinds`` (video_id, kind) those on flashes and cuts; ``deep`` looks into media
+    bytes and at all samples.  Contents are decoded where they are read and never shuffled;
+    the thin tables that several rules share are persisted and added to ``held``, whose
+    owner releases them once the findings are written.
     """
+    from quarry.sources.files import streams
+
+    def kept(table: DataFrame) -> DataFrame:
+        if held is not None:
+            held.append(table)
+        return table.persist()
+
     spark = files.sparkSession
     dimension, videos = rules.fingerprints(spark), files.select("video_id")
-    facts, samples = box_facts(files).persist(), boxes.samples(files).persist()
-    messages, parameters = bitstream.sei(files).persist(), bitstream.sequence_parameters(files)
-    segments, timing = structural_segments(files).persist(), timing_rows(files).persist()
-    nothing = spark.createDataFrame([], "video_id string, width int, height int")
+    facts, samples = kept(box_facts(files)), kept(boxes.samples(files))
+    messages, timing = kept(bitstream.sei(files, deep)), kept(timing_rows(files))
+    if probe is None:
+        sizes = spark.createDataFrame([], "video_id string, width int, height int")
+        frames = spark.createDataFrame([], "video_id string, handler string, ordinal int, nb_frames long")
+        more = []
+    else:
+        every = kept(streams(probe))
+        sizes = every.filter("codec_type = 'video' AND ordinal = 1").select("video_id", "width", "height")
+        handler = F.when(F.col("codec_type") == "video", "vide").when(F.col("codec_type") == "audio", "soun")
+        frames = every.select("video_id", handler.alias("handler"), "ordinal", F.col("nb_frames").try_cast("long").alias("nb_frames")).filter("handler IS NOT NULL")
+        more = [stream_rules(every, probe)]
+    if kinds is not None:
+        more.append(flash_rules(kinds, videos))
+    if deep:
+        more.append(deep_media_prints(files, dimension))
     return all_findings(
         [
             hash_named(files),
             fault_rules(files),
             credentials(facts),
             protection(facts),
-            structure(facts, boxes.anomalies(files).persist()),
+            structure(facts, kept(boxes.anomalies(files))),
             padding(facts),
             coverage(files, facts, samples),
-            metadata_rules(boxes.metadata_items(files).persist(), dimension),
-            bitstream_rules(messages, parameters, videos, nothing),
-            string_rules(segments, dimension),
-            signature_rules(signature_hits(files).persist(), videos),
-            timing_rules(timing, spark.createDataFrame([], "video_id string, handler string, ordinal int, nb_frames long")),
+            metadata_rules(kept(boxes.metadata_items(files)), dimension),
+            bitstream_rules(messages, bitstream.sequence_parameters(files), videos, sizes),
+            string_rules(kept(structural_segments(files)), dimension),
+            signature_rules(kept(signature_hits(files)), videos),
+            timing_rules(timing, frames),
+            *more,
         ]
     )

@@ -934,6 +934,193 @@ def byte_ranges(t: Tables) -> DataFrame:
     return files.byte_ranges(rows, 1000).select("video_id", "offset", "length")
 
 
+# --- rules over planted faults ----------------------------------------------------------
+
+_SYSTEMS = {"Widevine": "edef8ba979d64acea3c827dcd51d21ed", "PlayReady": "9a04f07998404286ab92e65be0885f95"}
+
+
+def _odd_containers(t: Tables) -> DataFrame:
+    """A container a document: one protection header, two, an unknown box, an unprintable name, or nothing odd."""
+    header = lambda name: _box("pssh", F.lit(bytes(4) + bytes.fromhex(_SYSTEMS[name]) + bytes(4)))
+    k = F.col("doc_id") % 6
+    odd = F.when(k == 0, header("Widevine")).when(k == 1, F.concat(header("PlayReady"), header("Widevine"))).when(k == 2, _box("zzzz", F.lit(b"....")))
+    odd = odd.when(k == 3, _box("\x01abc", F.lit(b"...."))).otherwise(F.lit(b""))
+    content = F.concat(_box("ftyp", F.lit(b"isom\0\0\0\0")), odd, _box("mdat", F.coalesce("text", F.lit("")).cast("binary")))
+    return t.documents.select(F.col("doc_id").cast("string").alias("video_id"), content.alias("content"))
+
+
+@query("protection_boxes", """
+SELECT doc_id::VARCHAR AS video_id, 'HIGH' AS severity, CASE doc_id % 6 WHEN 0 THEN '1 Widevine' ELSE '2 PlayReady,Widevine' END AS detail, '16' AS locator
+FROM documents WHERE doc_id % 6 IN (0, 1)""")
+def protection_boxes(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    return container_rules.protection(container_rules.box_facts(_odd_containers(t))).select("video_id", "severity", "detail", "locator")
+
+
+@query("odd_boxes", """
+SELECT doc_id::VARCHAR AS video_id, 'R5' AS rule_id, CASE doc_id % 6 WHEN 1 THEN '2' ELSE '1' END AS detail, '16' AS locator FROM documents WHERE doc_id % 6 < 4
+UNION ALL SELECT doc_id::VARCHAR, 'R6', '1', '16' FROM documents WHERE doc_id % 6 = 3""")
+def odd_boxes(t: Tables) -> DataFrame:
+    from quarry.functions import boxes
+    from quarry.operators import container_rules
+
+    files = _odd_containers(t)
+    return container_rules.structure(container_rules.box_facts(files), boxes.anomalies(files)).select("video_id", "rule_id", "detail", "locator")
+
+
+@query("sample_faults", """
+SELECT doc_id::VARCHAR AS video_id, 'R11' AS rule_id, 'HIGH' AS severity, '1' AS detail FROM documents WHERE doc_id % 4 < 2
+UNION ALL SELECT doc_id::VARCHAR, 'R12', 'HIGH', '1' FROM documents WHERE doc_id % 4 < 3""")
+def sample_faults(t: Tables) -> DataFrame:
+    """Samples before the file, after it, and in the first box."""
+    from quarry.operators import container_rules
+
+    files, k = _containers(t), F.col("video_id").cast("long") % 4
+    offset = F.when(k == 0, F.lit(-1)).when(k == 1, F.col("length")).otherwise(F.lit(0)).cast("long")
+    samples = files.filter(k < 3).select("video_id", F.lit(1).alias("track_no"), F.lit("vide").alias("handler"), F.lit(0).cast("long").alias("sample_no"), offset.alias("offset"), F.lit(8).cast("long").alias("size"))
+    found = container_rules.coverage(files, container_rules.box_facts(files), samples)
+    return found.filter("rule_id IN ('R11', 'R12')").select("video_id", "rule_id", "severity", "detail")
+
+
+@query("embedded_images", """
+SELECT doc_id::VARCHAR AS video_id, 'MED' AS severity, CASE doc_id % 3 WHEN 0 THEN 'name' ELSE ' covr' END AS detail, (doc_id * 2)::VARCHAR AS locator FROM documents WHERE doc_id % 3 < 2""")
+def embedded_images(t: Tables) -> DataFrame:
+    """Metadata that is an image by its type or by its key."""
+    from quarry.functions.rules import fingerprints
+    from quarry.operators import container_rules
+
+    k = F.col("doc_id") % 3
+    items = t.documents.select(
+        F.col("doc_id").cast("string").alias("video_id"), F.when(k == 1, " covr").otherwise("name").alias("key"), F.lit("plain").alias("value"),
+        F.when(k == 0, 14).otherwise(1).alias("dtype"), (F.col("doc_id") * 2).alias("value_offset"),
+    )
+    return container_rules.metadata_rules(items, fingerprints(t.spark)).filter("rule_id = 'R13'").select("video_id", "severity", "detail", "locator")
+
+
+@query("stream_flags", """
+SELECT o_orderkey::VARCHAR AS video_id, 'MED' AS severity, 'disposition attached_pic' AS title, '0' AS detail FROM orders WHERE o_orderkey % 2 = 1
+UNION ALL SELECT o_orderkey::VARCHAR, 'LOW', 'chapters', (o_orderkey % 3)::VARCHAR FROM orders WHERE o_orderkey % 3 > 0""")
+def stream_flags(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    key, video = F.col("o_orderkey"), F.col("o_orderkey").cast("string").alias("video_id")
+    flags = F.create_map(F.lit("attached_pic"), (key % 2).cast("int"), F.lit("default"), F.lit(1))
+    rows = t.orders.select(video, F.lit(0).alias("index"), F.lit("video").alias("codec_type"), flags.alias("disposition"))
+    probe = t.orders.select(video, F.slice(F.array(F.lit(1), F.lit(2)), F.lit(1), (key % 3).cast("int")).alias("chapters"))
+    return container_rules.stream_rules(rows, probe).select("video_id", "severity", "title", "detail")
+
+
+@query("unit_findings", _MOVIE + """
+SELECT video_id, 'R20' AS rule_id, 'HIGH' AS severity, 'SEI ' || lower(hex(left(mark, 16))) AS title, '1' AS detail FROM m
+UNION ALL SELECT video_id, 'R21', 'MED', 'coded and declared size differ', '1920x1080' FROM m WHERE video_id::BIGINT % 2 = 1""")
+def unit_findings(t: Tables) -> DataFrame:
+    """Messages by mark, and the size of parameter sets against a declared one that is wrong for odd ids."""
+    from quarry.functions import bitstream
+    from quarry.operators import container_rules
+
+    movies = _movies(t)
+    declared = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.lit(1920).alias("width"), (1080 + 8 * (F.col("doc_id") % 2)).alias("height"))
+    found = container_rules.bitstream_rules(bitstream.sei(movies, deep=True), bitstream.sequence_parameters(movies), movies.select("video_id"), declared)
+    return found.select("video_id", "rule_id", "severity", "title", "detail")
+
+
+@query("timing_findings", """
+WITH l AS (SELECT l_orderkey AS k, l_linenumber AS o, max(CAST(l_quantity AS BIGINT)) AS n FROM lineitem GROUP BY ALL)
+SELECT k::VARCHAR AS video_id, 'R25' AS rule_id, (n + 1)::VARCHAR || ' ' || n::VARCHAR AS detail, o::VARCHAR AS locator FROM l WHERE k % 2 = 1
+UNION ALL SELECT k::VARCHAR, 'R26', (o % 3)::VARCHAR, o::VARCHAR FROM l WHERE o % 3 > 0 UNION ALL SELECT k::VARCHAR, 'R26', (o % 2)::VARCHAR, o::VARCHAR FROM l WHERE o % 2 > 0""")
+def timing_findings(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    tracks = t.lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("ordinal")).agg(F.max(F.col("l_quantity").cast("long")).alias("samples"))
+    tracks = tracks.select("l_orderkey", F.col("l_orderkey").cast("string").alias("video_id"), F.lit("vide").alias("handler"), "ordinal", "samples", (F.col("ordinal") % 3).alias("zero_deltas"), (F.col("ordinal") % 2).alias("edits"))
+    declared = tracks.select("video_id", "handler", "ordinal", (F.col("samples") + F.col("l_orderkey") % 2).alias("nb_frames"))
+    return container_rules.timing_rules(tracks.drop("l_orderkey"), declared).select("video_id", "rule_id", "detail", "locator")
+
+
+@query("flash_findings", """
+WITH n AS (SELECT user_id::VARCHAR AS video_id, count(*) FILTER (event_type = 'click') AS f, count(*) FILTER (event_type = 'view') AS c FROM events GROUP BY ALL)
+SELECT video_id, CASE WHEN f > 0 THEN 'HIGH' ELSE 'INFO' END AS severity, 'single-frame flashes' AS title, f::VARCHAR AS detail FROM n
+UNION ALL SELECT video_id, 'INFO', 'cuts', c::VARCHAR FROM n""")
+def flash_findings(t: Tables) -> DataFrame:
+    from quarry.operators import container_rules
+
+    kinds = t.events.select(F.col("user_id").cast("string").alias("video_id"), F.when(F.col("event_type") == "click", "flash").when(F.col("event_type") == "view", "cut").alias("kind"))
+    return container_rules.flash_rules(kinds, kinds.select("video_id").distinct()).select("video_id", "severity", "title", "detail")
+
+
+# --- plans -----------------------------------------------------------------------------
+
+
+@query("zero_plan", """
+WITH s AS (SELECT p_partkey, CASE p_size % 4 WHEN 1 THEN 700 WHEN 2 THEN 1048576 + p_partkey % 2 WHEN 3 THEN 2000000 ELSE 0 END AS n FROM part)
+SELECT p_partkey::VARCHAR AS video_id, p_partkey AS "offset", n AS length, CASE WHEN n >= 1048576 THEN n END AS zero_len FROM s WHERE n > 0""")
+def zero_plan(t: Tables) -> DataFrame:
+    """Zero fill of stretches on both sides of the length from which no bytes are carried."""
+    k, size = F.col("p_partkey"), F.col("p_size") % 4
+    n = F.when(size == 1, 700).when(size == 2, 1048576 + k % 2).when(size == 3, 2000000).otherwise(0).cast("long")
+    spans = t.part.select(k.cast("string").alias("video_id"), k.alias("a"), (k + n).alias("b"))
+    return patches.zero_patches(spans, "padding").select("video_id", "offset", patches.patch_length().alias("length"), "zero_len")
+
+
+@query("metadata_plan", _MOVIE + " SELECT video_id, 'encoder' AS kind, '©too' AS label, repeat(' ', strlen(source)) AS data FROM m WHERE strlen(source) > 0")
+def metadata_plan(t: Tables) -> DataFrame:
+    from quarry.functions import boxes
+
+    plan = patches.metadata_patches(boxes.metadata_items(_movies(t)), "blank")
+    return plan.select("video_id", "kind", "label", F.col("data").cast("string").alias("data"))
+
+
+@query("sei_plan", _MOVIE + " SELECT video_id, 36 AS length, '0C' || repeat('FF', 34) || '80' AS data FROM m")
+def sei_plan(t: Tables) -> DataFrame:
+    """A filler unit of the same length for each user-data message."""
+    from quarry.functions import bitstream
+
+    movies = _movies(t)
+    plan = patches.sei_patches(bitstream.sei(movies, deep=True), bitstream.nals(movies, deep=True), "user-data")
+    return plan.select("video_id", patches.patch_length().alias("length"), F.hex("data").alias("data"))
+
+
+@query("rewrite_policies", """
+SELECT p_partkey, CASE WHEN p_size % 3 = 1 THEN 'all' WHEN p_size % 3 = 2 THEN 'keep' WHEN p_partkey % 3 = 0 THEN 'keep' ELSE 'user-data' END AS sei,
+  CASE p_size % 3 WHEN 1 THEN true WHEN 2 THEN false ELSE p_partkey % 2 > 0 AND p_partkey % 5 > 0 END AS remux, p_partkey % 4 < 2 AS copied, p_partkey % 4 < 3 AS encoded FROM part""")
+def rewrite_policies(t: Tables) -> DataFrame:
+    """What to do with messages, whether a rewrite is asked for, and whether a duration is kept."""
+    k, size = F.col("p_partkey"), F.col("p_size") % 3
+    policy = F.when(size == 0, "auto").when(size == 1, "all").otherwise("keep")
+    transfer = F.when(k % 3 == 0, "smpte2084").when(k % 3 == 1, "bt709")
+    mode = F.when(size == 0, "auto").when(size == 1, "always").otherwise("never")
+    # longer by 0, 0.03, 0.2 and 0.4 seconds
+    longer = F.element_at(F.array(*[F.lit(x) for x in (10.0, 10.03, 10.2, 10.4)]), (k % 4 + 1).cast("int"))
+    return t.part.select(
+        "p_partkey", patches.sei_policy(policy, transfer).alias("sei"), patches.remux_choice(mode, k % 2, k % 5 > 0).alias("remux"),
+        patches.duration_kept(F.lit(10.0), longer).alias("copied"), patches.duration_kept(F.lit(10.0), longer, encoded=True).alias("encoded"),
+    )
+
+
+@query("region_choice", """
+WITH r AS (SELECT p_partkey AS k, 0 AS idx, CASE WHEN p_partkey % 3 = 0 THEN p_size ELSE p_size + 100 END AS x FROM part WHERE p_partkey % 5 > 0)
+SELECT k::VARCHAR AS video_id, idx, x, CASE WHEN k % 4 = 0 THEN 'listed' WHEN k % 2 = 0 THEN 'a.png' END AS layer FROM r""")
+def region_choice(t: Tables) -> DataFrame:
+    """Regions a person chose, else the scan's, none where none are wanted; their layers listed or found."""
+    k = F.col("p_partkey")
+    base = lambda rows, x, *more: rows.select(k.cast("string").alias("video_id"), F.lit(0).alias("idx"), x, *more)
+    manual, scanned = base(t.part.filter((k % 3 == 0) & (k % 5 > 0)), F.col("p_size").alias("x")), base(t.part, (F.col("p_size") + 100).alias("x"))
+    none = t.part.filter(k % 5 == 0).select(k.cast("string").alias("video_id"))
+    listed = base(t.part.filter(k % 4 == 0), F.lit("listed").alias("path"))
+    found = base(t.part.filter(k % 2 == 0), F.explode(F.array(F.lit("b.png"), F.lit("a.png"))).alias("path"))
+    return patches.region_layers(patches.regions_by_priority(manual, scanned, none), listed, found)
+
+
+@query("pooled_trials", """
+SELECT (l_orderkey % 200)::VARCHAR AS video_id, l_returnflag AS encoder, l_linenumber AS crf, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS mean, min(CAST(l_quantity AS DOUBLE)) - 5 AS worst,
+  coalesce(min(CASE WHEN CAST(l_quantity AS DOUBLE) > 10 THEN CAST(l_quantity AS DOUBLE) - 10 END), 0) AS p1 FROM lineitem GROUP BY ALL""")
+def pooled_trials(t: Tables) -> DataFrame:
+    q = F.col("l_quantity").cast("double")
+    windows = t.lineitem.select((F.col("l_orderkey") % 200).cast("string").alias("video_id"), F.col("l_returnflag").alias("encoder"), F.col("l_linenumber").alias("crf"), F.lit("vmaf").alias("metric"), q.alias("mean"), (q - 5).alias("worst"), (q - 10).alias("p1"))
+    return selection.pooled_quality(windows).select("video_id", "encoder", "crf", r6(F.col("mean")).alias("mean"), "worst", "p1")
+
+
 @query("container_findings")
 def container_findings(t: Tables) -> DataFrame:
     from quarry.operators import container_rules

@@ -21,11 +21,18 @@ def arriving_files(spark: SparkSession, folder: str, late: str = "1 day", extens
     return once.select(video_id(F.col("path")).alias("video_id"), "path", "modificationTime", "length", "content")
 
 
-def scan_arrivals(files: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str):
-    """Write the findings of each batch below ``out``, a folder a batch, so a batch run again replaces itself."""
+def scan_arrivals(files: DataFrame, scan: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, held: list[DataFrame] | None = None):
+    """Write the findings of each batch below ``out``, a folder a batch, so a batch run again replaces itself.
+
+    Tables that ``scan`` adds to ``held`` are released once a batch is written.
+    """
 
     def each(batch: DataFrame, number: int) -> None:
-        scan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        try:
+            scan(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            while held:
+                held.pop().unpersist()
 
     return files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -162,3 +162,27 @@ def test_many_rows_of_many_files(spark):
     files = spark.createDataFrame([(str(k), k) for k in range(60)], "video_id string, n int").selectExpr("video_id", "CAST(repeat('ab', n) AS BINARY) AS content").repartition(2)
     rows = boxes.per_file(files, lambda v, d: ((v, i, d[i : i + 1], [i]) for i in range(len(d) * 100)), "video_id string, i long, c binary, l array<int>")
     assert rows.count() == 100 * sum(2 * k for k in range(60))
+
+
+def test_scan_with_a_probe_flashes_and_media_bytes(spark):
+    import json
+
+    from quarry.sources import files as source
+
+    table = stbl([10], [100], [(1, 1)], extra=full("stts", u32(1, 1, 512)))
+    found = files(spark, a=movie(table, b"user_id=abcdef12 "), b=movie(table, b"x"))
+    streams = [
+        {"index": 0, "codec_type": "video", "width": 640, "height": 360, "nb_frames": "5", "disposition": {"attached_pic": 1}},
+        {"index": 1, "codec_type": "data"},
+    ]
+    probe = source.probes(spark.createDataFrame([("a", json.dumps({"format": {}, "streams": streams, "chapters": [{"id": 1}]})), ("b", "not json")], "video_id string, probe string"))
+    kinds = spark.createDataFrame([("a", "flash"), ("a", "cut")], "video_id string, kind string")
+    held = []
+    rows = {(r.video_id, r.rule_id, r.severity, r.detail) for r in container_rules.scan(found, probe, kinds, deep=True, held=held).collect()}
+    assert {("a", "R18", "HIGH", "1"), ("a", "R19", "MED", "0"), ("a", "R19", "LOW", "1"), ("a", "R25", "MED", "5 1"), ("a", "R30", "HIGH", "1"), ("b", "R30", "INFO", "0")} <= rows
+    assert not any(v == "b" and rule in ("R18", "R19", "R25") for v, rule, _, _ in rows)
+    plain = {(r.video_id, r.rule_id, r.severity, r.detail) for r in container_rules.scan(found).collect()}
+    assert plain < rows and all(rule in ("R18", "R19", "R24", "R25", "R30") for _, rule, _, _ in rows - plain)
+    assert held and all(t.is_cached for t in held)
+    for t in held:
+        t.unpersist()

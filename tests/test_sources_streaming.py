@@ -60,7 +60,9 @@ def test_arrivals_equal_batch(spark, tmp_path):
     for k in range(3):
         (folder / f"{k}.mp4").write_bytes(box("ftyp", bytes(8)) + box("free", bytes([k]) * 100))
     stream = arrivals.arriving_files(spark, str(folder))
-    arrivals.scan_arrivals(stream, scan, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    held = []
+    arrivals.scan_arrivals(stream, lambda batch: scan(batch, held=held), str(tmp_path / "out"), str(tmp_path / "state"), held).awaitTermination()
+    assert not held
     key = ["rule_id", "severity", "title"]
     streamed = spark.read.parquet(str(tmp_path / "out")).groupBy(*key).count().collect()
     batch = scan(files.whole_files(spark, str(folder))).groupBy(*key).count().collect()
