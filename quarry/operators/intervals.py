@@ -1,9 +1,10 @@
 """Half-open interval algebra as window expressions.
 
 Intervals are two long columns within optional keys.  Touching intervals merge, and
-intervals that end at or before zero are dropped.  ``width`` splits a key's axis into
-buckets: windows then run inside (key, bucket) and only one row a bucket carries the
-running end and the open island over bucket borders, so a hot key is many tasks.
+intervals that end at or before zero are dropped.  Every operator but ``runs`` takes a
+``width`` that splits a key's axis into buckets: windows then run inside (key, bucket) and
+only one row a bucket carries the running end and the open island over bucket borders, so
+a hot key is many tasks.  Results do not depend on it.
 """
 
 from __future__ import annotations
@@ -17,18 +18,13 @@ def union(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int
     rows = df.select(*keys, F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("b > 0 AND b > a")
     if width:
         rows = rows.withColumn("_bucket", F.floor(F.col("a") / F.lit(width)))
-        over = Window.partitionBy(*keys, "_bucket").orderBy("a", "b")
-        carried = _carry(rows.groupBy(*keys, "_bucket").agg(F.max("b").alias("_end")), keys, "_end")
-        rows = _meet(rows, carried, keys)
-        reach = F.greatest(F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.col("_end"))
-    else:
-        over = Window.partitionBy(*keys).orderBy("a", "b")
-        reach = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
+    over = Window.partitionBy(*keys, *(["_bucket"] if width else [])).orderBy("a", "b")
+    rows = _reach(rows, keys, ["a", "b"], "b", width, "_reach")
+    reach = F.col("_reach")
     rows = rows.withColumn("_start", F.when(reach.isNull() | (F.col("a") > reach), F.col("a")))
     # a range frame: of equal intervals any may be the one that opened the island
     island = F.max("_start").over(over.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     if width:
-        rows = rows.drop("_end")
         opened = _carry(rows.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_open")), keys, "_open")
         rows = _meet(rows, opened, keys)
         island = F.coalesce(island, F.col("_open"))
@@ -47,25 +43,38 @@ def _meet(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(carried, on).drop(*[carried[k] for k in [*keys, "_bucket"]])
 
 
+def _reach(rows: DataFrame, keys: list[str], order: list[str], value: str, width: int | None, name: str, own: bool = False) -> DataFrame:
+    """``rows`` and ``name``: the greatest ``value`` of their key so far in ``order``, that of the row itself only if ``own``.
+
+    With a ``width`` the first column of ``order`` tells the bucket.
+    """
+    within = [*keys, "_bucket"] if width else keys
+    so_far = F.max(value).over(Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1))
+    if not width:
+        return rows.withColumn(name, so_far)
+    kept = rows.columns
+    rows = rows.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(width)))
+    carried = _carry(rows.groupBy(*within).agg(F.max(value).alias("_carried")), keys, "_carried")
+    return _meet(rows, carried, keys).withColumn(name, F.greatest(so_far, "_carried")).select(*kept, name)
+
+
 def gaps(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", least: int = 1, width: int | None = None) -> DataFrame:
     """``keys, a, b, gap``: uncovered stretches between covered ones, at least ``least`` long."""
     merged = union(df, keys, a, b, width)
-    over = Window.partitionBy(*keys).orderBy("a")
-    found = merged.withColumn("_from", F.lag("b").over(over)).filter(F.col("a") - F.col("_from") >= least)
+    # islands are disjoint, so the greatest end so far is that of the island before
+    found = _reach(merged, keys, ["a", "b"], "b", width, "_from").filter(F.col("a") - F.col("_from") >= least)
     return found.select(*keys, F.col("_from").alias("a"), F.col("a").alias("b"), (F.col("a") - F.col("_from")).alias("gap"))
 
 
-def complement(df: DataFrame, spans: DataFrame, keys: list[str], a: str = "a", b: str = "b", lo: str = "lo", hi: str = "hi") -> DataFrame:
+def complement(df: DataFrame, spans: DataFrame, keys: list[str], a: str = "a", b: str = "b", lo: str = "lo", hi: str = "hi", width: int | None = None) -> DataFrame:
     """``keys, a, b``: what of each ``[lo, hi)`` in ``spans`` is uncovered, head and tail included.
 
     One row a key in ``spans``; keys without intervals give their whole span.
     """
     bounds = spans.select(*keys, F.col(lo).cast("long").alias("_lo"), F.col(hi).cast("long").alias("_hi"))
-    inner = union(df, keys, a, b).join(bounds, keys).filter("b > _lo AND a < _hi").select(*keys, "a", "b")
+    inner = union(df, keys, a, b, width).join(bounds, keys).filter("b > _lo AND a < _hi").select(*keys, "a", "b")
     edges = bounds.select(*keys, F.col("_lo").alias("a"), F.col("_lo").alias("b")).unionByName(bounds.select(*keys, F.col("_hi").alias("a"), F.col("_hi").alias("b")))
-    over = Window.partitionBy(*keys).orderBy("a", "b")
-    reach = F.max("b").over(over.rowsBetween(Window.unboundedPreceding, -1))
-    return inner.unionByName(edges).withColumn("_from", reach).filter("a > _from").select(*keys, F.col("_from").alias("a"), F.col("a").alias("b"))
+    return _reach(inner.unionByName(edges), keys, ["a", "b"], "b", width, "_from").filter("a > _from").select(*keys, F.col("_from").alias("a"), F.col("a").alias("b"))
 
 
 def covered(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int | None = None) -> DataFrame:
@@ -80,32 +89,30 @@ def gap_severity(total: Column) -> Column:
     return F.when(total >= 256, "HIGH").when(total > 0, "LOW").otherwise("INFO")
 
 
-def not_contained(inner: DataFrame, outer: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+def not_contained(inner: DataFrame, outer: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int | None = None) -> DataFrame:
     """Rows of ``inner`` that no single interval of ``outer`` contains.
 
     An interval is contained if, of the outer ones that start at or before it, the
     greatest end reaches its own: one ordered window instead of a range join.
     """
-    return _with_reach(inner, outer, keys, a, b).filter(F.col("_reach").isNull() | (F.col("_reach") < F.col(b))).drop("_reach")
+    return _with_reach(inner, outer, keys, a, b, width).filter(F.col("_reach").isNull() | (F.col("_reach") < F.col(b))).drop("_reach")
 
 
-def contained(inner: DataFrame, outer: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int | None = None) -> DataFrame:
     """Rows of ``inner`` that some interval of ``outer`` contains."""
-    return _with_reach(inner, outer, keys, a, b).filter(F.col("_reach") >= F.col(b)).drop("_reach")
+    return _with_reach(inner, outer, keys, a, b, width).filter(F.col("_reach") >= F.col(b)).drop("_reach")
 
 
-def _with_reach(inner: DataFrame, outer: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+def _with_reach(inner: DataFrame, outer: DataFrame, keys: list[str], a: str, b: str, width: int | None) -> DataFrame:
     asks = inner.withColumns({"_end": F.lit(None).cast("long"), "_asks": F.lit(1)})
     gives = outer.select(*keys, F.col(a).alias(a), F.col(b).cast("long").alias("_end")).withColumn("_asks", F.lit(0))
     both = asks.unionByName(gives, allowMissingColumns=True)
-    over = Window.partitionBy(*keys).orderBy(a, "_asks").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_reach", F.max("_end").over(over)).filter("_asks = 1").drop("_end", "_asks")
+    return _reach(both, keys, [a, "_asks"], "_end", width, "_reach", own=True).filter("_asks = 1").drop("_end", "_asks")
 
 
-def overlaps(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
+def overlaps(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int | None = None) -> DataFrame:
     """Rows that begin before an earlier interval of their key has ended, with ``reach``, that end."""
-    over = Window.partitionBy(*keys).orderBy(a, b).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("reach", F.max(b).over(over)).filter(F.col("reach") > F.col(a))
+    return _reach(df, keys, [a, b], b, width, "reach").filter(F.col("reach") > F.col(a))
 
 
 def runs(df: DataFrame, keys: list[str], position: str) -> DataFrame:

@@ -28,14 +28,19 @@ def frame_stats(frames: DataFrame) -> DataFrame:
 
 
 def overlay_regions(frames: DataFrame, most: int = MOST_FRAMES) -> DataFrame:
-    """Still marked regions of grey frames by video; of long videos evenly spread frames."""
-    over = Window.partitionBy("video_id").orderBy("idx")
+    """Still marked regions of grey frames by video; of long videos evenly spread frames, a repeated frame once.
+
+    Frames are chosen by their numbers alone, so only the pixels of those chosen are shuffled.
+    """
+    numbers = frames.select("video_id", "idx").distinct()
+    r = F.row_number().over(Window.partitionBy("video_id").orderBy("idx")) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy("video_id"))
     step = F.greatest(F.lit(1), F.ceil(n / F.lit(most)))
-    chosen = frames.withColumns({"_r": F.row_number().over(over) - 1, "_s": step}).filter(F.col("_r") % F.col("_s") == 0).drop("_r", "_s")
+    picked = numbers.withColumns({"_r": r, "_s": step}).filter(F.col("_r") % F.col("_s") == 0).select(F.col("video_id").alias("_v"), F.col("idx").alias("_i"))
+    chosen = frames.join(picked, F.col("video_id").eqNullSafe(F.col("_v")) & F.col("idx").eqNullSafe(F.col("_i")), "left_semi")
 
     def regions(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
+        rows = rows.drop_duplicates("idx").sort_values("idx")
         shape = (int(rows["h"].iloc[0]), int(rows["w"].iloc[0]))
         found = kernels.overlay(np.stack([np.frombuffer(p, np.uint8).reshape(shape) for p in rows["pix"]]))
         return pd.DataFrame([(rows["video_id"].iloc[0], *f) for f in found], columns=["video_id", "x", "y", "w", "h", "grad", "fill"])

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 def bin_power(vector: Column, k: Column | int, n: int) -> Column:
     """Squared magnitude of one DFT bin of a vector of ``n`` values."""
     k = F.lit(k) if isinstance(k, int) else k
-    turn = lambda i: F.lit(-2.0 * math.pi / n) * ((k * i) % n)
-    add = lambda f: F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * f(turn(i))), F.lit(0.0), lambda a, x: a + x)
-    re, im = add(F.cos), add(F.sin)
+
+    def add(turn) -> Column:  # turns are a constant array, not worked out again for each bin and value
+        turns = F.array(*[F.lit(turn(-2.0 * math.pi * i / n)) for i in range(n)])
+        return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * F.get(turns, (k * i) % n)), F.lit(0.0), lambda a, x: a + x)
+
+    re, im = add(math.cos), add(math.sin)
     return re * re + im * im
 
 

@@ -2,6 +2,7 @@ import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from quarry.operators import intervals
 
@@ -49,6 +50,39 @@ def test_containment_needs_one_interval(spark):
     assert sorted((r.a, r.b) for r in intervals.contained(inner, outer, ["k"]).collect()) == [(1, 3), (9, 11), (30, 31)]
 
 
+def test_results_do_not_depend_on_buckets(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), a, a + rng.choice([1, 4, 30, 200])) for a in (rng.randrange(0, 2000) for _ in range(300))]
+    few = [(k, a, a + rng.randrange(1, 60)) for k, a, _ in rows[::2]]
+    df, inner = (spark.createDataFrame(x, "k string, a long, b long") for x in (rows, few))
+    spans = spark.createDataFrame([("hot", -5, 2500), ("b", 100, 900)], "k string, lo long, hi long")
+    for found in (
+        lambda w: intervals.gaps(df, ["k"], width=w),
+        lambda w: intervals.complement(df, spans, ["k"], width=w),
+        lambda w: intervals.contained(inner, df, ["k"], width=w),
+        lambda w: intervals.not_contained(inner, df, ["k"], width=w),
+        lambda w: intervals.overlaps(df, ["k"], width=w),
+    ):
+        whole = found(None).select("*")
+        expected = sorted(map(str, whole.collect()))
+        assert expected
+        for width in (16, 500):
+            bucketed = found(width)
+            assert bucketed.columns == whole.columns and sorted(map(str, bucketed.collect())) == expected
+
+
+def test_a_hot_key_is_many_tasks(spark):
+    df = spark.range(2000).select(F.lit("k").alias("k"), (F.col("id") * 10).alias("a"), (F.col("id") * 10 + 15).alias("b"))
+    late = intervals.overlaps(df, ["k"], width=100)
+    spread = late.groupBy(F.spark_partition_id()).count()
+    with_aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert spread.count() > 1 and late.count() == 1999
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", with_aqe)
+
+
 def test_runs(spark):
     rows = spark.createDataFrame([("a", p) for p in (1, 2, 3, 7, 9, 10)], "k string, p long")
     assert sorted((r.a, r.b, r.n) for r in intervals.runs(rows, ["k"], "p").collect()) == [(1, 3, 3), (7, 7, 1), (9, 10, 2)]

@@ -41,6 +41,8 @@ def test_overlay_is_found_and_noise_is_not(spark):
     found = media.overlay_regions(spark.createDataFrame(rows, "video_id string, idx long, t double, w int, h int, pix binary")).collect()
     assert len(found) >= 1 and abs(found[0].x - 10) <= 3 and abs(found[0].y - 40) <= 3
     assert kernels.overlay(np.zeros((8, 16, 16), np.uint8)) == []
+    twice = spark.createDataFrame(rows + rows, "video_id string, idx long, t double, w int, h int, pix binary")
+    assert media.overlay_regions(twice).collect() == found
 
 
 def test_spectra(spark):
