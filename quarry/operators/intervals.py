@@ -26,7 +26,7 @@ def union(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", width: int
     island = F.max("_start").over(over.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     if width:
         opened = _carry(rows.groupBy(*keys, "_bucket").agg(F.max("_start").alias("_open")), keys, "_open")
-        rows = _meet(rows, opened, keys)
+        rows = meet_buckets(rows, opened, keys)
         island = F.coalesce(island, F.col("_open"))
     rows = rows.withColumn("_island", island)
     return rows.groupBy(*keys, "_island").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_island")
@@ -38,7 +38,8 @@ def _carry(buckets: DataFrame, keys: list[str], value: str) -> DataFrame:
     return buckets.withColumn(value, F.max(value).over(before))
 
 
-def _meet(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+def meet_buckets(rows: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what one row for each key and ``_bucket`` carries; null keys meet."""
     on = [rows[k].eqNullSafe(carried[k]) for k in [*keys, "_bucket"]]
     return rows.join(carried, on).drop(*[carried[k] for k in [*keys, "_bucket"]])
 
@@ -55,7 +56,7 @@ def _reach(rows: DataFrame, keys: list[str], order: list[str], value: str, width
     kept = rows.columns
     rows = rows.withColumn("_bucket", F.floor(F.col(order[0]) / F.lit(width)))
     carried = _carry(rows.groupBy(*within).agg(F.max(value).alias("_carried")), keys, "_carried")
-    return _meet(rows, carried, keys).withColumn(name, F.greatest(so_far, "_carried")).select(*kept, name)
+    return meet_buckets(rows, carried, keys).withColumn(name, F.greatest(so_far, "_carried")).select(*kept, name)
 
 
 def gaps(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", least: int = 1, width: int | None = None) -> DataFrame:

@@ -97,7 +97,7 @@ e AS (
 def interval_complement(t: Tables) -> DataFrame:
     rows = _event_spans(t)
     limits = rows.agg((F.min("a") - 1000).alias("lo"), (F.max("b") + 1000).alias("hi"))
-    return intervals.complement(rows, rows.select("event_type").distinct().join(F.broadcast(limits)), ["event_type"])
+    return intervals.complement(rows, rows.select("event_type").distinct().join(F.broadcast(limits)), ["event_type"], width=_DAY)
 
 
 @query("coverage_ratio", _EVENT_SPANS + """
@@ -146,7 +146,7 @@ SELECT user_id, event_id, a, b, reach FROM (
 def patch_overlap(t: Tables) -> DataFrame:
     start = F.floor(micros("ts") / 1_000_000).cast("long")
     rows = t.events.select("user_id", "event_id", start.alias("a"), (start + F.floor(F.col("value") * 60)).cast("long").alias("b"))
-    return intervals.overlaps(rows, ["user_id"])
+    return intervals.overlaps(rows, ["user_id"], width=_DAY)
 
 
 # --- series ----------------------------------------------------------------------------

@@ -1,4 +1,6 @@
-from quarry.operators import robust, series
+import random
+
+from quarry.operators import joins, robust, series
 
 
 def frame(spark, y):
@@ -49,9 +51,16 @@ def test_flash_comes_back_within_the_larger_of_two_steps(spark):
 
 
 def test_asof_keeps_long_offsets(spark):
-    from quarry.operators import joins
 
     far = 2**53
     left = spark.createDataFrame([("a", far), ("a", far + 1)], "k string, at long")
     right = spark.createDataFrame([("a", far, 1), ("a", far + 1, 2)], "k string, start long, seg int")
     assert {r.at: r.seg for r in joins.asof(left, right, ["k"], "at", "start", ["seg"]).collect()} == {far: 1, far + 1: 2}
+
+
+def test_asof_does_not_depend_on_buckets(spark):
+    rng = random.Random(5)
+    left = spark.createDataFrame([(rng.choice(["hot", "hot", "b", None]), rng.randrange(0, 1000)) for _ in range(200)], "k string, at long")
+    right = spark.createDataFrame([(k, s, n if n % 7 else None) for k in ("hot", "b", None) for n, s in enumerate(rng.sample(range(50, 1000), 12))], "k string, start long, seg int")
+    rows = lambda w: sorted(map(str, joins.asof(left, right, ["k"], "at", "start", ["seg"], width=w).collect()))
+    assert len(rows(None)) == 200 and rows(None) == rows(7) == rows(300)
