@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, html_text, langid, licenses, mixing, packing, simhash, tokens, topk, toxicity
+from quarry.llm import chats, exact_dedup, html_text, langid, licenses, mixing, negatives, packing, phrases, simhash, tokens, topk, toxicity
 from quarry.llm.common import table
 from quarry.llm.oracles import ORACLES
 
@@ -70,14 +70,43 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+#: A conversation of control strings, which the contract adds to the table.
+PLANTED_CHAT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(PLANTED_CHAT, "conv_id long, turn long, role string, text string"))
+    tokenizer = public_tokenizers.path(BYTE_BPE)
+    read = chats.read_back(chats.format_chats(chats.conversations(rows), tokenizer), tokenizer)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(turns, 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2("learned", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_exact_top_k, op3_best_fit_packing, op4_toxicity, op5_exact_dedup, op6_simhash_near_dedup, op7_token_counts, op8_html_extraction, op9_language_id, op10_mixing)
+    for f in (op1_license_scan, op2_exact_top_k, op3_best_fit_packing, op4_toxicity, op5_exact_dedup, op6_simhash_near_dedup, op7_token_counts, op8_html_extraction, op9_language_id, op10_mixing, op11_phrase_mining, op12_chat_formatting, op13_hard_negatives)
 }
 
 
 def queries() -> dict:
-    """The ten operators' queries and the pipeline that chains five of them."""
+    """The operators' queries and the pipeline that chains five of them."""
     import corpus_pipeline
 
     return {**QUERIES, "pipeline": corpus_pipeline.run}
