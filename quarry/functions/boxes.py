@@ -62,6 +62,13 @@ class Box:
 class Tree:
     boxes: list[Box] = field(default_factory=list)
     anomalies: list[tuple[str, int, str, str]] = field(default_factory=list)
+    _named: dict[int, Box] = field(default_factory=dict)
+
+    @property
+    def by_ident(self) -> dict[int, Box]:
+        if len(self._named) != len(self.boxes):
+            self._named = {b.ident: b for b in self.boxes}
+        return self._named
 
     def children(self, box: Box | None) -> list[Box]:
         ident = box.ident if box else None
@@ -75,11 +82,12 @@ class Tree:
         return next(iter(self.under(box, kind)), None)
 
 
-def parse(data: bytes) -> Tree:
+def parse(data: bytes, base: int = 0) -> Tree:
     """All boxes of a buffer, parents before children, levels read with an explicit stack.
 
     A size of one takes the 64-bit size that follows, zero reaches the segment's end and is
-    an anomaly, and a size under its header or past the segment ends that level.
+    an anomaly, and a size under its header or past the segment ends that level.  ``base``, the
+    buffer's place in its file, shows in messages only.
     """
     tree = Tree()
     levels: list[tuple[int, int, Box | None, str]] = [(0, len(data), None, "")]
@@ -103,7 +111,7 @@ def parse(data: bytes) -> Tree:
             if raw == b"uuid":
                 uuid, header = data[at + header : at + header + 16], header + 16
             if size < header or at + size > end:
-                tree.anomalies.append((where, at, "bad_size", f"size {size}, header {header}, end {end}"))
+                tree.anomalies.append((where, at, "bad_size", f"size {size}, header {header}, end {base + end}"))
                 break
             box = Box(len(tree.boxes), parent.ident if parent else None, raw, at, header, size, depth, where, uuid)
             tree.boxes.append(box)

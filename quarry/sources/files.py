@@ -64,20 +64,52 @@ def byte_ranges(files: DataFrame, size: int = 8 << 20) -> DataFrame:
 
 
 def read_range(path: str, offset: int, length: int) -> bytes:
-    """Bytes of a range, for stores that the executors mount."""
-    with open(path.removeprefix("file:"), "rb") as f:
-        f.seek(offset)
-        return f.read(length)
+    """Bytes of a range, from any store that Arrow's file systems open: local files, HDFS, object stores."""
+    from pyarrow.fs import FileSystem
+
+    store, inside = FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+    with store.open_input_file(inside) as f:
+        return f.read_at(max(0, min(length, f.size() - offset)), offset)
+
+
+def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """``video_id, path, length`` of the files under ``path``; Spark lists them, no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return found.select(video_id(F.col("path")).alias("video_id"), "path", "length")
+
+
+def read_pieces(pieces: DataFrame, start: str = "start", n: str = "n") -> DataFrame:
+    """``pieces`` (with path) and ``content``: each task seeks to its pieces and reads no more than those."""
+
+    def read(path: str, at: int, length: int) -> bytes:
+        return read_range(path, at, length)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):  # a piece at a time: together they may pass memory
+                row = batch.slice(k, 1)
+                data = read(*(row.column(c)[0].as_py() for c in ("path", start, n)))
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([data], pa.binary())], [*row.schema.names, "content"])
+
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in pieces.dtypes)
+    return pieces.mapInArrow(run, f"{schema}, content binary")
+
+
+def range_contents(files: DataFrame, size: int = 8 << 20, overlap: int = 0) -> DataFrame:
+    """``video_id, path, offset, length, content``: ``byte_ranges`` dealt out over the cluster and read, with ``overlap`` more bytes."""
+    ranges = byte_ranges(files, size).withColumn("_n", F.col("length") + overlap)
+    spread = ranges.repartition("video_id", "offset")
+    return read_pieces(spread, "offset", "_n").drop("_n")
 
 
 def register_byte_ranges(spark: SparkSession) -> None:
     """``spark.read.format("byte_ranges").option("path", ...).option("size", ...)``: a seek-based source for large files.
 
-    Each range of a file is a partition of its own, so files beyond the 2 GB of one
-    value are read in parallel and only as far as a query asks.
+    Each range of a file is a partition of its own.  The driver lists the files; for a
+    listing by Spark see ``listing`` and ``range_contents``.
     """
-    import os
-
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class Range(InputPartition):
@@ -86,11 +118,17 @@ def register_byte_ranges(spark: SparkSession) -> None:
 
     class Reader(DataSourceReader):
         def __init__(self, options):
-            self.path, self.size = options["path"].removeprefix("file:"), int(options.get("size", 8 << 20))
+            self.path, self.size = options["path"], int(options.get("size", 8 << 20))
 
         def partitions(self) -> list[InputPartition]:
-            top = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names)
-            return [Range(p, at, min(self.size, n - at)) for p in top for n in [os.path.getsize(p)] for at in range(0, n, self.size)]
+            from pyarrow.fs import FileSelector, FileSystem, FileType
+
+            uri = self.path if "://" in self.path else f"file://{self.path.removeprefix('file:')}"
+            store, inside = FileSystem.from_uri(uri)
+            top = store.get_file_info(inside)
+            found = [top] if top.type == FileType.File else sorted((f for f in store.get_file_info(FileSelector(inside, recursive=True)) if f.type == FileType.File), key=lambda f: f.path)
+            named = lambda f: uri if f is top else f"{uri.removesuffix(inside)}{f.path}"
+            return [Range(named(f), at, min(self.size, f.size - at)) for f in found for at in range(0, f.size, self.size)]
 
         def read(self, partition: Range) -> Iterator[tuple]:
             yield partition.path, partition.offset, read_range(partition.path, partition.offset, partition.length)
