@@ -34,9 +34,9 @@ from quarry.llm.common import checkpointed, stored
 
 LEAST, LONGEST, KEPT, HELD_IN = 30, 4, 2000, 80
 #: Places in a shard, and the share of them from which a bitmap is a bit set.
-SHARD, DENSE = 1 << 22, 64
+SHARD, DENSE = 1 << 20, 64
 #: Places of the phrases that are extended together.
-RUN = 1 << 18
+RUN = 1 << 17
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 _BLANK, _NONE = 0, -1
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
@@ -250,10 +250,23 @@ def grow(shard: Shard, longest: int, admits: Callable[[np.ndarray, np.ndarray],
 def _read(batches: Iterator[pa.RecordBatch], words: Bits) -> Iterator[tuple[dict, Shard]]:
     for batch in batches:
         for k in range(batch.num_rows):
-            row = batch.slice(k, 1).to_pylist()[0]
+            row = {name: batch.column(name)[k] for name in batch.schema.names}
+            row = {name: v.values.to_numpy() if isinstance(v, pa.ListScalar) else v.as_py() for name, v in row.items()}
             yield row, Shard(row, words)
 
 
+def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """Batches put together to ``rows`` or more, for some phrases come one by one."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _pair_counts(words) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, shard in _read(batches, Bits(words.value)):
@@ -262,7 +275,7 @@ def _pair_counts(words) -> Callable:
                     both = joined_hash(shard.hashes[found[:, 0]], shard.hashes[found[:, 1]])
                     yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return run
+    return lambda batches: _together(run(batches))
 
 
 def _phrase_counts(words, pairs, longest: int) -> Callable:
@@ -276,7 +289,7 @@ def _phrase_counts(words, pairs, longest: int) -> Callable:
                 size = pa.array(np.full(len(n), found.shape[1], np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), text, size, pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
 
-    return run
+    return lambda batches: _together(run(batches))
 
 
 def _part(k: Column, first: bool) -> Column:
