@@ -11,12 +11,12 @@ at most, the AND with all listed words is taken at once, by looking up what stan
 shifted places.  Phrases grow depth first from runs of first words, so a task holds the
 bitmaps of one run at a time.
 
-Three passes over the shards: words are counted; then pairs of frequent words, by a 64-bit
-hash; then all phrases whose words and pairs are frequent, by their text, popcounts summed
-over shards.  What the first two passes find reaches the third as a bit filter that may
-admit too much but never too little, so it only saves work: every count used comes from
-the third pass, and is exact.  The filter has ``FILTER_BITS`` bits at most, whatever the
-table's size.
+Passes over the shards, popcounts summed over them: words are counted; then pairs of
+frequent words, then triples of frequent pairs, both by a hash; then all phrases whose
+words, pairs and triples are frequent, by their text.  What a pass finds reaches the next
+as a bit filter that may admit too much but never too little, so it only saves work: every
+count used comes from the last pass, and is exact.  A filter has ``FILTER_BITS`` bits at
+most, whatever the table's size.
 """
 
 from __future__ import annotations
@@ -34,12 +34,15 @@ from quarry.llm.common import checkpointed, stored
 
 LEAST, LONGEST, KEPT, HELD_IN = 30, 4, 2000, 80
 #: Places in a shard, and the share of them from which a bitmap is a bit set.
-SHARD, DENSE = 1 << 20, 64
+SHARD, DENSE = 1 << 19, 64
 #: Places of the phrases that are extended together.
 RUN = 1 << 17
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
+#: Bits of a phrase's hash beyond those that number all words.
+SPARE_BITS = 12
 _BLANK, _NONE = 0, -1
 _CUT = bytes.maketrans(b".,;:!?\x0b\x0c\x0d\t", b"\n" * 9 + b" ")
+_SHIFT = 13
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 32)]
 
 
@@ -115,7 +118,7 @@ class Bits:
 
     def admits(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), bool)
-        for probe in (hashes, hashes >> _ODD[2]):
+        for probe in (hashes, hashes ^ (hashes >> np.uint64(_SHIFT))):
             at = probe & self.mask
             found &= (self.cells[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
         return found
@@ -126,7 +129,7 @@ def bit_filter(keys: DataFrame, column: str, most_bits: int = FILTER_BITS) -> np
     n, bits = keys.count(), 1 << 10
     while bits < min(most_bits, n * BITS_A_KEY):
         bits *= 2
-    probes = keys.select(F.explode(F.array(F.col(column), F.shiftrightunsigned(column, 32))).alias("p")).select(F.col("p").bitwiseAND(bits - 1).alias("p"))
+    probes = keys.select(F.explode(F.array(F.col(column), F.col(column).bitwiseXOR(F.shiftrightunsigned(column, _SHIFT)))).alias("p")).select(F.col("p").bitwiseAND(bits - 1).alias("p"))
     cells = probes.groupBy(F.shiftright("p", 6).alias("cell")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(63).cast("int"))).alias("mask"))
     found, out = cells.toArrow(), np.zeros(bits // 64, np.int64)
     out[found["cell"].to_numpy()] = found["mask"].to_numpy()
@@ -174,11 +177,13 @@ def _shifted(bits: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Whether phrases, a row of words each, may be frequent, told from their last words.
+Admits = Callable[[np.ndarray], np.ndarray]
 #: Phrases of one length: their words (a row each), popcounts, and their places one after another.
 Grown = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _extended(shard: Shard, words: np.ndarray, counts: np.ndarray, places: np.ndarray, admits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Grown:
+def _extended(shard: Shard, words: np.ndarray, counts: np.ndarray, places: np.ndarray, admits: Admits) -> Grown:
     """Listed phrases shifted and ANDed with every word at once."""
     of, moved = np.repeat(np.arange(len(words)), counts), places + 1
     found = shard.stands[moved]
@@ -190,18 +195,18 @@ def _extended(shard: Shard, words: np.ndarray, counts: np.ndarray, places: np.nd
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
     n = np.diff(np.r_[first, len(key)])
     longer = np.column_stack([words[key[first] // len(shard.hashes)], (key[first] % len(shard.hashes)).astype(np.int32)])
-    stays = admits(longer[:, -2], longer[:, -1])
+    stays = admits(longer)
     return longer[stays], n[stays], moved[np.repeat(stays, n)]
 
 
-def _dense_extended(shard: Shard, words: np.ndarray, bits: np.ndarray, admits: Callable) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[Grown]]:
+def _dense_extended(shard: Shard, words: np.ndarray, bits: np.ndarray, admits: Admits) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[Grown]]:
     """A phrase's bit set shifted and ANDed with the bit sets, and tested at the places of the listed words."""
     moved, sets, lists = _shifted(bits), [], []
     one = lambda w: np.append(words, np.int32(w))
     for w, other in shard.dense.items():
         both = moved & other
         n = int(np.bitwise_count(both).sum())
-        if n and admits(words[-1:], np.array([w]))[0]:
+        if n and admits(one(w)[None])[0]:
             if n * DENSE >= shard.n:
                 sets.append((one(w), both))
             else:
@@ -211,14 +216,14 @@ def _dense_extended(shard: Shard, words: np.ndarray, bits: np.ndarray, admits: C
     found, places = shard.listed_words[hit], shard.listed[hit]  # in the order of words
     first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]]) if len(found) else np.zeros(0, np.int64)
     n, w = np.diff(np.r_[first, len(found)]), found[first]
-    stays = admits(np.repeat(words[-1:], len(w)), w)
     longer = np.column_stack([np.repeat(words[None], len(w), axis=0), w])
+    stays = admits(longer)
     lists.append((longer[stays], n[stays], places[np.repeat(stays, n)]))
     return sets, lists
 
 
-def grow(shard: Shard, longest: int, admits: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, popcounts) of every phrase of up to ``longest`` admitted words whose pairs are admitted, depth first."""
+def grow(shard: Shard, longest: int, admits: Admits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, popcounts) of every phrase of up to ``longest`` admitted words that is admitted at each of its lengths, depth first."""
 
     def listed(words: np.ndarray, counts: np.ndarray, places: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if not len(words):
@@ -267,24 +272,46 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterato
         yield pa.concat_batches(held)
 
 
-def _pair_counts(words) -> Callable:
+def _hashes(shard: Shard, words: np.ndarray, mask: int) -> np.ndarray:
+    """A hash of phrases, a row of words each, of as many bits as ``mask``."""
+    out = shard.hashes[words[:, 0]]
+    for k in range(1, words.shape[1]):
+        out = joined_hash(out, shard.hashes[words[:, k]])
+    return out & np.uint64(mask)
+
+
+def _known(shard: Shard, filters: list[Bits], mask: int) -> Admits:
+    """Admits phrases whose last words, as many as a filter is for, are in it: ``filters`` are for pairs, triples, ..."""
+
+    def admits(words: np.ndarray) -> np.ndarray:
+        out = np.ones(len(words), bool)
+        for size, known in enumerate(filters, 2):
+            if words.shape[1] >= size and len(words):
+                out[out] = known.admits(_hashes(shard, words[out][:, -size:], mask))
+        return out
+
+    return admits
+
+
+def _hash_counts(sent: list, size: int, mask: int) -> Callable:
+    """``h, n`` of phrases of ``size`` words that the filters ``sent`` so far admit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, shard in _read(batches, Bits(words.value)):
-            for found, n in grow(shard, 2, lambda a, b: np.ones(len(b), bool)):
-                if found.shape[1] == 2:
-                    both = joined_hash(shard.hashes[found[:, 0]], shard.hashes[found[:, 1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+        words, *filters = (Bits(f.value) for f in sent)
+        for _, shard in _read(batches, words):
+            for found, n in grow(shard, size, _known(shard, filters, mask)):
+                if found.shape[1] == size:
+                    yield pa.RecordBatch.from_arrays([pa.array(_hashes(shard, found, mask).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
     return lambda batches: _together(run(batches))
 
 
-def _phrase_counts(words, pairs, longest: int) -> Callable:
+def _phrase_counts(sent: list, longest: int, mask: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Bits(pairs.value)
-        for row, shard in _read(batches, Bits(words.value)):
+        words, *filters = (Bits(f.value) for f in sent)
+        for row, shard in _read(batches, words):
             names = pa.array(pa.decompress(row["words"], row["size"], "zstd", asbytes=True).decode("utf-8").split(" "), pa.string())
-            admits = lambda a, b: known.admits(joined_hash(shard.hashes[a], shard.hashes[b]))  # noqa: B023, E731
-            for found, n in grow(shard, longest, admits):
+            for found, n in grow(shard, longest, _known(shard, filters, mask)):
                 text = pc.binary_join_element_wise(*[names.take(pa.array(found[:, k])) for k in range(found.shape[1])], " ")
                 size = pa.array(np.full(len(n), found.shape[1], np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), text, size, pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
@@ -305,11 +332,13 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     shards = stored(source.mapInArrow(_shards(shard), "lang string, n long, places long, words binary, size long, hash array<long>, count array<long>, bits binary"))
     frequent = lambda df: df.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
     words = frequent(shards.select(F.explode(F.arrays_zip("hash", "count")).alias("w")).select(F.col("w.hash").alias("h"), F.col("w.count").alias("n")))
-    words = sc.broadcast(bit_filter(checkpointed(words), "h"))
+    sent = [sc.broadcast(bit_filter(checkpointed(words), "h"))]
+    total = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    mask = (1 << min(64, int(total).bit_length() + SPARE_BITS)) - 1
     bitmaps = shards.select("lang", "places", "words", "size", "hash", "count", "bits")
-    pairs = frequent(bitmaps.mapInArrow(_pair_counts(words), "h long, n long"))
-    pairs = sc.broadcast(bit_filter(checkpointed(pairs), "h"))
-    phrases = bitmaps.mapInArrow(_phrase_counts(words, pairs, longest), "lang string, phrase string, k int, n long")
+    for size in range(2, longest):
+        sent.append(sc.broadcast(bit_filter(checkpointed(frequent(bitmaps.mapInArrow(_hash_counts(list(sent), size, mask), "h long, n long"))), "h")))
+    phrases = bitmaps.mapInArrow(_phrase_counts(sent, longest, mask), "lang string, phrase string, k int, n long")
     phrases = phrases.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return shards.groupBy("lang").agg(F.sum("n").alias("n")), stored(phrases)
 

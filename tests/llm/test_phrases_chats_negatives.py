@@ -63,7 +63,7 @@ def test_phrases_across_words_of_a_run(spark, monkeypatch):
     row = phrases._sealed("en", numbers, [phrases.word_numbers(t, numbers) for t in texts])
     shard = phrases.Shard(row, phrases.Bits(np.full(16, 2**64 - 1, np.uint64)))
     names = [w for w in numbers if w not in (b"\n", b"")]
-    got = Counter({b" ".join(names[w] for w in p).decode(): int(c) for words, n in phrases.grow(shard, 3, lambda a, b: np.ones(len(b), bool)) for p, c in zip(words, n)})
+    got = Counter({b" ".join(names[w] for w in p).decode(): int(c) for words, n in phrases.grow(shard, 3, lambda words: np.ones(len(words), bool)) for p, c in zip(words, n)})
     want = Counter()
     for t in texts:
         for piece in re.split("[.,]", t):
