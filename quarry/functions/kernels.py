@@ -22,8 +22,8 @@ def gradient(picture: np.ndarray) -> np.ndarray:
     return np.hypot(dx, dy)
 
 
-def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int, int, int, int]]:
-    """(x, y, w, h, n) of the connected components of a mask, largest first.
+def labelled_runs(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int, int, int]]:
+    """(row, start, end, label) of the runs of a mask; runs that touch have one label.
 
     Row runs are joined to overlapping runs of the row above by union-find.
     """
@@ -40,26 +40,48 @@ def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int,
     reach = 1 if diagonal else 0
     for y, row in enumerate(mask.astype(bool)):
         edges = np.flatnonzero(np.diff(np.r_[False, row, False].astype(np.int8)))
-        here = []
+        here, first = [], 0
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
             k = len(runs)
             runs.append((y, a, b))
             parent.append(k)
-            for other in above:
-                _, c, d = runs[other]
-                if c < b + reach and a < d + reach:
-                    x, z = root(k), root(other)
-                    parent[max(x, z)] = min(x, z)
+            while first < len(above) and runs[above[first]][2] + reach <= a:
+                first += 1
+            for other in above[first:]:
+                if runs[other][1] >= b + reach:
+                    break
+                x, z = root(k), root(other)
+                parent[max(x, z)] = min(x, z)
             here.append(k)
         above = here
+    return [(*run, root(k)) for k, run in enumerate(runs)]
+
+
+def components(mask: np.ndarray, diagonal: bool = True) -> list[tuple[int, int, int, int, int]]:
+    """(x, y, w, h, n) of the connected components of a mask, largest first."""
     boxes: dict[int, list[int]] = {}
-    for k, (y, a, b) in enumerate(runs):
-        box = boxes.setdefault(root(k), [a, y, b, y + 1, 0])
+    for y, a, b, label in labelled_runs(mask, diagonal):
+        box = boxes.setdefault(label, [a, y, b, y + 1, 0])
         box[:] = [min(box[0], a), min(box[1], y), max(box[2], b), max(box[3], y + 1), box[4] + b - a]
     found = [(x, y, x2 - x, y2 - y, n) for x, y, x2, y2, n in boxes.values()]
     return sorted(found, key=lambda f: (-f[4], f[1], f[0]))
 
 
+def histogram_stats(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Medians and median distances from them, a row of 256 counts a pixel; two middle values are averaged."""
+    n, values = counts.sum(axis=1), np.arange(256.0)
+
+    def middle(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+        upto = held.cumsum(axis=1)
+        at = lambda k: np.take_along_axis(keys, (upto > k[:, None]).argmax(axis=1)[:, None], axis=1)[:, 0]
+        return (at((n - 1) // 2) + at(n // 2)) / 2
+
+    median = middle(np.broadcast_to(values, counts.shape), counts)
+    away = np.abs(values - median[:, None])
+    order = np.argsort(away, axis=1, kind="stable")
+    return median, middle(np.take_along_axis(away, order, axis=1), np.take_along_axis(counts, order, axis=1))
+
+
 def binarised(picture: np.ndarray, window: int = 25, k: float = 0.10) -> np.ndarray:
     """True where a pixel is darker than (1 - k) of its local mean; borders are reflected."""
     p, half = picture.astype(np.float64), window // 2
@@ -76,75 +98,58 @@ def run_lengths(row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return cuts, np.diff(np.r_[cuts, len(row)]), row[cuts]
 
 
-def _centres(mask: np.ndarray, tolerance: float, dark: bool) -> list[tuple[float, float, int]]:
-    """(centre, module, row) of every 1:1:3:1:1 pattern, row by row, its middle run ``dark``."""
+def _patterns(line: np.ndarray, tolerance: float, dark: bool) -> list[tuple[float, float]]:
+    """(centre, module) of the 1:1:3:1:1 windows of a line, their middle run ``dark``; each run may be off by ``tolerance`` modules."""
     out = []
-    for y, row in enumerate(mask):
-        starts, lengths, values = run_lengths(row)
-        for i in range(len(starts) - 4):
-            five = lengths[i : i + 5]
-            if bool(values[i + 2]) != dark or (module := five.sum() / 7) < 1:
-                continue
-            if (np.abs(five - module * np.array([1, 1, 3, 1, 1])) <= tolerance * module * np.array([1, 1, 3, 1, 1])).all():
-                out.append((float(starts[i + 2] + five[2] / 2), float(module), y))
+    starts, lengths, values = run_lengths(line)
+    for i in range(len(starts) - 4):
+        five = lengths[i : i + 5]
+        if bool(values[i + 2]) == dark and (module := five.sum() / 7) >= 1 and (np.abs(five - module * np.array([1, 1, 3, 1, 1])) < tolerance * module).all():
+            out.append((float(starts[i + 2] + five[2] / 2), float(module)))
     return out
 
 
-def finder_patterns(picture: np.ndarray, across: float = 0.55, down: float = 0.6, inverted: bool = False) -> list[tuple[float, float, float]]:
-    """(x, y, module) of finder patterns seen both across and down; the dark-centred kind unless ``inverted``."""
-    mask = binarised(picture)
-    rows, columns = _centres(mask, across, not inverted), _centres(mask.T, down, not inverted)
-    found: list[list[float]] = []
-    for x, module, y in rows:
-        if any(abs(cy - y) <= 2 * m and abs(cx - x) <= 2 * m for cy, m, cx in columns):
-            for f in found:
-                if abs(f[0] / f[3] - x) <= 3 * module and abs(f[1] / f[3] - y) <= 3 * module:
-                    f[0], f[1], f[2], f[3] = f[0] + x, f[1] + y, f[2] + module, f[3] + 1
-                    break
-            else:
-                found.append([x, float(y), module, 1.0])
-    return sorted((f[0] / f[3], f[1] / f[3], f[2] / f[3]) for f in found if f[3] >= 2)
+def finder_points(mask: np.ndarray, across: float = 0.55, down: float = 0.6, every: int = 3, inverted: bool = False) -> list[tuple[int, float, float]]:
+    """(y, x, module) of patterns on every third line that their column proves within four modules."""
+    out = []
+    for y in range(0, len(mask), every):
+        for x, module in _patterns(mask[y], across, not inverted):
+            column = round(x)
+            low, high = max(0, int(y - 4 * module)), min(len(mask), int(y + 4 * module) + 1)
+            if column < mask.shape[1] and _patterns(mask[low:high, column], down, not inverted):
+                out.append((y, x, module))
+    return out
 
 
-def finder_triples(patterns: list[tuple[float, float, float]], most: int = 12) -> list[tuple[int, int, int]]:
-    """(corner, leg, leg) of three patterns at a right angle with legs alike: 12 to 300 modules, 25 % apart, cosine .25."""
-    out, kept = [], patterns[:most]
-    for c, (x, y, m) in enumerate(kept):
-        for i in range(len(kept)):
-            for j in range(i + 1, len(kept)):
-                if c in (i, j):
-                    continue
-                u, v = np.array(kept[i][:2]) - (x, y), np.array(kept[j][:2]) - (x, y)
-                a, b = float(np.hypot(*u)), float(np.hypot(*v))
-                if not (12 * m <= a <= 300 * m and 12 * m <= b <= 300 * m) or abs(a - b) > 0.25 * max(a, b):
-                    continue
-                if abs(float(u @ v)) <= 0.25 * a * b:
-                    out.append((c, i, j))
-    return out
+def pattern_clusters(points: list[tuple[int, float, float]], most: int = 12) -> list[tuple[float, float, float]]:
+    """(x, y, module) of points that belong together, seen on two lines or more: the ``most`` seen most often."""
+    found: list[list[float]] = []
+    for y, x, u in points:
+        for c in found:
+            if abs(c[0] - x) <= max(2, u * 1.5) and abs(c[1] - y) <= max(2, u * 1.5) and abs(c[2] - u) <= max(1, u * 0.8):
+                c[:] = [*((old * c[3] + new) / (c[3] + 1) for old, new in zip(c, (x, y, u))), c[3] + 1]
+                break
+        else:
+            found.append([x, float(y), u, 1])
+    strong = sorted((c for c in found if c[3] >= 2), key=lambda c: (-c[3], c[1], c[0]))
+    return [tuple(c[:3]) for c in strong[:most]]
 
 
-def overlay(stack: np.ndarray, least: int = 40) -> list[tuple[int, int, int, int, float, float]]:
-    """(x, y, w, h, grad, fill) of regions that stay the same over an (n, h, w) stack while others move.
+def finder_patterns(picture: np.ndarray, inverted: bool = False) -> list[tuple[float, float, float]]:
+    """(x, y, module) of the finder patterns of a picture; the dark-centred kind unless ``inverted``."""
+    return pattern_clusters(finder_points(binarised(picture), inverted=inverted))
 
-    A pixel is still if its deviation over time (MAD) is in the lowest fifth, and marked if
-    its median's gradient is in the highest 3 %; marked still pixels are joined a pixel wide.
-    """
-    if len(stack) < 4:
-        return []
-    middle = np.median(stack, axis=0)
-    away = np.median(np.abs(stack - middle), axis=0)
-    steep = gradient(middle)
-    if away.max() <= 0:
-        return []
-    mask = (away <= np.percentile(away, 20)) & (steep >= np.percentile(steep, 97)) & (steep > 0)
-    wide = mask.copy()
-    for dy in (-1, 0, 1):
-        for dx in (-1, 0, 1):
-            wide |= np.roll(np.roll(mask, dy, 0), dx, 1)
+
+def finder_triples(patterns: list[tuple[float, float, float]]) -> list[tuple[int, int, int]]:
+    """(corner, leg, leg) of three patterns at a right angle with legs alike: 12 to 300 modules, 25 % apart, cosine .25."""
     out = []
-    for x, y, w, h, n in components(wide):
-        if n >= least:
-            out.append((x, y, w, h, float(steep[y : y + h, x : x + w].mean()), n / (w * h)))
+    for c, (x, y, m) in enumerate(patterns):
+        legs = [(k, px - x, py - y, float(np.hypot(px - x, py - y))) for k, (px, py, _) in enumerate(patterns) if k != c]
+        legs = [leg for leg in legs if 12 * m <= leg[3] <= 300 * m]
+        for i, (k, ux, uy, a) in enumerate(legs):
+            for j, vx, vy, b in legs[i + 1 :]:
+                if abs(a - b) <= 0.25 * max(a, b) and abs(ux * vx + uy * vy) <= 0.25 * a * b:
+                    out.append((c, k, j))
     return out
 
 

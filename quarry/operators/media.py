@@ -1,4 +1,4 @@
-"""Frames and audio: per-frame statistics narrow, per-video kernels grouped by video."""
+"""Statistics of frames, and findings over what ``tiles``, ``finders`` and ``sound`` give."""
 
 from __future__ import annotations
 
@@ -6,15 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import kernels, rules
 from quarry.operators.findings import finding
 
-#: Frames of a video that an overlay kernel holds, evenly spread.
-MOST_FRAMES = 200
-
 
 def frame_stats(frames: DataFrame) -> DataFrame:
     """``video_id, idx, t, luma, sat`` of RGB frames; narrow."""
@@ -27,58 +24,6 @@ def frame_stats(frames: DataFrame) -> DataFrame:
     return frames.select("video_id", "idx", "t", "w", "h", "pix").mapInPandas(rows, "video_id string, idx long, t double, luma double, sat double")
 
 
-def overlay_regions(frames: DataFrame, most: int = MOST_FRAMES) -> DataFrame:
-    """Still marked regions of grey frames by video; of long videos evenly spread frames, a repeated frame once.
-
-    Frames are chosen by their numbers alone, so only the pixels of those chosen are shuffled.
-    """
-    numbers = frames.select("video_id", "idx").distinct()
-    r = F.row_number().over(Window.partitionBy("video_id").orderBy("idx")) - 1
-    n = F.count(F.lit(1)).over(Window.partitionBy("video_id"))
-    step = F.greatest(F.lit(1), F.ceil(n / F.lit(most)))
-    picked = numbers.withColumns({"_r": r, "_s": step}).filter(F.col("_r") % F.col("_s") == 0).select(F.col("video_id").alias("_v"), F.col("idx").alias("_i"))
-    chosen = frames.join(picked, F.col("video_id").eqNullSafe(F.col("_v")) & F.col("idx").eqNullSafe(F.col("_i")), "left_semi")
-
-    def regions(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("idx").sort_values("idx")
-        shape = (int(rows["h"].iloc[0]), int(rows["w"].iloc[0]))
-        found = kernels.overlay(np.stack([np.frombuffer(p, np.uint8).reshape(shape) for p in rows["pix"]]))
-        return pd.DataFrame([(rows["video_id"].iloc[0], *f) for f in found], columns=["video_id", "x", "y", "w", "h", "grad", "fill"])
-
-    return chosen.groupBy("video_id").applyInPandas(regions, "video_id string, x int, y int, w int, h int, grad double, fill double")
-
-
-def finder_frames(frames: DataFrame, inverted: bool = False) -> DataFrame:
-    """``video_id, idx, patterns, triples`` of grey frames with a right-angled triple of finder patterns; narrow."""
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for video, idx, h, w, p in zip(b["video_id"], b["idx"], b["h"], b["w"], b["pix"]):
-                found = kernels.finder_patterns(np.frombuffer(p, np.uint8).reshape(h, w), inverted=inverted)
-                if triples := kernels.finder_triples(found):
-                    out.append((video, idx, len(found), len(triples)))
-            yield pd.DataFrame(out, columns=["video_id", "idx", "patterns", "triples"])
-
-    return frames.mapInPandas(rows, "video_id string, idx long, patterns int, triples int")
-
-
-def audio_spectra(audio: DataFrame) -> DataFrame:
-    """``video_id, band, share`` for bands, ``tone`` rows for lasting tones; chunks joined in order by video."""
-
-    def rows(chunks: pd.DataFrame) -> pd.DataFrame:
-        chunks = chunks.sort_values("chunk_no")
-        found = kernels.spectrum(np.concatenate([np.asarray(c, np.float64) for c in chunks["pcm"]]), int(chunks["sr"].iloc[0]))
-        video = chunks["video_id"].iloc[0]
-        out = [(video, "band", k, None, v, None) for k, v in found["bands"].items()]
-        out += [(video, "tone", None, *t) for t in found["tones"]]
-        if found["error"]:
-            out.append((video, "error", found["error"], None, None, None))
-        return pd.DataFrame(out, columns=["video_id", "kind", "name", "hertz", "share", "cv"])
-
-    return audio.groupBy("video_id").applyInPandas(rows, "video_id string, kind string, name string, hertz double, share double, cv double")
-
-
 def ultrasonic_findings(spectra: DataFrame) -> DataFrame:
     """Energy from 16 kHz on: over 8e-4 HIGH, over 1e-4 LOW, else INFO; a MED finding for lasting tones."""
     high = [f"{a}-{b}" for a, b in rules.BANDS if a >= 16000]
