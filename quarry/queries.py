@@ -1129,8 +1129,12 @@ def container_findings(t: Tables) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from quarry import media_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from quarry import media_queries  # noqa: F401
+
     return dict(ORACLES)
