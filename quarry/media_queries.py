@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators import chains, finders, media, sound, tiles
+from quarry.operators import chains, finders, joins, media, robust, series, sound, tiles
 from quarry.queries import Tables, _box, query, r6
 
 FRAMES = "video_id string, idx long, t double, w int, h int, pix binary"
@@ -232,6 +232,54 @@ def sound_findings(t: Tables) -> DataFrame:
     return media.ultrasonic_findings(sound.audio_spectra(audio)).select("video_id", "rule_id", "severity", "title")
 
 
+# --- hot keys --------------------------------------------------------------------------
+
+_DAY = 86_400_000_000
+
+
+def _day() -> Column:
+    return F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / _DAY)
+
+
+@query("hot_percentiles", """
+SELECT l_returnflag, count(*) AS n, round(quantile_cont(l_extendedprice, 0.02), 6) AS p2, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.97), 6) AS p97
+FROM lineitem GROUP BY l_returnflag""")
+def hot_percentiles(t: Tables) -> DataFrame:
+    found = robust.percentiles(t.lineitem, ["l_returnflag"], "l_extendedprice", (0.02, 0.5, 0.97))
+    return found.select("l_returnflag", "n", *[r6(F.col(p)).alias(p) for p in ("p2", "p50", "p97")])
+
+
+@query("hot_steps", """
+SELECT event_id, row_number() OVER w - 1 AS i, round(abs(lead(value) OVER w - value), 6) AS step FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
+def hot_steps(t: Tables) -> DataFrame:
+    """Steps of whole event types, a day a task."""
+    return series.steps(t.events, ["event_type"], ["ts", "event_id"], "value", _day()).select("event_id", F.col("i").cast("long").alias("i"), r6(F.col("step")).alias("step"))
+
+
+@query("hot_flashes", """
+WITH s AS (SELECT event_type, ts, event_id, value, abs(lead(value) OVER w - value) AS step, lead(value, 2) OVER w AS two_on FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+b AS (SELECT event_type, avg(step) + 0.8 * stddev_pop(step) AS bar FROM s GROUP BY event_type), l AS (SELECT *, lead(step) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS next_step FROM s)
+SELECT event_id, CASE WHEN abs(two_on - value) < 0.45 * greatest(step, next_step) THEN 'flash' ELSE 'cut' END AS kind FROM l JOIN b USING (event_type) WHERE step > bar""")
+def hot_flashes(t: Tables) -> DataFrame:
+    return series.flashes(t.events, ["event_type"], ["ts", "event_id"], "value", 0.8, bucket=_day()).select("event_id", "kind")
+
+
+@query("hot_runs", """
+WITH c AS (SELECT event_type, ts, event_id, value > 100 AS high, CASE WHEN (value > 100) IS DISTINCT FROM lag(value > 100) OVER w OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS new, row_number() OVER w - 1 AS i FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT event_type, CAST(run AS BIGINT) AS run, any_value(high) AS value, min(i) AS start, count(*) AS n FROM r GROUP BY event_type, run""")
+def hot_runs(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("high", F.col("value") > 100)
+    return series.run_lengths(rows, ["event_type"], ["ts", "event_id"], "high", _day())
+
+
+@query("hot_segments", """
+SELECT event_id, CAST(sum(CAST(floor(value) AS BIGINT)) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - CAST(floor(value) AS BIGINT) AS BIGINT) AS seg_start FROM events""")
+def hot_segments(t: Tables) -> DataFrame:
+    rows = t.events.withColumn("size", F.floor("value").cast("long"))
+    return joins.segments(rows, ["event_type"], ["ts", "event_id"], "size", _day()).select("event_id", "seg_start")
+
+
 # --- byte ranges -----------------------------------------------------------------------
 
 

@@ -1,7 +1,7 @@
 """Half-open interval algebra as window expressions.
 
 Intervals are two long columns within optional keys.  Touching intervals merge, and
-intervals that end at or before zero are dropped.  Every operator but ``runs`` takes a
+intervals that end at or before zero are dropped.  Every operator takes a
 ``width`` that splits a key's axis into buckets: windows then run inside (key, bucket) and
 only one row a bucket carries the running end and the open island over bucket borders, so
 a hot key is many tasks.  Results do not depend on it.
@@ -116,8 +116,15 @@ def overlaps(df: DataFrame, keys: list[str], a: str = "a", b: str = "b", width:
     return _reach(df, keys, [a, b], b, width, "reach").filter(F.col("reach") > F.col(a))
 
 
-def runs(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+def runs(df: DataFrame, keys: list[str], position: str, width: int | None = None) -> DataFrame:
     """``keys, a, b, n``: maximal runs of consecutive integer positions, inclusive (gaps and islands)."""
     marked = df.select(*keys, F.col(position).cast("long").alias("_p")).distinct()
-    marked = marked.withColumn("_g", F.col("_p") - F.row_number().over(Window.partitionBy(*keys).orderBy("_p")))
-    return marked.groupBy(*keys, "_g").agg(F.min("_p").alias("a"), F.max("_p").alias("b"), F.count(F.lit(1)).alias("n")).drop("_g")
+    within = [*keys, F.floor(F.col("_p") / F.lit(width)).alias("_bucket")] if width else keys
+    marked = marked.withColumn("_g", F.col("_p") - F.row_number().over(Window.partitionBy(*within).orderBy("_p")))
+    grouped = [*keys, *([F.floor(F.col("_p") / F.lit(width)).alias("_bucket")] if width else []), "_g"]
+    found = marked.groupBy(*grouped).agg(F.min("_p").alias("a"), F.max("_p").alias("b"))
+    if not width:
+        return found.select(*keys, "a", "b", (F.col("b") - F.col("a") + 1).alias("n"))
+    # runs that a bucket's border cut touch as half-open intervals; positions are not negative
+    joined = union(found.select(*keys, "a", (F.col("b") + 1).alias("b")), keys, width=width)
+    return joined.select(*keys, "a", (F.col("b") - 1).alias("b"), (F.col("b") - F.col("a")).alias("n"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators import ordered
 from quarry.operators.intervals import meet_buckets
 
 
@@ -35,10 +36,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, start: str
     return both.filter("_side = 1").select(*left.columns, *[F.col(f"_last.{c}").alias(c) for c in take])
 
 
-def segments(df: DataFrame, keys: list[str], order: list[str], size: str) -> DataFrame:
-    """``df`` with ``seg_start`` and ``seg_end``, the place of each row in its key's concatenation."""
-    over = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("seg_end", F.sum(size).over(over)).withColumn("seg_start", F.col("seg_end") - F.col(size))
+def segments(df: DataFrame, keys: list[str], order: list[str], size: str, bucket: Column | None = None) -> DataFrame:
+    """``df`` with ``seg_start`` and ``seg_end``, the place of each row in its key's concatenation; for ``bucket`` see ``ordered``."""
+    rows = ordered.summed(df, keys, order, bucket, F.col(size), "seg_end")
+    return rows.withColumn("seg_start", F.col("seg_end") - F.col(size))
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str], order: list[str], how: str = "left") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.storage import checkpointed, stored
+
 
 def median_mad(df: DataFrame, keys: list[str], y: str) -> DataFrame:
     """``keys, median, mad``: the exact median and the median distance from it."""
@@ -25,6 +27,45 @@ def summary(df: DataFrame, keys: list[str], y: str, shares: tuple[float, ...] =
     return df.groupBy(*keys).agg(F.avg(y).alias("mean"), F.stddev_pop(y).alias("std"), F.min(y).alias("least"), F.max(y).alias("most"), *cuts)
 
 
+def percentiles(df: DataFrame, keys: list[str], y: str, shares: tuple[float, ...], bins: int = 1024) -> DataFrame:
+    """``keys, n`` and a column a share: exact interpolated percentiles of keys of any size, by radix selection.
+
+    ``percentile`` holds a key's distinct values in one buffer.  Here each wanted rank has a
+    range of values that holds it: the range is cut into ``bins``, counted with partial sums
+    in every task, and the bin with the rank, from its least to its greatest value, is the
+    next range, until one value is left; two or three passes for most data, and never more
+    than ``bins`` rows a rank in one task.  Nulls and NaN take no part.
+    """
+    alias = [f"_k{i}" for i in range(len(keys))]
+    rows = stored(df.select(*[F.col(k).alias(a) for k, a in zip(keys, alias)], F.col(y).cast("double").alias("_y")).filter("_y IS NOT NULL AND NOT isnan(_y)"))
+    ends = checkpointed(rows.groupBy(*alias).agg(F.count(F.lit(1)).alias("n"), F.min("_y").alias("lo"), F.max("_y").alias("hi")))
+    rank = lambda share: F.lit(float(share)) * (F.col("n") - 1)
+    ranks = F.array_distinct(F.array(*[f(rank(s)).cast("long") for s in shares for f in (F.floor, F.ceil)]))
+    state = checkpointed(ends.select(*alias, "lo", "hi", F.explode(ranks).alias("rank")).withColumn("left", F.col("rank")))
+    same = lambda a, b, more=(): [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*alias, *more]]
+    while not (open_ := state.filter("lo < hi")).isEmpty():
+        spans = open_.select(*alias, "lo", "hi").distinct()
+        met = rows.alias("r").join(spans.alias("s"), [*same("r", "s"), F.col("_y") >= F.col("lo"), F.col("_y") <= F.col("hi")])
+        wide, half = F.col("hi") - F.col("lo"), F.col("hi") / 2 - F.col("lo") / 2  # the difference of two doubles may overflow, half of it may vanish
+        part = F.when(wide < float("inf"), F.try_divide(F.col("_y") - F.col("lo"), wide)).otherwise(F.try_divide(F.col("_y") / 2 - F.col("lo") / 2, half))
+        place = F.least(F.lit(bins - 1), F.floor(part * bins)).alias("bin")
+        counted = met.select(*[F.col(f"s.{a}").alias(a) for a in alias], "lo", "hi", "_y", place).groupBy(*alias, "lo", "hi", "bin").agg(F.count(F.lit(1)).alias("c"), F.min("_y").alias("_lo"), F.max("_y").alias("_hi"))
+        upto = Window.partitionBy(*alias, "lo", "hi").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most ``bins`` rows
+        counted = counted.withColumn("upto", F.sum("c").over(upto))
+        hit = open_.alias("o").join(counted.alias("c"), [*same("o", "c", ("lo", "hi")), F.col("left") < F.col("upto"), F.col("left") >= F.col("upto") - F.col("c")])
+        found = hit.select(*[F.col(f"o.{a}").alias(a) for a in alias], F.col("_lo").alias("lo"), F.col("_hi").alias("hi"), "rank", (F.col("left") - F.col("upto") + F.col("c")).alias("left"))
+        state = checkpointed(state.filter("lo >= hi").unionByName(found))
+    at = state.groupBy(*alias).agg(F.map_from_entries(F.collect_list(F.struct("rank", "lo"))).alias("at"))  # two entries a share
+    joined = ends.alias("e").join(at.alias("a"), same("e", "a"))
+
+    def value(share: float) -> Column:
+        low, high = F.floor(rank(share)).cast("long"), F.ceil(rank(share)).cast("long")
+        a, b = F.element_at("at", low), F.element_at("at", high)
+        return F.when(low == high, a).otherwise((high - rank(share)) * a + (rank(share) - low) * b)
+
+    return joined.select(*[F.col(f"e.{a}").alias(k) for k, a in zip(keys, alias)], "n", *[value(s).alias(f"p{round(s * 100)}") for s in shares])
+
+
 def harmonic_mean(y: str) -> Column:
     """n / sum(1/y); null if a value is zero or less."""
     return F.when(F.min(y) > 0, F.count(y) / F.sum(F.lit(1.0) / F.col(y)))

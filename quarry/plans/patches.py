@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.intervals import not_contained, runs, union
+from quarry.operators.intervals import not_contained, union
+from quarry.storage import checkpointed, stored
 
 #: Zero stretches from this length on are planned by length, without bytes.
 ZERO_FROM = 1 << 20
@@ -111,31 +114,78 @@ def overlaid(content: Column, patch: Column, offset: Column) -> Column:
     return F.overlay(content, patch, (offset + 1).cast("int"), F.octet_length(patch))
 
 
-def diff_runs(old: DataFrame, new: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, a, b, n``: inclusive runs of positions at which two equally long texts differ."""
-    both = old.select(*keys, F.col(value).alias("_o")).join(new.select(*keys, F.col(value).alias("_n")), keys)
-    pairs = F.arrays_zip(F.split("_o", "").alias("o"), F.split("_n", "").alias("n"))
-    places = F.filter(F.transform(pairs, lambda p, i: F.when(~p["o"].eqNullSafe(p["n"]), i)), lambda i: i.isNotNull())
-    return runs(both.select(*keys, F.explode(places).alias("_p")), keys, "_p")
+#: Values of a block whose hashes are compared, and bytes up to which a value is compared in its row.
+BLOCK, WHOLE = 4096, 1 << 20
 
 
-def byte_diff_runs(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``video_id, a, b, n`` for binary contents, compared a file at a time."""
-    import numpy as np
+def diff_runs(old: DataFrame, new: DataFrame, keys: list[str], value: str, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
+    """``keys, a, b, n``: inclusive runs of positions at which two texts or binary values differ.
+
+    Values of at most ``whole`` bytes meet in a row.  Longer ones are cut into blocks of
+    ``block`` characters or bytes; only the blocks' hashes meet at first, and only those
+    that are unlike are opened and compared.  Runs that end at a block's border go on in the
+    next.  Of unequal lengths the rest counts as differing; a null takes no part.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    both = old.select("video_id", F.col("content").alias("o")).join(new.select("video_id", F.col("content").alias("n")), "video_id")
+    text = isinstance(old.schema[value].dataType, T.StringType)
+    unit = 4 if text else 1  # characters of one width, so that blocks are found without counting
+    kinds = ", ".join(f"`{k}` {old.schema[k].dataType.simpleString()}" for k in keys)
+    schema = f"{kinds}, a long, b long"
+    made = to_arrow_schema(T.StructType.fromDDL(schema))
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for video, o, n in zip(batch["video_id"], batch["o"], batch["n"]):
-                if len(o) != len(n):
-                    raise ValueError(f"{video}: lengths differ")
-                edges = np.flatnonzero(np.diff(np.r_[False, np.frombuffer(o, np.uint8) != np.frombuffer(n, np.uint8), False].astype(np.int8)))
-                out += [(video, int(a), int(b) - 1, int(b - a)) for a, b in zip(edges[::2], edges[1::2])]
-            yield pd.DataFrame(out, columns=["video_id", "a", "b", "n"])
-
-    return both.mapInPandas(rows, "video_id string, a long, b long, n long")
+            at, starts, ends = [], [], []
+            for k, (b, o, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_b", "_o", "_n")))):
+                o, n = (np.frombuffer(v.encode("utf-32-le") if isinstance(v, str) else v, f"u{unit}") for v in (o, n))
+                both, unequal = min(len(o), len(n)), np.ones(max(len(o), len(n)), bool)
+                unequal[:both] = o[:both] != n[:both]
+                edges = np.flatnonzero(np.diff(np.r_[False, unequal, False].astype(np.int8))) + b * block
+                at.append(np.full(len(edges) // 2, k))
+                starts.append(edges[::2])
+                ends.append(edges[1::2])
+            if at:
+                named = batch.select(keys).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*named.columns, pa.array(np.concatenate(starts), pa.int64()), pa.array(np.concatenate(ends), pa.int64())], schema=made)
+
+    some = lambda df, name: df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias(name))
+    size = F.octet_length(value)
+    lengths = lambda df, name: df.filter(F.col(value).isNotNull()).select(*keys, size.alias(name))
+    long = lengths(old, "_o").join(lengths(new, "_n"), keys).filter(F.greatest("_o", "_n") > whole).select(*keys)
+    # the exchange that a join of large sides needs; small sides of one file are spread by it too
+    short = some(old.filter(size <= whole), "_o").repartition(*keys).join(some(new.filter(size <= whole), "_n").repartition(*keys), keys)
+    found = short.select(*keys, F.lit(0).alias("_b"), "_o", "_n").mapInArrow(rows, schema)
+    if not (long := checkpointed(long)).isEmpty():
+        pairs = _unlike_blocks(old.join(long, keys, "left_semi"), new.join(long, keys, "left_semi"), keys, value, block, unit)
+        cut = stored(pairs.mapInArrow(rows, schema))
+        border = (F.col("a") % block == 0) | (F.col("b") % block == 0)  # few a block; the others are whole
+        found = found.unionByName(union(cut.filter(border), keys, width=64 * block)).unionByName(cut.filter(~border))
+    return found.select(*keys, "a", (F.col("b") - 1).alias("b"), (F.col("b") - F.col("a")).alias("n"))
+
+
+def _unlike_blocks(old: DataFrame, new: DataFrame, keys: list[str], value: str, block: int, unit: int) -> DataFrame:
+    """``keys, _b, _o, _n``: the blocks of both sides whose hashes differ."""
+    size = block * unit
+    side = lambda df: df.select(*keys, (F.encode(value, "UTF-32") if unit > 1 else F.col(value)).alias("_v"))
+    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.octet_length("_v") / size).cast("int") - 1))
+    piece = lambda i: F.substr("_v", i * size + 1, F.lit(size))
+    prints = lambda df, name: side(df).select(*keys, F.transform(places, lambda i: F.sha2(piece(i), 256)).alias(name))
+    both = prints(old, "_o").join(prints(new, "_n"), keys)
+    every = F.sequence(F.lit(0), F.greatest(F.size("_o"), F.size("_n")) - 1)
+    unlike = both.select(*keys, F.explode(F.filter(every, lambda i: ~F.get("_o", i).eqNullSafe(F.get("_n", i)))).alias("_b"))
+    opened = lambda df, name: side(df).join(unlike, keys).select(*keys, "_b", piece(F.col("_b")).alias(name))
+    return opened(old, "_o").join(opened(new, "_n"), [*keys, "_b"])
+
+
+def byte_diff_runs(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``video_id, a, b, n`` for binary contents of equal length."""
+    lengths = lambda df, name: df.select("video_id", F.octet_length("content").alias(name))
+    odd = lengths(old, "o").join(lengths(new, "n"), "video_id").filter("o <> n").limit(1).collect()
+    if odd:
+        raise ValueError(f"{odd[0].video_id}: lengths differ")
+    return diff_runs(old, new, ["video_id"], "content")
 
 
 def unplanned(diffs: DataFrame, patches: DataFrame) -> DataFrame:
