@@ -145,9 +145,9 @@ def sps(unit: bytes) -> dict | None:
     }
 
 
-def _first_video(data: bytes):
+def _first_video(data: bytes, tree=None):
     """(configuration, samples) of the first video track with an avcC; null parts if there is none."""
-    tree = parse(data)
+    tree = tree or parse(data)
     for _, trak, kind, stbl in tracks(data, tree):
         if kind == "vide" and stbl:
             box = tree.first(trak, "avcC")
@@ -155,23 +155,23 @@ def _first_video(data: bytes):
     return None, []
 
 
-def nal_rows(video: str, data: bytes, most: int = MOST_SAMPLES) -> Iterator[tuple]:
-    config, placed = _first_video(data)
+def nal_rows(video: str, data: bytes, most: int = MOST_SAMPLES, tree=None) -> Iterator[tuple]:
+    config, placed = _first_video(data, tree)
     if config:
         for k, (offset, size) in enumerate(placed[:most]):
             for at, n, kind in nal_units(data, offset, size, config["length_size"]):
                 yield video, k, at, n, kind
 
 
-def sei_rows(video: str, data: bytes, most: int = MOST_SAMPLES) -> Iterator[tuple]:
-    for _, k, at, n, kind in nal_rows(video, data, most):
+def sei_rows(video: str, data: bytes, most: int = MOST_SAMPLES, tree=None) -> Iterator[tuple]:
+    for _, k, at, n, kind in nal_rows(video, data, most, tree):
         if kind == 6:
             for type_, size, uuid, payload in sei_messages(data[at : at + n]):
                 yield video, k, at, type_, size, uuid, payload
 
 
-def sps_rows(video: str, data: bytes) -> Iterator[tuple]:
-    config, _ = _first_video(data)
+def sps_rows(video: str, data: bytes, tree=None) -> Iterator[tuple]:
+    config, _ = _first_video(data, tree)
     for unit in config["sps"] if config else []:
         if found := sps(unit):
             yield video, *(found[c.split()[0]] for c in schemas.SPS.split(", "))

@@ -346,8 +346,8 @@ def anomaly_rows(video: str, data: bytes) -> Iterator[tuple]:
         yield video, path, offset, code, message
 
 
-def sample_rows(video: str, data: bytes) -> Iterator[tuple]:
-    tree = parse(data)
+def sample_rows(video: str, data: bytes, tree: Tree | None = None) -> Iterator[tuple]:
+    tree = tree or parse(data)
     for k, _, kind, stbl in tracks(data, tree):
         if stbl:
             for n, (offset, size) in enumerate(sample_table(data, tree, stbl)[0]):
@@ -365,8 +365,8 @@ def track_rows(video: str, data: bytes) -> Iterator[tuple]:
         yield video, k, kind, told.get("n_sizes"), told.get("n_samples"), told.get("total_bytes"), told.get("unreachable_samples"), told.get("truncated"), error
 
 
-def metadata_rows(video: str, data: bytes) -> Iterator[tuple]:
-    for source, key, value, kind, offset, length in metadata(data, parse(data)):
+def metadata_rows(video: str, data: bytes, tree: Tree | None = None) -> Iterator[tuple]:
+    for source, key, value, kind, offset, length in metadata(data, tree or parse(data)):
         yield video, source, key, value, kind, offset, length
 
 

@@ -311,3 +311,68 @@ def ranged_anomalies(t: Tables) -> DataFrame:
     files = _long_containers(t)
     _, odd = chains.boxes_of_ranges(chains.cut(files, 512), files.select("video_id", "length"), 512)
     return odd.select("video_id", "code", "offset")
+
+
+# --- containers, decoded once ----------------------------------------------------------
+
+
+def _guarded(t: Tables) -> DataFrame:
+    """A container a document: a second movie box for some, and a protection name where no box is parsed for some."""
+    k = F.col("doc_id") % 4
+    hidden = F.when(k == 1, F.lit(b"xxsinfyy")).otherwise(F.lit(b"xxxxxxxx"))
+    movie = _box("moov", _box("mvhd", hidden))
+    content = F.concat(_box("ftyp", F.lit(b"isom\0\0\0\0")), movie, F.when(k == 2, movie).otherwise(F.lit(b"")), _box("mdat", F.coalesce("text", F.lit("")).cast("binary")))
+    return t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string")).alias("path"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+
+
+@query("guarded_findings", """
+SELECT doc_id::VARCHAR AS video_id, 'R3' AS rule_id, '1' AS detail, '34' AS locator FROM documents WHERE doc_id % 4 = 1
+UNION ALL SELECT doc_id::VARCHAR, 'R4', '2', NULL FROM documents WHERE doc_id % 4 = 2""")
+def guarded_findings(t: Tables) -> DataFrame:
+    """Of a whole scan: protection names inside movie boxes, and movie boxes that are there twice."""
+    from quarry.operators import container_rules
+
+    found = container_rules.scan(_guarded(t))
+    return found.filter("rule_id IN ('R3', 'R4')").select("video_id", "rule_id", "detail", "locator")
+
+
+@query("unreferenced_bytes", """
+WITH d AS (SELECT doc_id::VARCHAR AS v, strlen(coalesce(text, ''))::BIGINT AS n, doc_id % 5 AS k, CASE WHEN doc_id % 5 = 1 THEN least(100, strlen(coalesce(text, ''))) ELSE 16 END::BIGINT AS p FROM documents)
+SELECT v AS video_id, 24::BIGINT AS a, 24 + p AS b, 'padding' AS kind FROM d WHERE p > 0 UNION ALL SELECT v, 32 + p, 32 + p + n, 'gap' FROM d WHERE n >= 16
+UNION ALL SELECT v, 32 + p + n, 40 + p + n, 'trailing' FROM d WHERE k = 2""")
+def unreferenced_bytes(t: Tables) -> DataFrame:
+    """Containers without a sample table: padding, all media, and tails."""
+    from quarry.operators import container_rules, decoded
+    from quarry.queries import _containers
+    from quarry.storage import stored
+
+    stream = stored(decoded.tagged(_containers(t)))
+    return container_rules.unreferenced_bytes(decoded.table(stream, "digests"), decoded.table(stream, "facts"), decoded.table(stream, "samples"))
+
+
+@query("rewrite_report", """
+WITH p AS (SELECT l_orderkey::VARCHAR AS v, l_orderkey AS k, l_returnflag AS kind, CAST(l_quantity AS BIGINT) AS n FROM lineitem)
+SELECT v AS video_id, 'patch ' || kind AS part, true AS ok, count(*) AS n, CAST(sum(n) AS BIGINT) AS bytes FROM p GROUP BY v, kind
+UNION ALL SELECT v, 'plan', any_value(k) % 3 > 0, CASE WHEN any_value(k) % 3 = 0 THEN 1 ELSE 0 END, NULL FROM p GROUP BY v
+UNION ALL SELECT v, 'bytes', any_value(k) % 5 > 0, CASE WHEN any_value(k) % 5 = 0 THEN 2 ELSE 0 END, NULL FROM p GROUP BY v
+UNION ALL SELECT v, 'streams', true, 0, NULL FROM p GROUP BY v""")
+def rewrite_report(t: Tables) -> DataFrame:
+    from quarry.plans import patches
+
+    video = F.col("l_orderkey").cast("string").alias("video_id")
+    plan = t.lineitem.select(video, F.lit(0).cast("long").alias("offset"), F.lit(None).cast("binary").alias("data"), F.col("l_quantity").cast("long").alias("zero_len"), F.col("l_returnflag").alias("kind"), F.lit("zero fill").alias("label"))
+    key, videos = F.col("l_orderkey"), t.lineitem.select(video, "l_orderkey").distinct()
+    twice = videos.filter(key % 5 == 0).withColumn("a", F.explode(F.array(F.lit(1), F.lit(2))))
+    return patches.rewrite_report(plan, videos.filter(key % 3 == 0), twice, videos.limit(0))
+
+
+@query("sql_surface", """
+SELECT doc_id::VARCHAR AS video_id, 'mdat' AS type, (32 + CASE WHEN doc_id % 5 = 1 THEN least(100, strlen(text)) ELSE 16 END - 8)::BIGINT AS start, (strlen(text) + 8)::BIGINT AS size FROM documents WHERE text IS NOT NULL""")
+def sql_surface(t: Tables) -> DataFrame:
+    """The table function over a content, called from SQL."""
+    from quarry import surface
+    from quarry.queries import _containers
+
+    surface.register(t.spark)
+    _containers(t).createOrReplaceTempView("quarry_contents")
+    return t.spark.sql("SELECT c.video_id, b.type, b.start, b.size FROM quarry_contents c, LATERAL boxes(c.content) b WHERE b.type = 'mdat'")

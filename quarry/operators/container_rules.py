@@ -7,49 +7,32 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions import bitstream, boxes, kernels, rules
-from quarry.operators import intervals, text_rules
+from quarry.functions import bitstream, boxes, rules
+from quarry.operators import decoded, finders, intervals, media, sound, text_rules, tiles
+from quarry.operators.decoded import PADDING, signatures
 from quarry.operators.findings import all_findings, finding
+from quarry.storage import stored
 
-#: Padding types, and the shortest media gap that is reported.
-PADDING, GAP = ("free", "skip", "wide"), 16
-
-
-FACTS = "video_id string, type string, type_hex string, start long, header int, size long, depth int, path string, uuid string, nonzero double, entropy double, marked boolean, named boolean, system_id string"
+#: The shortest media gap that is reported.
+GAP = 16
+FACTS = decoded.TABLES["facts"]
 
 
 def box_facts(files: DataFrame) -> DataFrame:
-    """A row a box with what rules ask of its bytes, so that no rule meets contents again.
+    """A row a box with what rules ask of its bytes; see ``decoded.fact_rows``."""
+    return boxes.per_file(files, lambda video, data: decoded.fact_rows(video, data, boxes.parse(data)), FACTS)
 
-    Padding has its share of non-zero bytes and its entropy, private boxes whether they hold
-    a credentials marker (``marked``), top boxes but media whether such a name stands in them
-    (``named``), protection headers their system's id.
-    """
 
-    def rows(video: str, data: bytes):
-        for b in boxes.parse(data).boxes:
-            nonzero = entropy = marked = system = None
-            named = False
-            if b.type in PADDING:
-                inside = data[b.body : b.end]
-                nonzero, entropy = kernels.nonzero_ratio(inside), kernels.byte_entropy(inside)
-            if b.type in ("uuid", "jumb"):
-                inside = data[b.body : b.end]
-                marked = any(m.encode() in inside for m in rules.C2PA_MARKERS)
-            if b.depth == 0 and b.type not in ("mdat", "moof"):
-                named = data.find(b"c2pa", b.start, b.end) >= 0 or data.find(b"jumb", b.start, b.end) >= 0
-            if b.type == "pssh":
-                system = data[b.body + 4 : b.body + 20].hex()
-            yield video, b.type, b.raw.hex(), b.start, b.header, b.size, b.depth, b.path, b.uuid.hex() if b.uuid else None, nonzero, entropy, marked, named, system
-
-    return boxes.per_file(files, rows, FACTS)
+def hash_named(files: DataFrame) -> DataFrame:
+    return named_files(files.select("video_id", "path", F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256")))
 
 
-def hash_named(files: DataFrame) -> DataFrame:
+def named_files(digests: DataFrame) -> DataFrame:
+    """Files whose name is a hash of their content; ``digests``: video_id, path, md5, sha1, sha256."""
     from quarry.sources.files import stem
 
-    digests = files.select("video_id", stem(F.col("path")).alias("stem"), F.md5("content").alias("md5"), F.sha1("content").alias("sha1"), F.sha2("content", 256).alias("sha256"))
-    hit = digests.filter(text_rules.named_by_hash(F.col("stem"), F.col("md5"), F.col("sha1"), F.col("sha256")))
+    rows = digests.withColumn("stem", stem(F.col("path")))
+    hit = rows.filter(text_rules.named_by_hash(F.col("stem"), F.col("md5"), F.col("sha1"), F.col("sha256")))
     return finding(hit, "R1", "HIGH", "file", "named by its own hash", F.col("stem"))
 
 
@@ -62,11 +45,14 @@ def credentials(facts: DataFrame) -> DataFrame:
 
 
 def protection(facts: DataFrame) -> DataFrame:
-    """Protection boxes, with the systems that pssh boxes name."""
+    """Protection boxes, with the systems that pssh boxes name, and protection names inside movie boxes where none was parsed."""
     systems = F.create_map(*[F.lit(x) for pair in rules.DRM_SYSTEMS for x in pair])
+    parsed = facts.filter(F.col("type").isin(*rules.DRM_BOXES)).select("video_id", "type", "start", "system_id")
+    inside = facts.filter("inside IS NOT NULL").select("video_id", F.explode("inside").alias("i")).select("video_id", "i.type", "i.start")
+    hidden = inside.join(parsed.select("video_id", "type").distinct(), ["video_id", "type"], "left_anti").withColumn("system_id", F.lit(None).cast("string"))
     named = F.array_join(F.array_sort(F.collect_set(systems[F.col("system_id")])), ",")
-    hits = facts.filter(F.col("type").isin(*rules.DRM_BOXES)).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), named.alias("systems"), F.min("start").alias("start"))
-    return finding(hits, "R3", "HIGH", "protection", "protection boxes", F.concat_ws(" ", "n", "systems"), F.col("start"))
+    hits = parsed.unionByName(hidden).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"), named.alias("systems"), F.min("start").alias("start"))
+    return finding(hits, "R3", "HIGH", "protection", "protection boxes", F.concat_ws(" ", "n", F.nullif("systems", F.lit(""))), F.col("start"))
 
 
 def structure(facts: DataFrame, anomalies: DataFrame) -> DataFrame:
@@ -93,16 +79,21 @@ def padding(facts: DataFrame) -> DataFrame:
     return finding(bad, "R8", "HIGH", "hidden", F.concat(F.lit("data in padding "), "type"), F.concat_ws(" ", F.round("nonzero", 4), F.round("entropy", 3)), F.col("start")).unionByName(finding(clean, "R8", "INFO", "hidden", "padding is clean"))
 
 
+def _holes(top: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(stretches of media boxes that no sample reaches; media boxes; the samples' stretches)."""
+    media_ = top.filter("type = 'mdat'").select("video_id", F.col("start").alias("box_id"), (F.col("start") + F.col("header")).alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+    used = samples.select("video_id", F.col("offset").alias("a"), (F.col("offset") + F.col("size")).alias("b"))
+    inside = used.join(media_, "video_id").filter("b > lo AND a < hi").select("video_id", "box_id", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
+    return intervals.complement(inside, media_, ["video_id", "box_id"]), media_, used
+
+
 def coverage(files: DataFrame, facts: DataFrame, samples: DataFrame) -> DataFrame:
     """Bytes after the last box, media bytes that no sample reaches, samples outside media or out of range."""
     top = facts.filter("depth = 0")
     ends = files.select("video_id", "length").join(top.groupBy("video_id").agg(F.max(F.col("start") + F.col("size")).alias("end")), "video_id", "left")
     trailing = ends.withColumn("end", F.coalesce("end", F.lit(0))).filter("end < length")
-    media = top.filter("type = 'mdat'").select("video_id", F.col("start").alias("box_id"), (F.col("start") + F.col("header")).alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    used = samples.select("video_id", F.col("offset").alias("a"), (F.col("offset") + F.col("size")).alias("b"))
-    by_box = media.select("video_id", "box_id", "lo", "hi")
-    inside = used.join(by_box, "video_id").filter("b > lo AND a < hi").select("video_id", "box_id", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
-    holes = intervals.complement(inside, by_box, ["video_id", "box_id"]).withColumn("gap", F.col("b") - F.col("a"))
+    holes, media, used = _holes(top, samples)
+    holes = holes.withColumn("gap", F.col("b") - F.col("a"))
     total = media.select("video_id").distinct().join(holes.groupBy("video_id").agg(F.sum(F.when(F.col("gap") >= GAP, F.col("gap"))).alias("counted"), F.sum("gap").alias("raw")), "video_id", "left")
     total = total.withColumns({"counted": F.coalesce("counted", F.lit(0)), "raw": F.coalesce("raw", F.lit(0))})
     bad = samples.join(files.select("video_id", "length"), "video_id").filter("size < 0 OR offset < 0 OR offset + size > length").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
@@ -120,13 +111,13 @@ def metadata_rules(items: DataFrame, dimension: DataFrame) -> DataFrame:
     value, key = F.col("value"), F.col("key")
     images = items.filter(F.col("dtype").isin(12, 13, 14, 27) | (F.trim(key) == "covr"))
     prints = text_rules.rule_hits(items, ["video_id", "key"], "value", dimension)
-    one = F.when(text_rules.is_hex_like(value), "long hexadecimal value").when(text_rules.is_base64_like(value), "base64-like value")
-    odd = items.withColumn("_t", one).filter("_t IS NOT NULL")
+    hexadecimal = text_rules.is_hex_like(value)
     ids = items.filter(text_rules.hits(value, "platform_id"))
     return all_parts(
         finding(images, "R13", "MED", "metadata", "embedded image", key, F.col("value_offset")),
         finding(prints, "R14", F.col("severity"), "metadata", F.col("code"), F.array_join("samples", " | "), key),
-        finding(odd, "R15", "MED", "metadata", F.col("_t"), value, key),
+        finding(items.filter(hexadecimal), "R15", "MED", "metadata", "long hexadecimal value", value, key),
+        finding(items.filter(~F.coalesce(hexadecimal, F.lit(False)) & text_rules.is_base64_like(value)), "R16", "MED", "metadata", "base64-like value", value, key),
         finding(ids, "R17", "HIGH", "metadata", "platform video id", value, key),
     )
 
@@ -163,13 +154,7 @@ def bitstream_rules(messages: DataFrame, parameters: DataFrame, videos: DataFram
 
 def structural_segments(files: DataFrame) -> DataFrame:
     """``video_id, seg_start, text``: bytes outside media boxes as Latin-1, one row a top box, so no match spans a seam."""
-
-    def rows(video: str, data: bytes):
-        for b in boxes.parse(data).boxes:
-            if b.depth == 0 and b.type != "mdat":
-                yield video, b.start, data[b.start : b.end].decode("latin-1")
-
-    return boxes.per_file(files, rows, "video_id string, seg_start long, text string")
+    return boxes.per_file(files, lambda video, data: decoded.segment_rows(video, data, boxes.parse(data)), decoded.TABLES["segments"])
 
 
 def string_rules(segments: DataFrame, dimension: DataFrame) -> DataFrame:
@@ -186,48 +171,7 @@ def string_rules(segments: DataFrame, dimension: DataFrame) -> DataFrame:
 
 def signature_hits(files: DataFrame, most: int = 8) -> DataFrame:
     """``video_id, code, offset, ok``: embedded file signatures in structural bytes, ``most`` a signature and stretch, each validated."""
-
-    def rows(video: str, data: bytes):
-        for b in boxes.parse(data).boxes:
-            if b.depth == 0 and b.type != "mdat":
-                for code, at, ok in signatures(data[b.start : b.end], most):
-                    yield video, code, b.start + at, ok
-
-    return boxes.per_file(files, rows, "video_id string, code string, offset long, ok boolean")
-
-
-def signatures(data: bytes, most: int = 8) -> list[tuple[str, int, bool]]:
-    """(code, offset, valid) of embedded signatures, in order of offset."""
-    out = []
-    for code, magic, pad in rules.MAGICS:
-        at = -1
-        for _ in range(most):
-            at = data.find(magic, at + 1)
-            if at < 0:
-                break
-            start = at - pad if at >= pad else at
-            out.append((code, start, _valid(code, data[start : start + 262_144])))
-    return sorted(out, key=lambda r: (r[1], r[0]))
-
-
-def _valid(code: str, d: bytes) -> bool:
-    """Whether what follows a signature has that kind's structure, by code."""
-    u16 = lambda at: int.from_bytes(d[at : at + 2], "little")
-    tests = {
-        "png": lambda: d[12:16] == b"IHDR",
-        "jpeg": lambda: b"\xff\xd9" in d[2:],
-        "zip": lambda: len(d) >= 30 and u16(8) in (0, 8, 9, 12, 14, 93, 95, 98) and 0 < u16(4) <= 63,
-        "zip_empty": lambda: len(d) >= 22 and u16(8) == u16(10),
-        "gzip": lambda: len(d) > 9 and d[3] < 32,
-        "pdf": lambda: d[:7] == b"%PDF-1.",
-        "sqlite": lambda: len(d) >= 100 and int.from_bytes(d[16:18], "big") in (1, *[2**k for k in range(8, 16)]),  # page size; 1 stands for 65536
-        "ogg": lambda: len(d) > 5 and d[4] == 0 and d[5] in (0, 2, 4, 6),
-        "flac": lambda: len(d) > 4 and d[4] & 127 == 0,
-        "elf": lambda: len(d) > 5 and d[4] in (1, 2) and d[5] in (1, 2),
-        "7z": lambda: len(d) > 8,
-        "rar": lambda: d[6:7] in (b"\0", b"\1"),
-    }
-    return bool(tests[code]()) if code in tests else True
+    return boxes.per_file(files, lambda video, data: decoded.signature_rows(video, data, boxes.parse(data), most), decoded.TABLES["signatures"])
 
 
 def signature_rules(hits: DataFrame, videos: DataFrame) -> DataFrame:
@@ -237,16 +181,9 @@ def signature_rules(hits: DataFrame, videos: DataFrame) -> DataFrame:
     return finding(good, "R23", "MED", "hidden", F.concat(F.lit("embedded "), "code"), F.col("n"), F.col("offset")).unionByName(finding(none, "R23", "INFO", "hidden", "no embedded files"))
 
 
-def deep_media_prints(files: DataFrame, dimension: DataFrame) -> DataFrame:
-    """The first five fingerprints over media bytes, LOW."""
-
-    def rows(video: str, data: bytes):
-        for b in boxes.parse(data).boxes:
-            if b.depth == 0 and b.type == "mdat":
-                yield video, b.start, data[b.body : b.end].decode("latin-1")
-
-    media = boxes.per_file(files, rows, "video_id string, start long, text string")
-    prints = text_rules.rule_hits(media, ["video_id", "start"], "text", dimension.filter("rank < 5"))
+def deep_media_prints(media_text: DataFrame, dimension: DataFrame) -> DataFrame:
+    """The first five fingerprints over media bytes (video_id, start, text), LOW."""
+    prints = text_rules.rule_hits(media_text, ["video_id", "start"], "text", dimension.filter("rank < 5"))
     return finding(prints, "R24", "LOW", "media", F.col("code"), F.array_join("samples", " | "), F.col("start"))
 
 
@@ -266,25 +203,27 @@ def timing_rules(timing: DataFrame, declared: DataFrame) -> DataFrame:
 
 def timing_rows(files: DataFrame) -> DataFrame:
     """A row a track: handler, ordinal of its kind, duration, samples, zero steps, offsets, edits."""
+    return boxes.per_file(files, lambda video, data: decoded.timing_rows(video, data, boxes.parse(data)), decoded.TABLES["timing"])
 
-    def rows(video: str, data: bytes):
-        tree, seen = boxes.parse(data), {}
-        for k, trak, kind, _ in boxes.tracks(data, tree):
-            seen[kind] = seen.get(kind, 0) + 1
-            t = boxes.timing(data, tree, trak)
-            yield video, k, kind, seen[kind], t["duration"], t["samples"], t["zero_deltas"], t["ctts_min"], t["ctts_max"], t["edits"]
-
-    return boxes.per_file(files, rows, "video_id string, track_no int, handler string, ordinal int, duration long, samples long, zero_deltas long, ctts_min long, ctts_max long, edits long")
 
+def fault_rules(faults: DataFrame) -> DataFrame:
+    """LOW for every step that a file's bytes break (video_id, step, error); the other steps go on."""
+    return finding(faults, "R32", "LOW", "scan", F.concat(F.lit("step failed: "), "step"), F.col("error"))
 
-#: Decoders whose faults are reported, by the step that uses them.
-STEPS = {"boxes": boxes.box_rows, "samples": boxes.sample_rows, "metadata": boxes.metadata_rows, "units": bitstream.nal_rows, "messages": bitstream.sei_rows, "parameters": bitstream.sps_rows}
 
+def unreferenced_bytes(lengths: DataFrame, facts: DataFrame, samples: DataFrame) -> DataFrame:
+    """``video_id, a, b, kind``: bytes that nothing points to, as half-open stretches.
 
-def fault_rules(files: DataFrame) -> DataFrame:
-    """LOW for every step that a file's bytes break; the other steps go on."""
-    errors = boxes.decode_errors(files, STEPS)
-    return finding(errors, "R32", "LOW", "scan", F.concat(F.lit("step failed: "), "step"), F.col("error"))
+    ``trailing`` after the last top box, ``gap`` of ``GAP`` bytes or more in media boxes that
+    no sample reaches, ``padding`` the bodies of padding boxes.  What a zero plan fills.
+    """
+    top = facts.filter("depth = 0")
+    ends = lengths.select("video_id", "length").join(top.groupBy("video_id").agg(F.max(F.col("start") + F.col("size")).alias("a")), "video_id", "left")
+    stretch = lambda rows, a, b, kind: rows.select("video_id", a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(kind).alias("kind")).filter("b > a")
+    trailing = stretch(ends, F.coalesce("a", F.lit(0)), F.col("length"), "trailing")
+    gaps = stretch(_holes(top, samples)[0].filter(F.col("b") - F.col("a") >= GAP), F.col("a"), F.col("b"), "gap")
+    padding_ = stretch(facts.filter(F.col("type").isin(*PADDING)), F.col("start") + F.col("header"), F.col("start") + F.col("size"), "padding")
+    return all_parts(trailing, gaps, padding_)
 
 
 def flash_rules(kinds: DataFrame, videos: DataFrame) -> DataFrame:
@@ -298,54 +237,71 @@ def all_parts(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def scan(files: DataFrame, probe: DataFrame | None = None, kinds: DataFrame | None = None, deep: bool = False, held: list[DataFrame] | None = None) -> DataFrame:
+def scan(
+    files: DataFrame,
+    probe: DataFrame | None = None,
+    kinds: DataFrame | None = None,
+    deep: bool = False,
+    held: list[DataFrame] | None = None,
+    frames: DataFrame | None = None,
+    audio: DataFrame | None = None,
+) -> DataFrame:
     """Every container rule over ``files`` (video_id, path, length, content), one findings table.
 
     ``probe`` (see ``sources.files.probes``) adds the rules on streams and declared sizes and
-    frames, ``kinds`` (video_id, kind) those on flashes and cuts; ``deep`` looks into media
-    bytes and at all samples.  Contents are decoded where they are read and never shuffled;
-    the thin tables that several rules share are persisted and added to ``held``, whose
-    owner releases them once the findings are written.
+    frames, ``kinds`` (video_id, kind, idx where frames are given) those on flashes and cuts,
+    ``frames`` (grey) those on overlays and finder patterns, ``audio`` those on sound; ``deep``
+    looks into media bytes and at all samples.  Contents are decoded once, where they are
+    read, and never shuffled.  The decoded tables are written below the shared folder; with
+    ``held`` they are persisted and added to it instead, and its owner releases them once
+    the findings are written.
     """
     from quarry.sources.files import streams
 
-    def kept(table: DataFrame) -> DataFrame:
-        if held is not None:
-            held.append(table)
-        return table.persist()
-
     spark = files.sparkSession
     dimension, videos = rules.fingerprints(spark), files.select("video_id")
-    facts, samples = kept(box_facts(files)), kept(boxes.samples(files))
-    messages, timing = kept(bitstream.sei(files, deep)), kept(timing_rows(files))
+    stream = decoded.tagged(files, deep)
+    if held is None:
+        stream = stored(stream)
+    else:
+        held.append(stream.persist())
+    of = lambda name: decoded.table(stream, name)
+    facts, samples, timing = of("facts"), of("samples"), of("timing")
     if probe is None:
         sizes = spark.createDataFrame([], "video_id string, width int, height int")
-        frames = spark.createDataFrame([], "video_id string, handler string, ordinal int, nb_frames long")
+        declared = spark.createDataFrame([], "video_id string, handler string, ordinal int, nb_frames long")
         more = []
     else:
-        every = kept(streams(probe))
+        every = streams(probe)
         sizes = every.filter("codec_type = 'video' AND ordinal = 1").select("video_id", "width", "height")
         handler = F.when(F.col("codec_type") == "video", "vide").when(F.col("codec_type") == "audio", "soun")
-        frames = every.select("video_id", handler.alias("handler"), "ordinal", F.col("nb_frames").try_cast("long").alias("nb_frames")).filter("handler IS NOT NULL")
+        declared = every.select("video_id", handler.alias("handler"), "ordinal", F.col("nb_frames").try_cast("long").alias("nb_frames")).filter("handler IS NOT NULL")
         more = [stream_rules(every, probe)]
     if kinds is not None:
         more.append(flash_rules(kinds, videos))
+    if frames is not None:
+        flashed = kinds.filter("kind = 'flash'") if kinds is not None and "idx" in kinds.columns else spark.createDataFrame([], "video_id string, idx long")
+        shown = frames.select("video_id").distinct()
+        more += [media.overlay_findings(tiles.overlay_regions(frames), shown), media.finder_findings(finders.finder_frames(frames), flashed, shown)]
+    if audio is not None:
+        more.append(media.ultrasonic_findings(sound.audio_spectra(audio)))
     if deep:
-        more.append(deep_media_prints(files, dimension))
+        more.append(deep_media_prints(of("media"), dimension))
+    lengths = of("digests")
     return all_findings(
         [
-            hash_named(files),
-            fault_rules(files),
+            named_files(lengths),
+            fault_rules(of("faults")),
             credentials(facts),
             protection(facts),
-            structure(facts, kept(boxes.anomalies(files))),
+            structure(facts, of("anomalies")),
             padding(facts),
-            coverage(files, facts, samples),
-            metadata_rules(kept(boxes.metadata_items(files)), dimension),
-            bitstream_rules(messages, bitstream.sequence_parameters(files), videos, sizes),
-            string_rules(kept(structural_segments(files)), dimension),
-            signature_rules(kept(signature_hits(files)), videos),
-            timing_rules(timing, frames),
+            coverage(lengths, facts, samples),
+            metadata_rules(of("metadata"), dimension),
+            bitstream_rules(of("messages"), of("parameters"), videos, sizes),
+            string_rules(of("segments"), dimension),
+            signature_rules(of("signatures"), videos),
+            timing_rules(timing, declared),
             *more,
         ]
     )

@@ -207,6 +207,22 @@ def stream_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("video_id", "codec_type", "ordinal", state.alias("state")).filter("state <> 'equal'")
 
 
+def rewrite_report(plan: DataFrame, faults: DataFrame, unplanned_: DataFrame, changes: DataFrame) -> DataFrame:
+    """``video_id, part, ok, n, bytes``: what a plan changes by kind of patch, and the verdict of each check.
+
+    Checks: ``patch_faults``, ``unplanned`` and ``stream_changes``; a video of the plan without rows there passes.
+    """
+    patched = plan.groupBy("video_id", F.concat(F.lit("patch "), "kind").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum(patch_length()).cast("long").alias("bytes"))
+    videos = plan.select("video_id").distinct()
+
+    def check(name: str, rows: DataFrame) -> DataFrame:
+        found = videos.join(rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")), "video_id", "left")
+        return found.select("video_id", F.lit(name).alias("part"), F.col("n").isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n"), F.lit(None).cast("long").alias("bytes"))
+
+    checks = check("plan", faults).unionByName(check("bytes", unplanned_)).unionByName(check("streams", changes))
+    return patched.select("video_id", "part", F.lit(True).alias("ok"), "n", "bytes").unionByName(checks)
+
+
 def duration_kept(old: Column, new: Column, encoded: bool = False) -> Column:
     return F.abs(new - old) <= F.lit(0.3 if encoded else 0.05)
 
