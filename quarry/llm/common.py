@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import ship
+from quarry.storage import checkpointed, shared_folder, stored
+
+__all__ = ["ascii_lower", "checkpointed", "shared_folder", "stored", "table"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -22,37 +22,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the checkpoint folder that the executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a temporary one made.
-    """
-    spark = df.sparkSession
-    shared_folder(spark)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet below the shared folder and read again: cuts the lineage, and later reads take single columns."""
-    path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; see ``checkpointed``."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not folder:
-        if not sc.master.startswith("local"):  # executors would each write to their own disk
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-        folder = tempfile.mkdtemp(prefix="quarry-checkpoint-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(folder)
-    return folder
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder; executors get this package before any work on it."""
     ship(spark)

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import checkpointed
+from quarry.operators import ordered
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2, 0
 #: Hex digits of the seeded order that name a range.
@@ -121,17 +122,24 @@ def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     Columns are those of ``docs``; ``n_chars``, if there, follows a cut text.  Rows
     with no words carry nothing to weigh and are kept once.  Rows of a source that repeat
     an id (or have none) and have one size share what they take together; the words that
-    do not divide go to as many of them by a hash of their text, so a source may miss its
-    target by a word for some of these rows.  An empty table gives an empty result.
+    do not divide go to the first of them by a hash of their text, one each, so a source
+    meets its target to the word.  An empty table gives an empty result.
     """
     ident, source = F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
     rows = docs.withColumns({"__quarry_id": ident, "__quarry_source": source, "__quarry_size": n_words(F.col("text"))})
     key = ["__quarry_id", "__quarry_source", "__quarry_size"]
     taken = mix(docs, keep_source=True, **parameters).select(ident.alias(key[0]), source.alias(key[1]), F.col("size").alias(key[2]), "taken")
     taken = taken.groupBy(*key).agg(F.sum("taken").alias("__quarry_all"), F.count(F.lit(1)).alias("__quarry_n"))
-    joined = rows.join(taken, key)
     n = F.col("__quarry_n")
-    each = F.floor(F.col("__quarry_all") / n) + F.when(F.pmod(F.xxhash64("text", F.col("__quarry_id")), n) < F.col("__quarry_all") % n, 1).otherwise(0)
+    joined = rows.join(taken, key).withColumn("__quarry_each", F.floor(F.col("__quarry_all") / n))
+    uneven = checkpointed(taken.filter(F.col("__quarry_all") % n > 0).withColumn("__quarry_rest", F.col("__quarry_all") % n).select(*key, "__quarry_rest"))
+    if not uneven.isEmpty():  # few rows, if ids are unique none
+        joined = joined.withColumn("__quarry_text", F.xxhash64("text")).join(_one_more(rows, uneven, key), [*key, "__quarry_text"], "left")
+        # of rows that are alike as many as are to get a word do
+        order = Window.partitionBy(*key, "__quarry_text").orderBy("text")
+        alike = joined.filter(F.col("__quarry_more") > 0).withColumn("__quarry_each", F.col("__quarry_each") + F.when(F.row_number().over(order) <= F.col("__quarry_more"), 1).otherwise(0))
+        joined = joined.filter(F.coalesce(F.col("__quarry_more"), F.lit(0)) == 0).unionByName(alike)
+    each = F.col("__quarry_each")
     whole = F.when(F.col("__quarry_size") > 0, F.floor(each / F.col("__quarry_size"))).otherwise(F.lit(1))
     part = F.when(F.col("__quarry_size") > 0, each - whole * F.col("__quarry_size")).otherwise(F.lit(0))
     copies = F.concat(F.array_repeat(F.col("__quarry_size"), whole.cast("int")), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
@@ -143,3 +151,12 @@ def mixed_rows(docs: DataFrame, **parameters) -> DataFrame:
     if "n_chars" in docs.columns:
         changed["n_chars"] = F.when(F.col("__quarry_words") < F.col("__quarry_size"), F.length(text)).otherwise(F.col("n_chars"))
     return out.withColumns(changed).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _one_more(rows: DataFrame, uneven: DataFrame, key: list[str]) -> DataFrame:
+    """``key, __quarry_text, __quarry_more``: how many of the rows of each text get one of the words that do not divide."""
+    held = rows.join(uneven.select(*key), key, "left_semi").select(*key, F.xxhash64("text").alias("__quarry_text"))
+    counted = held.groupBy(*key, "__quarry_text").agg(F.count(F.lit(1)).alias("_m"))
+    placed = ordered.summed(counted, key, ["__quarry_text"], F.shiftright("__quarry_text", 56), F.col("_m"), "_upto").join(uneven, key)
+    more = F.greatest(F.lit(0), F.least(F.col("_m"), F.col("__quarry_rest") - (F.col("_upto") - F.col("_m"))))
+    return placed.select(*key, "__quarry_text", more.alias("__quarry_more"))

@@ -58,13 +58,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         fp = [fingerprint(t) for t in batch.column(1).to_pylist()]
         signed = np.array(fp, np.uint64).view(np.int64) if fp else np.array([], np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's 64 bits as a signed long), one row per input row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark_col: str | None = None) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's 64 bits as a signed long), one row per input row; and ``mark``, a column that goes along."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    more = [F.col(mark_col).cast("string").alias("mark")] if mark_col else []
+    schema = f"doc_id {kind}, fp long" + (", mark string" if mark_col else "")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more).mapInArrow(_fingerprints, schema)
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -77,23 +79,34 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result; other columns play no part.
     """
     prints = checkpointed(fingerprints(docs, id_col, text_col))
+    found = prints.join(_classes(prints, bucket), "fp")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _classes(prints: DataFrame, bucket: int) -> DataFrame:
+    """``fp, root, component_id``: each fingerprint's component, by its least fingerprint and its smallest id."""
     classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(checkpointed(links(classes.select("fp"), bucket)))
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
 
 
 def near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose id is their component's; one of rows repeated with an id.
+    """One row of ``docs``, with all its columns, of each near-duplicate component: one that has the component's smallest id.
 
-    Rows with a null id cannot be named by a component: they stay, once for each distinct text.
+    Of several rows with that id in one component, the one with the least fingerprint stays
+    (then the least hash of its text); rows that share an id but no component all stay, and
+    of equal rows one does.  Rows with a null id cannot be named by a component: they stay,
+    once for each distinct text.  An empty table gives an empty result.
     """
     named, nameless = docs.filter(F.col(id_col).isNotNull()), docs.filter(F.col(id_col).isNull())
-    stays = near_dedup(named, id_col, text_col, bucket).filter("doc_id = component_id").select(F.col("doc_id").alias("__quarry_id")).distinct()
-    rows = named.withColumn("__quarry_id", F.col(id_col)).join(stays, "__quarry_id", "left_semi").dropDuplicates(["__quarry_id"]).drop("__quarry_id")
-    return rows.unionByName(nameless.dropDuplicates([text_col]))
+    rows = named.withColumns({"__quarry_id": F.col(id_col), "__quarry_text": F.md5(F.coalesce(F.col(text_col).cast("string").cast("binary"), F.lit(b"")))})
+    prints = checkpointed(fingerprints(rows, "__quarry_id", text_col, "__quarry_text"))
+    least = prints.join(_classes(prints.select("doc_id", "fp"), bucket), "fp").filter("doc_id = component_id")
+    stays = least.groupBy("root").agg(F.min(F.struct("fp", "mark", "doc_id")).alias("s")).select(F.col("s.doc_id").alias("__quarry_id"), F.col("s.mark").alias("__quarry_text"))
+    key = ["__quarry_id", "__quarry_text"]
+    kept = rows.join(stays.distinct(), key, "left_semi").dropDuplicates(key).drop(*key)
+    return kept.unionByName(nameless.dropDuplicates([text_col]))
 
 
 def _bit(position: Column) -> Column:

@@ -98,6 +98,18 @@ def test_near_is_brute_force(spark):
     assert simhash.near_dedup(docs.limit(0)).count() == 0
 
 
+def test_near_distinct_keeps_unrelated_texts_of_one_id(spark):
+    rng = random.Random(31)
+    one, two, three = (prose(rng, 80) for _ in range(3))
+    rows = [(1, one), (1, two), (1, one), (2, one), (3, three), (1, two + " and"), (None, three), (None, three)]
+    for parts in (1, 3, 7):
+        got = sorted((r.doc_id or 0, r.text) for r in simhash.near_distinct(documents(spark, rows).repartition(parts)).collect())
+        first = min((brute_print(t) - (1 << 64) * (brute_print(t) >> 63), t) for t in (two, two + " and"))[1]
+        linked = bin(brute_print(two) ^ brute_print(two + " and")).count("1") <= 2
+        assert got == sorted([(1, one), (3, three), (0, three)] + ([(1, first)] if linked else [(1, two), (1, two + " and")]))
+    assert simhash.near_distinct(documents(spark, rows).limit(0)).count() == 0
+
+
 def test_links_of_crowded_keys_lose_no_connection(spark):
     rng = random.Random(5)
     base = rng.getrandbits(64)
