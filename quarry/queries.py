@@ -386,9 +386,12 @@ def rule_hits(t: Tables) -> DataFrame:
     return text_rules.rule_hits(rows, ["id"], "text", rules.fingerprints(t.spark)).select("id", "code", "severity", "n")
 
 
-@query("planted_intel", _INTEL.format(id="id", text="text", table=_VALUES))
+@query("planted_intel", _INTEL.format(id="id", text="text", table=f"(SELECT doc_id AS id, coalesce(d.text, '') || ' | ' || p.text AS text FROM documents d JOIN {_VALUES} ON p.id = d.doc_id % 11 + 1)"))
 def planted_intel(t: Tables) -> DataFrame:
-    return text_rules.intelligence(_planted(t), ["id"], "text")
+    """Every document, followed by one of the planted texts."""
+    planted = _planted(t).select(F.col("id").alias("_k"), F.col("text").alias("_t"))
+    rows = t.documents.join(planted, F.col("_k") == F.col("doc_id") % len(_PLANTED) + 1)
+    return text_rules.intelligence(rows.select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" | "), "_t").alias("text")), ["id"], "text")
 
 
 @query("hexlike_values", """
@@ -657,9 +660,9 @@ def audio_choice(t: Tables) -> DataFrame:
 # --- patches ---------------------------------------------------------------------------
 
 
-@query("patch_overlay", "SELECT doc_id, left(text, 5) || '########' || substr(text, 14) AS content FROM documents WHERE length(text) >= 20 AND strlen(left(text, 20)) = 20")
+@query("patch_overlay", "SELECT doc_id, left(text, 5) || '########' || substr(text, 14) AS content FROM documents WHERE length(text) >= 13")
 def patch_overlay(t: Tables) -> DataFrame:
-    rows = t.documents.filter((F.length("text") >= 20) & (F.octet_length(F.left("text", F.lit(20))) == 20))
+    rows = t.documents.filter(F.length("text") >= 13)  # a patch lies inside its text
     return rows.select("doc_id", patches.overlaid(F.col("text"), F.lit("########"), F.lit(5)).alias("content"))
 
 
