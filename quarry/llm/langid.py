@@ -9,7 +9,9 @@ give.
 Frequencies are smoothed towards those of all languages together: an item met n times
 among a language's N has frequency (n + PRIOR * q) / (N + PRIOR), where q is its share of
 all languages' items.  What no language has much of is then about equally rare in each,
-however few rows a language has.  Languages without a word take no part.
+however few rows a language has.  So that a language of a few rows, which is then little but
+the mix of all, does not fit unseen words best, each starts from the log of its share of
+the labelled rows, once a text.  Languages without a word take no part.
 
 The model is fitted on labelled rows only, a sample bounded per language
 (``ROWS_PER_LANGUAGE``, chosen by a hash of id and text).  Every word and n-gram of the
@@ -19,6 +21,7 @@ the executors; over ``ITEMS`` rows, words meet them in shuffle joins, with the s
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -57,7 +60,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Fitted(NamedTuple):
-    """A fitted model: its languages in order, and ``kind, item, logs`` (kind word or gram, a log frequency a language)."""
+    """A fitted model: its languages in order, and ``kind, item, logs`` (kind word or gram, a log frequency a language; one row ``prior``)."""
 
     languages: list[str]
     items: DataFrame | None
@@ -70,6 +73,8 @@ class Model:
         """From rows ``kind, item`` and a column of logs a language."""
         self.languages, none = languages, np.zeros((0, len(languages)))
         self.words, self.grams, self.word_logs, self.gram_logs = {}, {}, none, none
+        prior = table.filter(pc.equal(table["kind"], "prior")) if table is not None else []
+        self.prior = np.array([prior[f"l{k}"][0].as_py() for k in range(len(languages))]) if len(prior) else np.zeros(len(languages))
         for kind in ("word", "gram") if table is not None else ():
             part = table.filter(pc.equal(table["kind"], kind))
             items = {item: k for k, item in enumerate(part["item"].to_pylist())}
@@ -113,7 +118,7 @@ class Model:
             self._forget()
         get, row = self.words.get, self._row
         rows = [r if (r := get(w)) is not None else row(w) for w in words]
-        mean = self.logs[rows].mean(axis=0) * min(len(words), _SHARP)
+        mean = self.logs[rows].mean(axis=0) * min(len(words), _SHARP) + self.prior
         p = np.exp(mean - mean.max())
         best = int(p.argmax())
         return self.languages[best], float(p[best] / p.sum())
@@ -146,7 +151,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
     """
     rows = labelled.filter(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     rows = rows.withColumn("lot", F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / F.lit(float(1 << 20)))
-    shares = rows.groupBy("lang").agg(F.greatest(F.min("lot"), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share")).collect()  # a row a language
+    shares = rows.groupBy("lang").agg(F.greatest(F.min("lot"), F.lit(float(rows_per_language)) / F.count(F.lit(1))).alias("share"), F.count(F.lit(1)).alias("rows")).collect()  # a row a language
     if not shares:
         return Fitted([], None)
     chosen = rows.filter(F.col("lot") <= _by_language({r["lang"]: r["share"] for r in shares}))
@@ -164,6 +169,9 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_
 
     items = counts.groupBy("kind", "item").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("met"), F.sum("n").alias("all"))
     items = items.select("kind", "item", F.when(F.col("kind") == "word", logs("word")).otherwise(logs("gram")).alias("logs"))
+    held_rows = {r["lang"]: r["rows"] for r in shares}
+    prior = [math.log(held_rows[lang] / sum(held_rows[x] for x in languages)) for lang in languages]
+    items = items.unionByName(labelled.sparkSession.createDataFrame([("prior", "", prior)], "kind string, item string, logs array<double>"))
     return Fitted(languages, checkpointed(items))
 
 
@@ -228,7 +236,8 @@ def _by_join(plain: DataFrame, model: Fitted) -> DataFrame:
     none = F.array(*[F.lit(0.0) for _ in each])
     looked = looked.join(unseen, "word", "left").select("word", F.coalesce("logs", "guess", none).alias("logs"))
     n = F.sum("n")
-    sums = met.join(looked, "word").groupBy("row").agg(F.array(*[F.sum(F.col("n") * F.col("logs")[k]) / n * F.least(n, F.lit(_SHARP)) for k in each]).alias("m"))
+    prior = model.items.filter(F.col("kind") == "prior").first()["logs"]
+    sums = met.join(looked, "word").groupBy("row").agg(F.array(*[F.sum(F.col("n") * F.col("logs")[k]) / n * F.least(n, F.lit(_SHARP)) + F.lit(prior[k]) for k in each]).alias("m"))
     best = F.array_max("m")
     sums = sums.select("row", F.element_at(F.array(*map(F.lit, model.languages)), F.array_position("m", best).cast("int")).alias("lang_pred"), (1 / F.aggregate("m", F.lit(0.0), lambda s, x: s + F.exp(x - best))).alias("score"))
     out = named.join(sums, "row", "left")

@@ -131,6 +131,7 @@ def brute_languages(labelled, texts):
                 own = n[kind].setdefault(lang, {})
                 own[item] = own.get(item, 0) + 1
     languages = sorted(n["word"])
+    rows = {lang: sum(x == lang for _, x in labelled) for lang in languages}
 
     def log(kind, item, lang):
         every = sum(sum(c.values()) for c in n[kind].values())
@@ -151,7 +152,7 @@ def brute_languages(labelled, texts):
         if not own or not languages:
             out.append(("und", 0.0))
             continue
-        m = [sum(value(w, lang) for w in own) / len(own) * min(len(own), 50) for lang in languages]
+        m = [sum(value(w, lang) for w in own) / len(own) * min(len(own), 50) + math.log(rows[lang] / sum(rows.values())) for lang in languages]
         best = m.index(max(m))
         out.append((languages[best], 1 / sum(math.exp(x - m[best]) for x in m)))
     return out
@@ -189,6 +190,16 @@ def test_small_and_empty_languages_are_not_favoured(spark):
     assert 0 < rows < model.items.filter("kind = 'word'").count() / 4
 
 
+def test_a_language_of_few_rows_does_not_take_what_others_know(spark):
+    rng = random.Random(33)
+    english, french = "the cat and a house of trees in rain with sun".split(), "le chat et une maison des arbres sous la pluie".split()
+    rows = [(" ".join(rng.choices(english, k=6)), "en") for _ in range(200)] + [(" ".join(rng.choices(french, k=6)), "fr") for _ in range(200)]
+    rows += [("der hund ist sehr gut", "de"), ("ich gehe nach hause", "de"), ("das ist fein", "de")]
+    model = langid.fit(documents(spark, [t for t, _ in rows], lang=[lang for _, lang in rows]))
+    got = langid.predict(documents(spark, ["the dog", "le chien", "der hund ist sehr gut"]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in got] == ["en", "fr", "de"]
+
+
 def toxic_rows(rng, n, share=0.3):
     out = []
     for k in range(n):
