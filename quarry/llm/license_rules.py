@@ -133,6 +133,28 @@ SINGLE = (
     Rule("mozilla", r"mozilla public licen[sc]e", 4, "mpl"),
     Rule("eclipse", r"eclipse public licen[sc]e", 4, "epl"),
     Rule("artistic", r"artistic licen[sc]e", 4, "artistic"),
+    # short names
+    Rule("gpl", r"(?:gnu )?gpl ?v?2(?: 0)?(?: only| or later)?", 3, "gpl-2"),
+    Rule("gpl version 2", r"(?:gnu )?gpl version 2(?: 0)?(?: only| or later)?", 3, "gpl-2"),
+    Rule("gpl", r"(?:gnu )?gpl ?v?3(?: 0)?(?: only| or later)?", 3, "gpl-3"),
+    Rule("gpl version 3", r"(?:gnu )?gpl version 3(?: 0)?(?: only| or later)?", 3, "gpl-3"),
+    Rule("lgpl", r"(?:gnu )?lgpl ?v?2 1(?: only| or later)?", 3, "lgpl-2.1"),
+    Rule("lgpl version 2", r"(?:gnu )?lgpl version 2 1(?: only| or later)?", 3, "lgpl-2.1"),
+    Rule("lgpl", r"(?:gnu )?lgpl ?v?3(?: 0)?(?: only| or later)?", 3, "lgpl-3"),
+    Rule("lgpl version 3", r"(?:gnu )?lgpl version 3(?: 0)?(?: only| or later)?", 3, "lgpl-3"),
+    Rule("agpl", r"(?:gnu )?agpl ?v?3(?: 0)?(?: only| or later)?", 3, "agpl-3"),
+    Rule("agpl version 3", r"(?:gnu )?agpl version 3(?: 0)?(?: only| or later)?", 3, "agpl-3"),
+    Rule("gpl", r"(?:gnu )?gpl", 4, "gpl"),
+    Rule("lgpl", r"(?:gnu )?lgpl", 4, "lgpl"),
+    Rule("agpl", r"(?:gnu )?agpl", 4, "agpl"),
+    Rule("apache 2", r"licen[sc]ed under (?:the )?apache 2(?: 0)?(?: licen[sc]e)?", 1, "apache-2"),
+    Rule("apache 2 0", r"apache 2 0(?: licen[sc]ed?)?", 3, "apache-2"),
+    Rule("apache 2 licen", r"apache 2 licen[sc]ed?", 3, "apache-2"),
+    Rule("mit", r"licen[sc]ed under (?:the )?mit", 1, "mit"),
+    Rule("mit licen", r"mit licen[sc]ed", 3, "mit"),
+    Rule("bsd", r"licen[sc]ed under (?:the |a )?bsd", 1, "bsd"),
+    Rule("bsd licen", r"bsd licen[sc]ed", 3, "bsd"),
+    Rule("unlicense", r"unlicense", 4, "unlicense"),
     # sentences of licence texts and notices
     Rule("the software is provided", r"the software is provided as is without warranty of any kind express or implied", 3, "permissive-notice"),
     Rule("above copyright notice", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1, "mit"),
@@ -151,7 +173,7 @@ SINGLE = (
     Rule("waived all copyright", r"(?:has|have) waived all copyright and related or neighbou?ring rights", 1, "cc0-1"),
     Rule("no rights reserved", r"no rights reserved", 3, "public-domain"),
     Rule("some rights reserved", r"some rights reserved", 3, "creative-commons"),
-    Rule("dual licensed", r"dual licensed under (?:[^ ]+ ){1,8}(?:and|or) (?:the )?(?:mit|apache|gpl|bsd|lgpl|mpl)", 3, "dual"),
+    Rule("dual licensed", r"dual licensed under (?:[^ ]+ ){1,8}(?:and|or) (?:the )?(?:mit|apache|gpl|bsd|lgpl|mpl)", 4, "dual"),  # the licences in it are detections too
     Rule("same terms as perl", r"(?:licen[sc]ed )?under the same terms as perl(?: itself)?", 1, "artistic-1"),
     Rule("same terms as ruby", r"(?:licen[sc]ed )?under the same terms as ruby(?: itself)?", 1, "ruby"),
     Rule("beerware", r"beerware licen[sc]e(?: revision 42)?|licen[sc]ed under beerware", 3, "beerware"),
@@ -202,4 +224,4 @@ def re_versioned(label: str) -> bool:
 
 
 #: Words of which every rule's match has one; a text with none of them meets no rule.
-GATE = ("licen", "cc by", "cc0", "public domain", "spdx", "rights reserved", "proprietary", "creative commons", "free of charge", "binary forms", "permission to use", "unencumbered", "mulan psl", "copyright notice", "software is provided", "endorse or promote", "advertising materials", "misrepresented", "waived all copyright", "same terms as", "research purposes only", "beerware")
+GATE = ("licen", "gpl", "apache 2", "cc by", "cc0", "public domain", "spdx", "rights reserved", "proprietary", "creative commons", "free of charge", "binary forms", "permission to use", "unencumbered", "mulan psl", "copyright notice", "software is provided", "endorse or promote", "advertising materials", "misrepresented", "waived all copyright", "same terms as", "research purposes only", "beerware")

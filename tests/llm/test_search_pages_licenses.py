@@ -110,6 +110,19 @@ def test_every_way_through_a_rule_is_reached():
             assert re.fullmatch(r"[^\x00-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F]+", match), (rule, match)  # words with a space between
 
 
+SHORT = {
+    "GPLv3": "gpl-3", "GNU GPL v3": "gpl-3", "licensed under the GPL version 2": "gpl-2", "AGPL": "agpl", "Apache 2.0 license": "apache-2", "License: Apache-2.0": "apache-2",
+    "licensed under apache-2.0": "apache-2", "Licensed under MIT.": "mit", "MIT licensed code": "mit", "licensed under the BSD": "bsd", "unlicense": "unlicense",
+    "dual licensed under MIT or Apache 2.0": "apache-2,dual,mit", "LGPL-2.1-or-later": "lgpl-2.1", "runs on Apache 2.4": "", "the gplus page": "", "permit licensing": "",
+}
+
+
+def test_short_names_are_found(spark):
+    got = licenses.scan(documents(spark, list(SHORT))).orderBy("doc_id").collect()
+    assert dict(zip(SHORT, (r.labels for r in got))) == SHORT
+    assert [r.labels for r in got] == [",".join(brute_labels(t)[3]) for t in SHORT]
+
+
 def test_many_detections_in_one_text(spark):
     text = "under the mit license " * 100_000
     began = time.time()
