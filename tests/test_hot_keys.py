@@ -90,3 +90,17 @@ def test_differences_by_blocks(spark, block, whole):
     binary = lambda df: df.filter("v IS NOT NULL").select("k", F.col("v").cast("binary").alias("v"))
     raw = sorted((r.k, r.a, r.b, r.n) for r in patches.diff_runs(binary(old), binary(new), ["k"], "v", block, whole).collect())
     assert raw == sorted((k, *run) for k, a, b in pairs if a is not None for run in brute_diff(a.encode(), b.encode()))
+
+
+def test_powers_of_vectors_of_any_length(spark):
+    from quarry.operators import spectrum
+
+    rng = np.random.default_rng(6)
+    vectors = [rng.normal(size=8).tolist(), rng.normal(size=5).tolist(), rng.normal(size=19).tolist(), [], None, [1.0, None, 2.0]]
+    got = {r.k: r.power for r in spectrum.powers(spark.createDataFrame(list(enumerate(vectors)), "k int, v array<double>"), ["k"], "v", 8).collect()}
+    for k, v in enumerate(vectors):
+        if v is None or None in v:
+            assert got[k] is None
+        else:
+            at = np.arange(len(v))
+            assert np.allclose(got[k], [abs(sum(np.array(v) * np.exp(-2j * np.pi * b * at / 8))) ** 2 for b in range(5)])
