@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators import chains, finders, joins, media, robust, series, sound, tiles
-from quarry.queries import Tables, _box, query, r6
+from quarry.queries import _TRIALS, Tables, _box, _high, _trials, query, r6
 
 FRAMES = "video_id string, idx long, t double, w int, h int, pix binary"
 
@@ -366,6 +366,23 @@ def rewrite_report(t: Tables) -> DataFrame:
     return patches.rewrite_report(plan, videos.filter(key % 3 == 0), twice, videos.limit(0))
 
 
+@query("slim_report", _TRIALS + """
+, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY projected, ladder_rank, encoder) AS b FROM firsts) WHERE b = 1),
+sz AS (SELECT p_brand AS video_id, CAST(floor(avg(p_retailprice) * 95) AS BIGINT) AS size, count(*) AS n FROM part GROUP BY p_brand),
+c AS (SELECT sz.*, CASE WHEN projected IS NOT NULL AND projected < size * (1 - 0.10) THEN 'slim' ELSE 'skip' END AS action, CASE WHEN projected IS NULL THEN 'nothing_passes' WHEN projected >= size * (1 - 0.10) THEN 'saves_too_little' END AS reason FROM sz LEFT JOIN best USING (video_id))
+SELECT video_id, action, reason, size AS size_before, CASE WHEN action = 'skip' THEN size WHEN n % 3 > 0 THEN size // 2 END AS size_after,
+  CASE WHEN action = 'skip' THEN 0.0 WHEN n % 3 > 0 THEN round((1.0::DOUBLE - (size // 2) / size::DOUBLE) * 100, 6) END AS saved, action = 'skip' OR n % 3 = 1 AS ok FROM c""")
+def slim_report(t: Tables) -> DataFrame:
+    """What became of each brand: encodings of half the size, of which some are missing and some failed."""
+    from quarry.plans import selection
+
+    sizes = t.part.groupBy(F.col("p_brand").alias("video_id")).agg(F.floor(F.avg("p_retailprice") * 95).cast("long").alias("size"), F.count(F.lit(1)).alias("n"))
+    after = F.when(F.col("n") % 3 > 0, F.floor(F.col("size") / 2))
+    results = sizes.select("video_id", F.col("size").alias("size_before"), after.cast("long").alias("size_after"), (F.col("n") % 3 == 1).alias("ok"))
+    found = selection.slim_report(selection.choose(_trials(t), sizes.drop("n"), _high(t)), results)
+    return found.select("video_id", "action", "reason", "size_before", "size_after", r6(F.col("saved")).alias("saved"), "ok")
+
+
 @query("sql_surface", """
 SELECT doc_id::VARCHAR AS video_id, 'mdat' AS type, (32 + CASE WHEN doc_id % 5 = 1 THEN least(100, strlen(text)) ELSE 16 END - 8)::BIGINT AS start, (strlen(text) + 8)::BIGINT AS size FROM documents WHERE text IS NOT NULL""")
 def sql_surface(t: Tables) -> DataFrame:

@@ -63,6 +63,20 @@ def pooled_quality(windows: DataFrame) -> DataFrame:
     return windows.groupBy("video_id", "encoder", "crf", "metric").agg(F.avg("mean").alias("mean"), F.min("worst").alias("worst"), p1.alias("p1"))
 
 
+def slim_report(choices: DataFrame, results: DataFrame) -> DataFrame:
+    """``video_id, action, reason, encoder, crf, size_before, size_after, saved, ok``: what became of each video.
+
+    ``choices`` as ``choose`` gives them; ``results``: video_id, size_before, size_after, ok of the
+    encodings.  A skipped video keeps its size and is ok; one without a result is not.
+    """
+    from quarry.functions.scalar import saved_percent
+
+    rows = choices.join(results, "video_id", "left")
+    skipped = F.col("action") == "skip"
+    after = F.when(skipped, F.col("size_before")).otherwise(F.col("size_after"))
+    return rows.select("video_id", "action", "reason", "encoder", "crf", "size_before", after.alias("size_after"), saved_percent(F.col("size_before"), after).alias("saved"), (skipped | F.coalesce("ok", F.lit(False))).alias("ok"))
+
+
 def batch_totals(results: DataFrame) -> DataFrame:
     """Counts and bytes over all videos; a skipped video counts with the size it keeps."""
     after = F.when(F.col("skipped"), F.col("size_before")).otherwise(F.col("size_after"))

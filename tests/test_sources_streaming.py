@@ -87,3 +87,26 @@ def test_windowed_counts(spark, tmp_path):
     q = arrivals.windowed_counts(stream, "1 day").writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
+def test_reports_are_written_and_read_again(spark, tmp_path):
+    from builders import box
+
+    rows = spark.createDataFrame([("a", "/in/a.mp4", bytearray(box("ftyp", bytes(8)) + box("free", b"\x07" * 90)))], "video_id string, path string, content binary")
+    found = scan(rows.withColumn("length", F.octet_length("content").cast("long")))
+    files.write_report(found, str(tmp_path / "report"), "json")
+    again = files.prior_findings(spark, str(tmp_path / "report"))
+    key = ["video_id", "rule_id", "severity", "title", "detail"]
+    assert sorted(map(str, again.select(*key).collect())) == sorted(map(str, found.select(*key).collect())) != []
+    assert files.prior_findings(spark, str(tmp_path / "nothing")).count() == 0
+
+
+def test_tree_text_is_indented(spark):
+    from builders import box
+
+    from quarry.functions import boxes
+
+    rows = spark.createDataFrame([("a", bytearray(box("moov", box("udta", box("free", b"")))))], "video_id string, content binary")
+    lines = [r.line for r in boxes.tree_text(boxes.boxes(rows)).orderBy("start").collect()]
+    assert lines == ["moov @0 24", "  udta @8 16", "    free @16 8"]
+    assert boxes.tree_text(boxes.boxes(rows), 2).count() == 2
