@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -166,8 +167,8 @@ def components(masks: DataFrame, size: int = SIZE, diagonal: bool = True) -> Dat
     return box.select("video_id", "idx", "x", "y", (F.col("_x") - F.col("x")).alias("w"), (F.col("_y") - F.col("y")).alias("h"), "n")
 
 
-#: Frames whose values a task counts together, and partial counts that one group adds up.
-TOGETHER, PARTS = 64, 256
+#: Frames of a tile that a task counts together, bytes of frames that it holds, and tasks whose partial counts one group adds up.
+TOGETHER, HELD, PARTS = 64, 1 << 27, 64
 STATS = f"{_HEAD}, median binary, mad binary"
 
 
@@ -176,7 +177,7 @@ def pixel_stats(tiles: DataFrame) -> DataFrame:
 
     A histogram of 256 counts a pixel holds all that any number of frames can say, and
     histograms add up: frames are counted where they are read, up to ``TOGETHER`` at a time,
-    partial counts are added ``PARTS`` at a time, and then once more.  A repeated frame
+    partial counts of ``PARTS`` tasks are added, and then once more.  A repeated frame
     number counts as often as it occurs.  ``idx`` of the result is 0.
     """
     sent = f"{_HEAD}, part int, counts binary"
@@ -185,30 +186,26 @@ def pixel_stats(tiles: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list[np.ndarray]] = {}
+        part, size = TaskContext.get().partitionId() // PARTS, 0
 
-        def packed(key: tuple) -> tuple:
+        def packed(key: tuple) -> pa.RecordBatch:
             stack = np.stack(held.pop(key)).reshape(-1, key[6] * key[7])
             codes = (np.arange(stack.shape[1], dtype=np.int64) * 256 + stack).ravel()
-            return *key, _part(key), _sealed(np.bincount(codes, minlength=stack.shape[1] * 256))
+            return _batch([(*key, part, _sealed(np.bincount(codes, minlength=stack.shape[1] * 256)))], made)
 
-        def _part(key: tuple) -> int:
-            nonlocal parts
-            parts += 1
-            return (parts // PARTS) * 131 % 4093
-
-        parts = 0
         for batch in batches:
             for k in range(batch.num_rows):
                 video, _, *rest, pix = (c[k].as_py() for c in batch.columns)
                 key = (video, 0, *rest)
                 held.setdefault(key, []).append(np.frombuffer(pix, np.uint8))
+                size += len(pix)
                 if len(held[key]) == TOGETHER:
-                    yield _batch([packed(key)], made)
-                elif sum(len(v) * v[0].size for v in held.values()) > 1 << 27 if len(held) % 512 == 0 else False:
-                    for key in list(held):
-                        yield _batch([packed(key)], made)
-        for key in list(held):
-            yield _batch([packed(key)], made)
+                    size -= len(held[key]) * len(pix)
+                    yield packed(key)
+                if size > HELD:  # many videos side by side
+                    yield from map(packed, list(held))
+                    size = 0
+        yield from map(packed, list(held))
 
     def added(batches: Iterator[pa.RecordBatch]) -> tuple[dict, np.ndarray]:
         head, total = None, None

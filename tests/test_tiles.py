@@ -89,9 +89,11 @@ def test_overlay_without_a_stack(spark, size, together, monkeypatch):
     assert graded == {("marked", "HIGH"), ("noise", "INFO"), ("flat", "INFO"), ("few", "INFO")}
 
 
-def test_pixel_stats_are_exact(spark, monkeypatch):
+@pytest.mark.parametrize("held", [500, 1 << 27])
+def test_pixel_stats_are_exact(spark, monkeypatch, held):
     monkeypatch.setattr(tiles, "PARTS", 2)
     monkeypatch.setattr(tiles, "TOGETHER", 3)
+    monkeypatch.setattr(tiles, "HELD", held)
     rng = np.random.default_rng(3)
     made = {"odd": rng.integers(0, 256, (25, 20, 30)).astype(np.uint8), "even": rng.integers(0, 4, (40, 20, 30)).astype(np.uint8), "one": rng.integers(0, 256, (1, 5, 5)).astype(np.uint8)}
     for r in tiles.pixel_stats(tiles.cut(frames(spark, **made), 16)).collect():
