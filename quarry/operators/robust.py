@@ -67,8 +67,10 @@ def percentiles(df: DataFrame, keys: list[str], y: str, shares: tuple[float, ...
 
 
 def harmonic_mean(y: str) -> Column:
-    """n / sum(1/y); null if a value is zero or less."""
-    return F.when(F.min(y) > 0, F.count(y) / F.sum(F.lit(1.0) / F.col(y)))
+    """n / sum(1/y) over doubles; the reciprocal of zero is infinite, so a zero makes the mean zero."""
+    value = F.col(y).cast("double")
+    total = F.sum(F.when(value == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.lit(1.0), value)))
+    return F.when(total == 0, F.lit(float("inf"))).otherwise(F.try_divide(F.count(y), total))
 
 
 def low_pick(df: DataFrame, keys: list[str], y: str, share: float = 0.01) -> DataFrame:

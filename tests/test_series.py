@@ -64,3 +64,9 @@ def test_asof_does_not_depend_on_buckets(spark):
     right = spark.createDataFrame([(k, s, n if n % 7 else None) for k in ("hot", "b", None) for n, s in enumerate(rng.sample(range(50, 1000), 12))], "k string, start long, seg int")
     rows = lambda w: sorted(map(str, joins.asof(left, right, ["k"], "at", "start", ["seg"], width=w).collect()))
     assert len(rows(None)) == 200 and rows(None) == rows(7) == rows(300)
+
+
+def test_harmonic_mean_of_values_with_a_zero_is_zero(spark):
+    rows = spark.createDataFrame([("a", 0.0), ("a", 4.0), ("b", 2.0), ("b", 6.0), ("c", None)], "k string, y double")
+    got = {r.k: r.m for r in rows.groupBy("k").agg(robust.harmonic_mean("y").alias("m")).collect()}
+    assert got == {"a": 0.0, "b": 3.0, "c": None}
