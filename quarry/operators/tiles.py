@@ -8,6 +8,8 @@ Pictures may be cut from frames or arrive as tiles; no operator here puts one to
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +35,44 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values, field.type) for values, field in zip(columns, schema)], schema=schema)
 
 
+#: Rows of a batch that goes on, and bytes of the values in it.
+_ROWS, _BYTES = 1024, 1 << 22
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows put together to batches that are bounded in rows and bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(held) >= _ROWS or size >= _BYTES:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
 def each_row(df: DataFrame, f: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
     """Rows that ``f`` yields for the values of each row; narrow."""
     made = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                if rows := list(f(*(c[k].as_py() for c in batch.columns))):
-                    yield _batch(rows, made)
+        return _batches((row for batch in batches for k in range(batch.num_rows) for row in f(*(c[k].as_py() for c in batch.columns))), made)
 
     return df.mapInArrow(run, schema)
 
 
+def each_group(df: DataFrame, keys: list[str], f: Callable[[Iterator[dict]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that ``f`` yields for the rows of each group; a task walks through its sorted groups and holds what ``f`` holds of one."""
+    made, key = to_arrow_schema(StructType.fromDDL(schema)), itemgetter(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ({n: c[k].as_py() for n, c in zip(batch.schema.names, batch.columns)} for batch in batches for k in range(batch.num_rows))
+        return _batches((row for _, some in groupby(rows, key) for row in f(some)), made)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def cut(frames: DataFrame, size: int = SIZE, stride: int = 1) -> DataFrame:
     """Tiles of grey frames (video_id, idx, w, h, pix); ``stride`` keeps every so-manieth line and column."""
 
@@ -72,7 +99,6 @@ def with_halo(tiles: DataFrame, reach: int, f: Callable[[dict, np.ndarray], Iter
     kept = f"{_HEAD}, {more}" if more else _HEAD
     names = StructType.fromDDL(kept).names
     sent = f"{kept}, dy int, dx int, part binary, ph int, pw int"
-    out = to_arrow_schema(StructType.fromDDL(schema))
     strip = lambda d: {1: slice(-reach, None), -1: slice(0, reach), 0: slice(None)}[d] if reach else slice(None)
 
     def send(*values):
@@ -87,11 +113,11 @@ def with_halo(tiles: DataFrame, reach: int, f: Callable[[dict, np.ndarray], Iter
                     to = row | {"ty": ty, "tx": tx, "th": min(size, row["h"] - ty * size), "tw": min(size, row["w"] - tx * size)}
                     yield *(to[n] if (dy, dx) == (0, 0) or n in _NAMES else None for n in names), -dy, -dx, piece.tobytes(), *piece.shape
 
-    def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.to_pylist()
+    def meet(rows: Iterator[dict]) -> Iterator[tuple]:
+        rows = list(rows)
         centre = next((r for r in rows if (r["dy"], r["dx"]) == (0, 0)), None)
         if centre is None:  # no tile stands there
-            return out.empty_table()
+            return
         parts = {(r["dy"], r["dx"]): np.frombuffer(r["part"], dtype).reshape(r["ph"], r["pw"]) for r in rows}
         line = lambda dy: np.concatenate([parts[dy, dx] for dx in (-1, 0, 1) if (dy, dx) in parts], axis=1)
         wide = np.concatenate([line(dy) for dy in (-1, 0, 1) if (dy, 0) in parts], axis=0)
@@ -99,10 +125,9 @@ def with_halo(tiles: DataFrame, reach: int, f: Callable[[dict, np.ndarray], Iter
             have = lambda d, axis: parts[d].shape[axis] if d in parts else 0
             lacks = [(reach - have((-1, 0), 0), reach - have((1, 0), 0)), (reach - have((0, -1), 1), reach - have((0, 1), 1))]
             wide = np.pad(wide, lacks, mode=mode if min(centre["h"], centre["w"]) > reach else "edge")
-        head = {n: centre[n] for n in names}
-        return pa.Table.from_batches([_batch(list(f(head, wide)), out)], schema=out)
+        yield from f({n: centre[n] for n in names}, wide)
 
-    return each_row(tiles.select(*names, value), send, sent).groupBy(*KEY).applyInArrow(meet, schema)
+    return each_group(each_row(tiles.select(*names, value), send, sent), KEY, meet, schema)
 
 
 def dark(tiles: DataFrame, window: int = 25, k: float = 0.10, size: int = SIZE) -> DataFrame:
@@ -207,29 +232,25 @@ def pixel_stats(tiles: DataFrame) -> DataFrame:
                     size = 0
         yield from map(packed, list(held))
 
-    def added(batches: Iterator[pa.RecordBatch]) -> tuple[dict, np.ndarray]:
+    def added(rows: Iterator[dict]) -> tuple[dict, np.ndarray]:
         head, total = None, None
-        for batch in batches:
-            for k in range(batch.num_rows):
-                head = head or {n: batch.column(n)[k].as_py() for n in names}
-                counts = _opened(batch.column("counts")[k].as_py(), head["th"] * head["tw"])
-                total = counts if total is None else total + counts
+        for row in rows:
+            head = head or {n: row[n] for n in names}
+            counts = _opened(row["counts"], row["th"] * row["tw"])
+            total = counts if total is None else total + counts
         return head, total
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, total = added(batches)
-        yield _batch([(*head.values(), 0, _sealed(total))], made)
-
-    out = to_arrow_schema(StructType.fromDDL(STATS))
+    def add(rows: Iterator[dict]) -> Iterator[tuple]:
+        head, total = added(rows)
+        yield *head.values(), 0, _sealed(total)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, total = added(batches)
+    def finish(rows: Iterator[dict]) -> Iterator[tuple]:
+        head, total = added(rows)
         median, mad = kernels.histogram_stats(total.reshape(-1, 256))
-        yield _batch([(*head.values(), median.astype(np.float32).tobytes(), mad.astype(np.float32).tobytes())], out)
+        yield *head.values(), median.astype(np.float32).tobytes(), mad.astype(np.float32).tobytes()
 
-    add.__annotations__ = finish.__annotations__ = {"batches": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
     counted = tiles.select(*_NAMES, "pix").mapInArrow(count, sent)
-    return counted.groupBy(*KEY, "part").applyInArrow(add, sent).groupBy(*KEY).applyInArrow(finish, STATS)
+    return each_group(each_group(counted, [*KEY, "part"], add, sent), KEY, finish, STATS)
 
 
 def _sealed(counts: np.ndarray) -> bytes:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.functions import kernels
@@ -101,3 +102,21 @@ def test_pixel_stats_are_exact(spark, monkeypatch, held):
         median = np.median(part, axis=0)
         assert (np.frombuffer(r.median, np.float32).reshape(r.th, r.tw) == median).all()
         assert (np.frombuffer(r.mad, np.float32).reshape(r.th, r.tw) == np.median(np.abs(part - median), axis=0)).all()
+
+
+def test_noise_has_no_region_by_chance(spark, tmp_path):
+    from quarry import queries
+
+    spark.createDataFrame([(3984,), (3985,), (10955,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {(r.video_id, r.severity, r.detail) for r in queries.queries()["overlay_findings"](spark, str(tmp_path)).collect()}
+    assert got == {("3984", "HIGH", "1"), ("3985", "INFO", "0"), ("10955", "INFO", "0")}
+
+
+def test_groups_come_whole_and_in_few_batches(spark):
+    rows = ((k, bytes(1 << 20)) for k in range(9))
+    schema = pa.schema([("k", pa.int64()), ("b", pa.binary())])
+    made = [b.num_rows for b in tiles._batches(rows, schema)]
+    assert made == [4, 4, 1]
+    some = spark.range(5000).selectExpr("id % 7 AS k", "id")
+    counts = tiles.each_group(some, ["k"], lambda rows: ((r["k"], 1 + sum(1 for _ in rows)) for r in rows), "k long, n long")
+    assert {(r.k, r.n) for r in counts.collect()} == {(k, len(range(k, 5000, 7))) for k in range(7)}
