@@ -773,15 +773,14 @@ def _movie(text: bytes, mark: bytes, source: bytes) -> tuple[bytes, int]:
 
 def _movies(t: Tables) -> DataFrame:
     """``video_id, length, content, base``: a movie a document, made where the document is read."""
-    import pandas as pd
+    from quarry.operators import tiles
 
-    def rows(batches):
-        for b in batches:
-            made = [_movie(x.encode(), m.encode(), s.encode()) for x, m, s in zip(b["text"], b["mark"], b["source"])]
-            yield pd.DataFrame({"video_id": b["video_id"], "length": [len(c) for c, _ in made], "content": [c for c, _ in made], "base": [k for _, k in made]})
+    def movie(video, text, mark, source):
+        content, base = _movie(text.encode(), mark.encode(), source.encode())
+        yield video, len(content), content, base
 
     docs = t.documents.select(F.col("doc_id").cast("string").alias("video_id"), F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit(""))).alias("mark"), F.coalesce("source", F.lit("")).alias("source"))
-    return docs.mapInPandas(rows, "video_id string, length long, content binary, base long")
+    return tiles.each_row(docs, movie, "video_id string, length long, content binary, base long")
 
 
 _MOVIE = """
@@ -795,8 +794,7 @@ SELECT video_id, 1 AS track_no, 'vide' AS handler, sample_no, CASE WHEN sample_n
 def sample_table(t: Tables) -> DataFrame:
     from quarry.functions import boxes
 
-    movies = _movies(t)
-    rows = boxes.samples(movies.select("video_id", "content")).join(movies.select("video_id", "base"), "video_id")
+    rows = boxes.samples(_movies(t), kept=("base",))
     return rows.select("video_id", "track_no", "handler", "sample_no", (F.col("offset") - F.col("base")).alias("place"), "size")
 
 

@@ -186,3 +186,21 @@ def test_scan_with_a_probe_flashes_and_media_bytes(spark):
     assert held and all(t.is_cached for t in held)
     for t in held:
         t.unpersist()
+
+
+def test_what_a_file_keeps_goes_with_its_rows(spark):
+    from builders import movie, stbl
+
+    rows = files(spark, a=movie(stbl([10, 20], [60], [(1, 2)]), bytes(40))).withColumn("base", F.lit(60).cast("long"))
+    found = boxes.samples(rows, kept=("base",))
+    assert [(r.sample_no, r.size, r.base) for r in found.orderBy("sample_no").collect()] == [(0, 10, 60), (1, 20, 60)]
+    assert found._jdf.queryExecution().analyzed().toString().count("Join") == 0
+
+
+def test_movies_are_made_without_pandas(spark):
+    from quarry import queries
+
+    plan = queries.QUERIES["sei_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "MapInPandas" not in plan and "MapInArrow" in plan
+    plan = queries.QUERIES["sample_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "Join" not in plan
