@@ -79,25 +79,45 @@ def padding(facts: DataFrame) -> DataFrame:
     return finding(bad, "R8", "HIGH", "hidden", F.concat(F.lit("data in padding "), "type"), F.concat_ws(" ", F.round("nonzero", 4), F.round("entropy", 3)), F.col("start")).unionByName(finding(clean, "R8", "INFO", "hidden", "padding is clean"))
 
 
-def _holes(top: DataFrame, samples: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(stretches of media boxes that no sample reaches; media boxes; the samples' stretches)."""
-    media_ = top.filter("type = 'mdat'").select("video_id", F.col("start").alias("box_id"), (F.col("start") + F.col("header")).alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    used = samples.select("video_id", F.col("offset").alias("a"), (F.col("offset") + F.col("size")).alias("b"))
+def _media(top: DataFrame) -> DataFrame:
+    return top.filter("type = 'mdat'").select("video_id", F.col("start").alias("box_id"), (F.col("start") + F.col("header")).alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
+
+
+def _holes(media_: DataFrame, used: DataFrame) -> DataFrame:
+    """Stretches of media boxes that none of ``used`` (video_id, a, b) reaches."""
     inside = used.join(media_, "video_id").filter("b > lo AND a < hi").select("video_id", "box_id", F.greatest("a", "lo").alias("a"), F.least("b", "hi").alias("b"))
-    return intervals.complement(inside, media_, ["video_id", "box_id"]), media_, used
+    return intervals.complement(inside, media_, ["video_id", "box_id"])
+
+
+def _as_runs(samples: DataFrame) -> DataFrame:
+    """Samples in the form of ``boxes.sample_runs``, each by itself if they are single rows."""
+    if "parts" in samples.columns:
+        return samples
+    end = F.col("offset") + F.col("size")
+    return samples.select("video_id", "track_no", "sample_no", F.col("offset").alias("a"), end.alias("b"), F.array(F.struct("offset", "size")).alias("parts"))
 
 
 def coverage(files: DataFrame, facts: DataFrame, samples: DataFrame) -> DataFrame:
-    """Bytes after the last box, media bytes that no sample reaches, samples outside media or out of range."""
+    """Bytes after the last box, media bytes that no sample reaches, samples outside media or out of range.
+
+    ``samples`` are single rows or ``boxes.sample_runs``: a run counts as one stretch, and
+    only runs that lie badly are taken apart into their samples.
+    """
     top = facts.filter("depth = 0")
     ends = files.select("video_id", "length").join(top.groupBy("video_id").agg(F.max(F.col("start") + F.col("size")).alias("end")), "video_id", "left")
     trailing = ends.withColumn("end", F.coalesce("end", F.lit(0))).filter("end < length")
-    holes, media, used = _holes(top, samples)
-    holes = holes.withColumn("gap", F.col("b") - F.col("a"))
-    total = media.select("video_id").distinct().join(holes.groupBy("video_id").agg(F.sum(F.when(F.col("gap") >= GAP, F.col("gap"))).alias("counted"), F.sum("gap").alias("raw")), "video_id", "left")
+    runs, media_ = _as_runs(samples), _media(top)
+    used = runs.select("video_id", "track_no", "sample_no", "a", "b")
+    holes = _holes(media_, used).withColumn("gap", F.col("b") - F.col("a"))
+    total = media_.select("video_id").distinct().join(holes.groupBy("video_id").agg(F.sum(F.when(F.col("gap") >= GAP, F.col("gap"))).alias("counted"), F.sum("gap").alias("raw")), "video_id", "left")
     total = total.withColumns({"counted": F.coalesce("counted", F.lit(0)), "raw": F.coalesce("raw", F.lit(0))})
-    bad = samples.join(files.select("video_id", "length"), "video_id").filter("size < 0 OR offset < 0 OR offset + size > length").groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
-    outside = intervals.not_contained(used, media.select("video_id", F.col("lo").alias("a"), F.col("hi").alias("b")), ["video_id"]).groupBy("video_id").agg(F.count(F.lit(1)).alias("n"))
+    outer = media_.select("video_id", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    wrong = "b < a OR a < 0 OR b > length"
+    loose, beyond = intervals.not_contained(used, outer, ["video_id"]), used.join(files.select("video_id", "length"), "video_id").filter(wrong)
+    parts = lambda odd: runs.join(odd.select("video_id", "track_no", "sample_no"), ["video_id", "track_no", "sample_no"], "left_semi").select("video_id", F.explode("parts").alias("p")).select("video_id", F.col("p.offset").alias("a"), (F.col("p.offset") + F.col("p.size")).alias("b"))
+    if runs is samples:  # few runs, so what they are made of is met by their keys
+        loose, beyond = intervals.not_contained(parts(stored(loose)), outer, ["video_id"]), parts(stored(beyond)).join(files.select("video_id", "length"), "video_id").filter(wrong)
+    bad, outside = (rows.groupBy("video_id").agg(F.count(F.lit(1)).alias("n")) for rows in (beyond, loose))
     return all_parts(
         finding(trailing, "R9", "HIGH", "hidden", "bytes after the last box", F.col("length") - F.col("end"), F.col("end")),
         finding(total, "R10", intervals.gap_severity(F.col("counted")), "hidden", "media bytes without samples", F.concat_ws(" ", "counted", "raw")),
@@ -221,7 +241,8 @@ def unreferenced_bytes(lengths: DataFrame, facts: DataFrame, samples: DataFrame)
     ends = lengths.select("video_id", "length").join(top.groupBy("video_id").agg(F.max(F.col("start") + F.col("size")).alias("a")), "video_id", "left")
     stretch = lambda rows, a, b, kind: rows.select("video_id", a.cast("long").alias("a"), b.cast("long").alias("b"), F.lit(kind).alias("kind")).filter("b > a")
     trailing = stretch(ends, F.coalesce("a", F.lit(0)), F.col("length"), "trailing")
-    gaps = stretch(_holes(top, samples)[0].filter(F.col("b") - F.col("a") >= GAP), F.col("a"), F.col("b"), "gap")
+    used = samples.select("video_id", F.col("offset").alias("a"), (F.col("offset") + F.col("size")).alias("b"))
+    gaps = stretch(_holes(_media(top), used).filter(F.col("b") - F.col("a") >= GAP), F.col("a"), F.col("b"), "gap")
     padding_ = stretch(facts.filter(F.col("type").isin(*PADDING)), F.col("start") + F.col("header"), F.col("start") + F.col("size"), "padding")
     return all_parts(trailing, gaps, padding_)
 

@@ -16,6 +16,7 @@ from quarry.functions import rules, scalar
 from quarry.operators import findings, intervals, joins, robust, series, spectrum, text_rules
 from quarry.plans import patches, selection
 from quarry.session import ship
+from quarry.storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -839,7 +840,8 @@ def media_coverage(t: Tables) -> DataFrame:
     from quarry.operators import container_rules
 
     movies = _movies(t)
-    found = container_rules.coverage(movies, container_rules.box_facts(movies), boxes.samples(movies))
+    facts, runs, lengths = (stored(rows) for rows in (container_rules.box_facts(movies), boxes.sample_runs(movies), movies.select("video_id", "length")))
+    found = container_rules.coverage(lengths, facts, runs)
     return found.filter("rule_id = 'R10'").select("video_id", "severity", "detail")
 
 

@@ -2,6 +2,8 @@ import struct
 
 from builders import box, full, movie, sei_unit, sps_1080, stbl, trak, u32
 
+from pyspark.sql import functions as F
+
 from quarry.functions import bitstream, boxes
 from quarry.operators import container_rules
 
@@ -204,3 +206,21 @@ def test_movies_are_made_without_pandas(spark):
     assert "MapInPandas" not in plan and "MapInArrow" in plan
     plan = queries.QUERIES["sample_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
     assert "Join" not in plan
+
+
+def test_runs_of_samples_cover_as_their_samples(spark):
+    from quarry.operators import container_rules
+
+    table = [stbl([10, 20, 0, 7], [60], [(1, 4)]), stbl([10, 500], [60, 70], [(1, 1)]), stbl([5, 5, 5], [10, 63, 68], [(1, 1)]), stbl([8] * 40, [56], [(1, 40)])]
+    rows = files(spark, **{f"v{k}": movie(t, bytes(90)) for k, t in enumerate(table)})
+    rows = rows.withColumn("length", F.octet_length("content").cast("long"))
+    facts, runs = container_rules.box_facts(rows), boxes.sample_runs(rows)
+    assert runs.count() < boxes.samples(rows).count()
+    shown = lambda samples: sorted(map(str, container_rules.coverage(rows, facts, samples).collect()))
+    got = shown(runs)
+    assert got == shown(boxes.samples(rows)) and {"R11", "R12"} <= {r for r in ("R10", "R11", "R12") if any(f"'{r}'" in x for x in got)}
+
+
+def test_rows_with_long_lists_go_on_early():
+    rows = iter([("a", [0] * 3000)] * 5)
+    assert [len(list(boxes._some(rows, [1]))) for _ in range(3)] == [2, 2, 1]
