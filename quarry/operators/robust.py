@@ -9,15 +9,20 @@ from quarry.storage import checkpointed, stored
 
 
 def median_mad(df: DataFrame, keys: list[str], y: str) -> DataFrame:
-    """``keys, median, mad``: the exact median and the median distance from it."""
-    middle = df.groupBy(*keys).agg(F.percentile(y, 0.5).alias("median"))
-    away = df.join(middle, keys).withColumn("_d", F.abs(F.col(y) - F.col("median")))
-    return away.groupBy(*keys).agg(F.first("median").alias("median"), F.percentile("_d", 0.5).alias("mad"))
+    """``keys, median, mad``: the exact median and the median distance from it, of keys of any size.
+
+    Null keys, and values that are null or NaN, take no part; a key without values has null statistics.
+    """
+    rows = df.dropna(subset=keys)
+    middle = stored(percentiles(rows, keys, y, (0.5,)).select(*keys, F.col("p50").alias("median")))
+    away = rows.join(middle, keys).withColumn("_d", F.abs(F.col(y) - F.col("median")))
+    mad = percentiles(away, keys, "_d", (0.5,)).select(*keys, F.col("p50").alias("mad"))
+    return rows.select(*keys).distinct().join(middle, keys, "left").join(mad, keys, "left")
 
 
 def mad_outliers(df: DataFrame, keys: list[str], y: str, k: float = 3.0) -> DataFrame:
     """Rows further from their key's median than ``k`` scaled deviations (1.4826 MAD)."""
-    stats = median_mad(df, keys, y)
+    stats = stored(median_mad(df, keys, y))
     return df.join(stats, keys).filter(F.abs(F.col(y) - F.col("median")) > F.lit(k * 1.4826) * F.col("mad"))
 
 

@@ -104,3 +104,11 @@ def test_powers_of_vectors_of_any_length(spark):
         else:
             at = np.arange(len(v))
             assert np.allclose(got[k], [abs(sum(np.array(v) * np.exp(-2j * np.pi * b * at / 8))) ** 2 for b in range(5)])
+
+
+def test_medians_hold_no_key_in_one_buffer(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", 90.0), ("b", 5.0), ("c", None)], "k string, y double")
+    found = robust.median_mad(rows, ["k"], "y")
+    assert {(r.k, r.median, r.mad) for r in found.collect()} == {("a", 3.0, 1.5), ("b", 5.0, 0.0), ("c", None, None)}
+    assert "percentile(" not in found._jdf.queryExecution().analyzed().toString()
+    assert [r.y for r in robust.mad_outliers(rows, ["k"], "y").collect()] == [90.0]
