@@ -118,6 +118,10 @@ def overlaid(content: Column, patch: Column, offset: Column) -> Column:
 BLOCK, WHOLE = 4096, 1 << 20
 
 
+#: Pairs of values that are compared, and whose runs go on, together.
+_TOGETHER = 64
+
+
 def diff_runs(old: DataFrame, new: DataFrame, keys: list[str], value: str, block: int = BLOCK, whole: int = WHOLE) -> DataFrame:
     """``keys, a, b, n``: inclusive runs of positions at which two texts or binary values differ.
 
@@ -136,7 +140,7 @@ def diff_runs(old: DataFrame, new: DataFrame, keys: list[str], value: str, block
     made = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, _TOGETHER) for b in batches for k in range(0, b.num_rows, _TOGETHER)):
             at, starts, ends = [], [], []
             for k, (b, o, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_b", "_o", "_n")))):
                 o, n = (np.frombuffer(v.encode("utf-32-le") if isinstance(v, str) else v, f"u{unit}") for v in (o, n))

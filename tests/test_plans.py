@@ -58,3 +58,10 @@ def test_comparison_states(spark):
     new = spark.createDataFrame([("HIGH", "t"), ("MED", "w")], "severity string, title string")
     got = {(r.severity, r.title): (r.n_old, r.n_new, r.state) for r in findings.compare(old, new, ["severity", "title"]).collect()}
     assert got == {("HIGH", "t"): (2, 1, "still"), ("LOW", "u"): (1, 0, "gone"), ("MED", "w"): (0, 1, "added")}
+
+
+def test_differences_go_on_some_values_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(patches, "_TOGETHER", 2)
+    old = spark.createDataFrame([(k, "a" * (k + 1)) for k in range(7)], "k long, v string")
+    new = spark.createDataFrame([(k, "a" * k + "b") for k in range(7)], "k long, v string")
+    assert sorted((r.k, r.a, r.b, r.n) for r in patches.diff_runs(old, new, ["k"], "v").collect()) == [(k, k, k, 1) for k in range(7)]
