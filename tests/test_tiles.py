@@ -120,3 +120,12 @@ def test_groups_come_whole_and_in_few_batches(spark):
     some = spark.range(5000).selectExpr("id % 7 AS k", "id")
     counts = tiles.each_group(some, ["k"], lambda rows: ((r["k"], 1 + sum(1 for _ in rows)) for r in rows), "k long, n long")
     assert {(r.k, r.n) for r in counts.collect()} == {(k, len(range(k, 5000, 7))) for k in range(7)}
+
+
+def test_only_asked_columns_are_cut_into_runs(spark):
+    from quarry.operators import finders
+
+    masks = tiles.cut(frames(spark, v=[np.eye(20, dtype=np.uint8)]), 8)
+    asked = spark.createDataFrame([("v", 0, 3)], "video_id string, idx long, line int")
+    found = finders.runs(masks, down=True, size=8, asked=asked).collect()
+    assert sorted((r.line, r.start, r.n, r.dark) for r in found) == [(3, 0, 3, False), (3, 3, 1, True), (3, 4, 16, False)]
