@@ -20,7 +20,9 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +39,21 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity: int = CA
     """``doc_id, piece, start, length, ids_crc32``: a text's ids by the vocabulary file, then ``end_id``, cut at ``capacity``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, end = WordIds.of(vocabulary), end_id.to_bytes(4, "little")
         for batch in batches:
             rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"]):
-                raw = ids.encode(text or "") + end
+            for doc, raw in enumerate(ids.encode_all(batch.column(1))):
+                raw += end
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": batch["doc_id"].dtype})
+            doc, piece, *rest = np.array(rows, np.int64).reshape(-1, 5).T
+            columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), *map(pa.array, rest)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return plain.mapInPandas(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return plain.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 class OpenBins:

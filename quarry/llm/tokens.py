@@ -7,8 +7,9 @@ and encodes each alone, so what a pre-token gives can be kept and used again.
   text is read, which vocabulary strings are a single pre-token that encodes alone as
   one token.  Pre-tokens of a text found in that set count 1; only the rest is merged,
   by the library's own model, and kept in a bounded memory.
-* ``WordIds`` (BPE with word ends): ids of the pieces between plain spaces and line
-  feeds, which no pre-token crosses, kept as bytes in bounded memories.
+* ``WordIds`` (BPE with word ends): ids of the distinct pieces between plain spaces and
+  line feeds, which no pre-token crosses, for some megabytes of text at a time; nothing
+  is kept from one to the next.
 
 Vocabulary files are read on the executors from a path parameter, once a process.
 """
@@ -21,16 +22,24 @@ import struct
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries kept in a memory before it is emptied, and characters of an entry that is kept: together they bound its bytes.
 MEMORY, LONGEST = 100_000, 64
-#: Characters whose letter, number and space classes every Unicode version of the libraries shares.
-_SETTLED = re.compile("[^\x00-ɏ‐-‧‰-⁞₠-€]")
-#: More of them, where only the classes matter: Greek, Cyrillic, Hebrew and Arabic letters, Devanagari, Thai, signs, kana, Han, Hangul, full-width forms, pictographs.
+#: Bytes of the texts whose distinct words are encoded together, and how many of those in one call.
+TOGETHER, WORDS = 1 << 23, 20_000
+#: Marks that, at a word's end, are one pre-token: all of ASCII but the apostrophe, which may begin one with letters.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS = "(?P<marks>[" + re.escape(MARKS) + "]+)$"
+#: Characters whose classes and lower-case letters every Unicode version of the libraries shares.
+_LOWERED = r"^[\x{00}-\x{12F}\x{131}-\x{24F}]*$"
+#: Characters whose letter, number and space classes they share: Latin, Greek, Cyrillic, Hebrew and Arabic letters, Devanagari, Thai, signs, kana, Han, Hangul, full-width forms, pictographs.
 CLASSED = (
     (0x0000, 0x024F), (0x0370, 0x03FF), (0x0400, 0x052F), (0x05D0, 0x05EA), (0x0600, 0x06FF), (0x0900, 0x097F), (0x0E01, 0x0E5B), (0x1E00, 0x1FFF), (0x2010, 0x2027), (0x2030, 0x205E), (0x20A0, 0x20AC),
     (0x2190, 0x23FF), (0x2500, 0x27BF), (0x3000, 0x303F), (0x3041, 0x30FF), (0x3400, 0x4DB5), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3), (0xFF01, 0xFFEE), (0x1F300, 0x1F64F), (0x1F680, 0x1F6FF), (0x1F900, 0x1F9FF),
@@ -124,26 +133,6 @@ class WholeTokenCounts:
         return sum([whole.get(p) or merge(p) for p in self.split(text)])
 
 
-class Memory(dict):
-    """A dictionary of at most about twice ``most`` entries: when it is full, only those used since the last time stay."""
-
-    def __init__(self, most: int, make):
-        super().__init__()
-        self.most, self.make, self.before = most, make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.before.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(key) > LONGEST:
-            return value
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class WordIds:
     """Ids of a BPE vocabulary with word ends, as little-endian 32-bit bytes."""
 
@@ -156,30 +145,63 @@ class WordIds:
         return cls._made[vocabulary]
 
     def __init__(self, vocabulary: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
         self.library = _library(vocabulary)
-        self.model = self.library.model
-        self.chunks, self.words, self.marks = Memory(MEMORY, self._chunk), Memory(MEMORY, self._word), Memory(10_000, self._whole)
-        self.chunks[""] = b""
-
-    def _whole(self, chunk: str) -> bytes:
-        ids = self.library.encode(chunk, add_special_tokens=False).ids if chunk else []
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a run of settled lower-case letters, which is a pre-token of its own."""
-        ids = [t.id for t in self.model.tokenize(lettered(word))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _chunk(self, chunk: str) -> bytes:
-        word = chunk.rstrip(".,;:!?")
-        if not word.isalpha() or (not word.isascii() and (_SETTLED.search(word) or "İ" in word)):
-            return self._whole(chunk)
-        # the vocabulary lower-cases; closing marks are one further pre-token
-        raw = self.words[word.lower()]
-        return raw + self.marks[chunk[len(word) :]] if len(word) < len(chunk) else raw
+        # the same model over words that are pre-tokens already: no normaliser, no pattern
+        self.plain = Tokenizer(self.library.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[ident for entry, ident in vocab.items() if entry.endswith("</w>")]] = True
+
+    def _wholes(self, chunks: pa.Array) -> pa.Array:
+        ids = (self.library.encode(chunk, add_special_tokens=False).ids if chunk else [] for chunk in chunks.to_pylist())
+        return pa.array([struct.pack(f"<{len(i)}I", *i) for i in ids], pa.large_binary())
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of runs of settled lower-case letters, each a pre-token of its own whose last id is a word end."""
+        parts = []
+        for at in range(0, len(words), WORDS):
+            now = words.slice(at, WORDS)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(now.to_pylist())], add_special_tokens=False)[0].ids, "<u4")
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) != len(now) or ends[-1] != 4 * len(ids):  # a vocabulary without some letter
+                parts.append(self._wholes(now))
+            else:
+                parts.append(pa.Array.from_buffers(pa.large_binary(), len(now), [None, pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(ids)]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.large_binary())
+
+    def _chunks(self, chunks: pa.Array) -> pa.Array:
+        word = pc.utf8_rtrim(chunks, MARKS)
+        settled = pc.and_(pc.utf8_is_alpha(word), pc.match_substring_regex(word, _LOWERED))
+        marked = pc.and_(settled, pc.greater(pc.binary_length(chunks), pc.binary_length(word)))
+        # the vocabulary lower-cases; marks at the end are one further pre-token
+        words = pc.if_else(settled, pc.utf8_lower(word), None).dictionary_encode()
+        marks = pc.struct_field(pc.extract_regex(pc.if_else(marked, chunks, None), _MARKS), 0).dictionary_encode()
+        tail = pc.coalesce(self._wholes(marks.dictionary).take(marks.indices), pa.scalar(b"", pa.large_binary()))
+        met = pc.binary_join_element_wise(self._words(words.dictionary).take(words.indices), tail, pa.scalar(b"", pa.large_binary()))
+        odd = pc.if_else(settled, None, chunks).dictionary_encode()
+        return pc.coalesce(met, self._wholes(odd.dictionary).take(odd.indices))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text; texts of about ``TOGETHER`` bytes have their distinct words encoded together."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        group = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // TOGETHER
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for a, b in zip(bounds, bounds[1:] if len(texts) else []):
+            parts = pc.split_pattern(pc.replace_substring(texts.slice(a, b - a), "\n", " "), " ")
+            chunks = parts.flatten().dictionary_encode()
+            found = self._chunks(chunks.dictionary).take(chunks.indices)
+            at = np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False)))
+            _, starts, raw = found.buffers()  # values follow each other, so a text's ids are one piece
+            ends = np.frombuffer(starts, np.int64)[at].tolist()
+            raw = memoryview(raw or b"")
+            for x, y in zip(ends, ends[1:]):
+                yield bytes(raw[x:y])
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return next(self.encode_all(pa.array([text])))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import regex
@@ -64,6 +65,26 @@ def test_counts_with_a_full_memory(texts, monkeypatch):
         assert np.frombuffer(words.encode(t or ""), "<u4").tolist() == library(WORD, t)
 
 
+def test_words_met_once_are_encoded_together(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 700)
+    rng = np.random.default_rng(3)
+    made = ["".join(rng.choice(list("aeinrstÉß"), rng.integers(1, 12))) + rng.choice(["", ".", ",", "?!", "***", "_<|", "'s", "'", "İ."]) for _ in range(4000)]
+    texts = [" ".join(made[k : k + 40]) for k in range(0, 4000, 40)] + [None, "", "\n", " <|endoftext|> a<|endoftext|>b."]
+    words, calls = tokens.WordIds(WORD), 0
+
+    class Counted:
+        def encode(self, *args, **options):
+            nonlocal calls
+            calls += 1
+            return library_.encode(*args, **options)
+
+    library_, words.library = words.library, Counted()
+    found = [np.frombuffer(raw, "<u4").tolist() for raw in words.encode_all(pa.array(texts))]
+    assert found == [library(WORD, t) for t in texts]
+    assert calls < sum("'" in w or "İ" in w for w in made) + 20  # only what is no word with marks goes to the library by itself
+    assert [len(raw) for raw in words.encode_all(pa.array([], pa.string()))] == []
+
+
 def check_packing(rows, texts, capacity):
     ids = {k: [*library(WORD, t), 1] for k, t in enumerate(texts)}
     seen = {}
