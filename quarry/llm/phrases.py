@@ -38,6 +38,8 @@ SHARD, DENSE = 1 << 19, 64
 #: Places of the phrases that are extended together.
 RUN = 1 << 17
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
+#: Hashes whose counts a task adds up before it sends them.
+COMBINED = 3 << 19
 #: Bits of a phrase's hash beyond those that number all words.
 SPARE_BITS = 12
 _BLANK, _NONE = 0, -1
@@ -272,6 +274,36 @@ def _together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterato
         yield pa.concat_batches(held)
 
 
+def _summed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    h, n = (np.concatenate([b.column(k).to_numpy() for b in batches]) for k in range(2))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+    return pa.RecordBatch.from_arrays([pa.array(h[first]), pa.array(np.add.reduceat(n, first))], ["h", "n"])
+
+
+def _combined(batches: Iterator[pa.RecordBatch], most: int = COMBINED, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """``h, n`` added up by ``h`` over up to ``most`` rows: a task's sums are not kept on the heap."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for whole in held:
+            yield from (whole.slice(k, rows) for k in range(0, whole.num_rows, rows))
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= most:
+            held = [_summed(held)]
+            size = held[0].num_rows
+            if 2 * size > most:
+                yield from sent()
+                held, size = [], 0
+    held = [_summed(held)] if size else []
+    yield from sent()
+
+
 def _hashes(shard: Shard, words: np.ndarray, mask: int) -> np.ndarray:
     """A hash of phrases, a row of words each, of as many bits as ``mask``."""
     out = shard.hashes[words[:, 0]]
@@ -303,7 +335,7 @@ def _hash_counts(sent: list, size: int, mask: int) -> Callable:
                 if found.shape[1] == size:
                     yield pa.RecordBatch.from_arrays([pa.array(_hashes(shard, found, mask).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return lambda batches: _together(run(batches))
+    return lambda batches: _combined(_together(run(batches)))
 
 
 def _phrase_counts(sent: list, longest: int, mask: int) -> Callable:
@@ -337,7 +369,9 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     mask = (1 << min(64, int(total).bit_length() + SPARE_BITS)) - 1
     bitmaps = shards.select("lang", "places", "words", "size", "hash", "count", "bits")
     for size in range(2, longest):
-        sent.append(sc.broadcast(bit_filter(checkpointed(frequent(bitmaps.mapInArrow(_hash_counts(list(sent), size, mask), "h long, n long"))), "h")))
+        # the tasks have added up their own, so the rows are dealt first and no hash map is built before the shuffle
+        counted = bitmaps.select("places", "hash", "count", "bits").mapInArrow(_hash_counts(list(sent), size, mask), "h long, n long").repartition("h")
+        sent.append(sc.broadcast(bit_filter(checkpointed(frequent(counted)), "h")))
     phrases = bitmaps.mapInArrow(_phrase_counts(sent, longest, mask), "lang string, phrase string, k int, n long")
     phrases = phrases.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
     return shards.groupBy("lang").agg(F.sum("n").alias("n")), stored(phrases)

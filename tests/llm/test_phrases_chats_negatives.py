@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import clashing, documents, prose
 from pyspark.sql import functions as F
@@ -72,6 +73,24 @@ def test_phrases_across_words_of_a_run(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [50, 10_000])
+def test_a_task_adds_up_its_counts(most):
+    rng = np.random.default_rng(5)
+    batches = [pa.RecordBatch.from_arrays([pa.array(rng.integers(-40, 40, 30)), pa.array(rng.integers(1, 9, 30))], ["h", "n"]) for _ in range(40)]
+    want, got, sent = Counter(), Counter(), 0
+    for b in batches:
+        for h, n in zip(*(c.to_pylist() for c in b.columns)):
+            want[h] += n
+    for b in phrases._combined(iter(batches), most, 7):
+        assert b.num_rows <= 7
+        for h, n in zip(*(c.to_pylist() for c in b.columns)):
+            got[h] += n
+            sent += 1
+    assert got == want
+    assert sent == len(want) if most > 1200 else len(want) < sent <= 1200
+    assert list(phrases._combined(iter([]), most)) == []
+
+
 def test_bit_filter_never_misses(spark):
     rng = np.random.default_rng(2)
     keys = rng.integers(-(2**63), 2**63, 500)
