@@ -82,8 +82,9 @@ def _per_range(ranges: DataFrame, decode: Callable, schema: str) -> DataFrame:
 def cut(files: DataFrame, size: int) -> DataFrame:
     """``video_id, offset, content``: ranges of ``size`` bytes with their overlap, of contents that are one value each."""
     starts = F.when(F.octet_length("content") > 0, F.sequence(F.lit(0), F.octet_length("content") - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    rows = files.select("video_id", "content", F.explode(starts).alias("offset"))
-    return rows.select("video_id", F.col("offset").cast("long").alias("offset"), F.substr("content", F.col("offset") + 1, F.lit(size + OVERLAP)).alias("content"))
+    part = lambda at: F.struct(at.cast("long").alias("offset"), F.substr("content", at + 1, F.lit(size + OVERLAP)).alias("content"))
+    # cut before the explode: its rows would each carry the whole content
+    return files.select("video_id", F.explode(F.transform(starts, part)).alias("part")).select("video_id", "part.offset", "part.content")
 
 
 def from_ranges(ranges: DataFrame, size: int) -> Fetch:

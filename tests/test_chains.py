@@ -62,3 +62,12 @@ def test_ranges_of_files_are_sought(spark, tmp_path):
     got = seen(tops, odd)
     renamed = [sorted([(name[r[0]], *r[1:]) for r in part], key=lambda r: tuple(map(str, r))) for part in got]
     assert tuple(renamed) == brute(made)
+
+
+def test_cut_rows_do_not_carry_the_whole_content(spark):
+    files = spark.createDataFrame([("a", bytes(range(200))), ("b", b""), ("c", None)], "video_id string, content binary")
+    ranges = chains.cut(files, 64)
+    got = {(r.video_id, r.offset): bytes(r.content) for r in ranges.collect()}
+    assert got == {("a", k): bytes(range(200))[k : k + 64 + chains.OVERLAP] for k in range(0, 200, 64)}
+    generate = next(line for line in ranges._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode" in line)
+    assert "content" not in generate.rsplit("), [", 1)[1].split("]")[0]
