@@ -17,6 +17,10 @@ words, pairs and triples are frequent, by their text.  What a pass finds reaches
 as a bit filter that may admit too much but never too little, so it only saves work: every
 count used comes from the last pass, and is exact.  A filter has ``FILTER_BITS`` bits at
 most, whatever the table's size.
+
+What tasks have counted is dealt in buckets of hashes, as many as the words of the table
+call for.  A task sends a bucket's hashes or texts in their order as one compressed block,
+some three bytes a hash and a fraction of a text, and a bucket is added up in one call.
 """
 
 from __future__ import annotations
@@ -40,6 +44,10 @@ RUN = 1 << 17
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 #: Hashes whose counts a task adds up before it sends them.
 COMBINED = 3 << 19
+#: Bytes of phrases, texts with their counts, that a task adds up before it sends them.
+COMBINED_BYTES = 48 << 20
+#: Words of the table to a bucket, and the least number of buckets as a power of two.
+BUCKET, BUCKET_BITS = 1 << 20, 6
 #: Bits of a phrase's hash beyond those that number all words.
 SPARE_BITS = 12
 _BLANK, _NONE = 0, -1
@@ -304,6 +312,97 @@ def _combined(batches: Iterator[pa.RecordBatch], most: int = COMBINED, rows: int
     yield from sent()
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """64-bit numbers in compressed form, byte by byte of all: the high ones are alike."""
+    return pa.compress(numbers.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _restored(squeezed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(squeezed, 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(n)
+
+
+def _parts(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Where each run of a bucket starts and ends."""
+    starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)]))
+
+
+def _hash_blocks(batches: Iterator[pa.RecordBatch], shift: int) -> Iterator[pa.RecordBatch]:
+    """``h, n`` in the order of ``h`` as a row for each bucket, the bits of ``h`` from ``shift`` on."""
+    for batch in batches:
+        h, n = (c.to_numpy() for c in batch.columns)
+        bucket = (h.view(np.uint64) >> np.uint64(shift)).astype(np.int32)
+        rows = [{"bucket": int(bucket[a]), "size": b - a, "hashes": _squeezed(np.diff(h[a:b], prepend=np.int64(0))), "counts": _squeezed(n[a:b])} for a, b in _parts(bucket)]
+        yield pa.RecordBatch.from_pylist(rows, HASH_BLOCKS)
+
+
+def _frequent_hashes(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The hashes of a bucket's blocks whose counts come to ``least`` or more."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        _, sizes, hashes, counts = (c.to_pylist() for c in blocks.columns)
+        h, n = np.concatenate([np.cumsum(_restored(*b)) for b in zip(hashes, sizes)]), np.concatenate([_restored(*b) for b in zip(counts, sizes)])
+        whole = _summed([pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])])
+        return pa.table({"h": whole.column("h").filter(pc.greater_equal(whole.column("n"), least))})
+
+    return run
+
+
+def _texts_summed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """``phrase, h, n`` added up by ``phrase``."""
+    whole = pa.Table.from_batches(batches).group_by("phrase", use_threads=False).aggregate([("h", "min"), ("n", "sum")])
+    whole = whole.select(["phrase", "h_min", "n_sum"]).rename_columns(["phrase", "h", "n"])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in whole.columns], ["phrase", "h", "n"])
+
+
+def _text_blocks(lang: str, phrases: pa.RecordBatch, shift: int) -> pa.RecordBatch:
+    """A language's ``phrase, h, n`` as a row for each bucket, its texts in their order."""
+    bucket = pa.array((phrases.column("h").to_numpy().view(np.uint64) >> np.uint64(shift)).astype(np.int32))
+    order = pc.sort_indices(pa.table({"bucket": bucket, "phrase": phrases.column("phrase")}), sort_keys=[("bucket", "ascending"), ("phrase", "ascending")])
+    bucket, n, texts, rows = bucket.take(order).to_numpy(), phrases.column("n").take(order).to_numpy(), phrases.column("phrase").take(order).to_pylist(), []
+    for a, b in _parts(bucket):
+        text = "\n".join(texts[a:b]).encode("utf-8")  # no phrase crosses a line
+        rows.append({"bucket": int(bucket[a]), "lang": lang, "size": b - a, "bytes": len(text), "phrases": pa.compress(text, "zstd", asbytes=True), "counts": _squeezed(n[a:b])})
+    return pa.RecordBatch.from_pylist(rows, TEXT_BLOCKS)
+
+
+def _combined_texts(found: Iterator[tuple[str, pa.RecordBatch]], shift: int, most: int = COMBINED_BYTES) -> Iterator[pa.RecordBatch]:
+    """Blocks of what languages' ``phrase, h, n`` come to, added up over up to ``most`` bytes."""
+    held: dict[str, list[pa.RecordBatch]] = {}
+    size = 0
+    for lang, batch in found:
+        held.setdefault(lang, []).append(batch)
+        size += batch.nbytes
+        if size >= most:
+            held = {k: [_texts_summed(each)] for k, each in held.items()}
+            size = sum(each[0].nbytes for each in held.values())
+            if 2 * size > most:
+                yield from (_text_blocks(k, each[0], shift) for k, each in held.items())
+                held, size = {}, 0
+    yield from (_text_blocks(k, _texts_summed(each), shift) for k, each in held.items())
+
+
+def _frequent_texts(least: int) -> Callable[[pa.Table], pa.Table]:
+    """``lang, phrase, k, f`` of a bucket's phrases that its blocks count ``least`` times or more."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        held: dict[str, list[pa.RecordBatch]] = {}
+        for block in blocks.to_pylist():
+            texts = pa.array(pa.decompress(block["phrases"], block["bytes"], "zstd", asbytes=True).decode("utf-8").split("\n"), pa.string())
+            n = pa.array(_restored(block["counts"], block["size"]))
+            held.setdefault(block["lang"], []).append(pa.RecordBatch.from_arrays([texts, n, n], ["phrase", "h", "n"]))
+        out = []
+        for lang, each in held.items():
+            whole = _texts_summed(each)
+            whole = whole.filter(pc.greater_equal(whole.column("n"), least))
+            k = pc.add(pc.count_substring(whole.column("phrase"), " "), 1).cast(pa.int32())
+            out.append(pa.RecordBatch.from_arrays([pa.array([lang] * whole.num_rows, pa.string()), whole.column("phrase"), k, whole.column("n")], ["lang", "phrase", "k", "f"]))
+        return pa.Table.from_batches(out)
+
+    return run
+
+
 def _hashes(shard: Shard, words: np.ndarray, mask: int) -> np.ndarray:
     """A hash of phrases, a row of words each, of as many bits as ``mask``."""
     out = shard.hashes[words[:, 0]]
@@ -325,8 +424,12 @@ def _known(shard: Shard, filters: list[Bits], mask: int) -> Admits:
     return admits
 
 
-def _hash_counts(sent: list, size: int, mask: int) -> Callable:
-    """``h, n`` of phrases of ``size`` words that the filters ``sent`` so far admit."""
+HASH_BLOCKS = pa.schema([("bucket", pa.int32()), ("size", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
+TEXT_BLOCKS = pa.schema([("bucket", pa.int32()), ("lang", pa.string()), ("size", pa.int32()), ("bytes", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
+
+
+def _hash_counts(sent: list, size: int, mask: int, shift: int) -> Callable:
+    """Blocks of hashes and counts of phrases of ``size`` words that the filters ``sent`` so far admit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, *filters = (Bits(f.value) for f in sent)
@@ -335,20 +438,25 @@ def _hash_counts(sent: list, size: int, mask: int) -> Callable:
                 if found.shape[1] == size:
                     yield pa.RecordBatch.from_arrays([pa.array(_hashes(shard, found, mask).view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
-    return lambda batches: _combined(_together(run(batches)))
+    return lambda batches: _hash_blocks(_combined(_together(run(batches))), shift)
 
 
-def _phrase_counts(sent: list, longest: int, mask: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _phrase_counts(sent: list, longest: int, mask: int, shift: int) -> Callable:
+    """Blocks of texts and counts of the phrases that the filters ``sent`` admit, and of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.RecordBatch]]:
         words, *filters = (Bits(f.value) for f in sent)
         for row, shard in _read(batches, words):
             names = pa.array(pa.decompress(row["words"], row["size"], "zstd", asbytes=True).decode("utf-8").split(" "), pa.string())
-            for found, n in grow(shard, longest, _known(shard, filters, mask)):
-                text = pc.binary_join_element_wise(*[names.take(pa.array(found[:, k])) for k in range(found.shape[1])], " ")
-                size = pa.array(np.full(len(n), found.shape[1], np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array([row["lang"]] * len(n), pa.string()), text, size, pa.array(n.astype(np.int64))], ["lang", "phrase", "k", "n"])
+            yield from ((row["lang"], batch) for batch in _together(texts(shard, names, filters)))
+
+    def texts(shard: Shard, names: pa.Array, filters: list[Bits]) -> Iterator[pa.RecordBatch]:
+        for found, n in grow(shard, longest, _known(shard, filters, mask)):
+            text = pc.binary_join_element_wise(*[names.take(pa.array(found[:, k])) for k in range(found.shape[1])], " ")
+            h = _hashes(shard, found, (1 << 64) - 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([text, pa.array(h), pa.array(n.astype(np.int64))], ["phrase", "h", "n"])
 
-    return lambda batches: _together(run(batches))
+    return lambda batches: _combined_texts(run(batches), shift)
 
 
 def _part(k: Column, first: bool) -> Column:
@@ -362,18 +470,19 @@ def counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", leas
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     shards = stored(source.mapInArrow(_shards(shard), "lang string, n long, places long, words binary, size long, hash array<long>, count array<long>, bits binary"))
-    frequent = lambda df: df.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
-    words = frequent(shards.select(F.explode(F.arrays_zip("hash", "count")).alias("w")).select(F.col("w.hash").alias("h"), F.col("w.count").alias("n")))
+    words = shards.select(F.explode(F.arrays_zip("hash", "count")).alias("w")).select(F.col("w.hash").alias("h"), F.col("w.count").alias("n"))
+    words = words.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
     sent = [sc.broadcast(bit_filter(checkpointed(words), "h"))]
     total = shards.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     mask = (1 << min(64, int(total).bit_length() + SPARE_BITS)) - 1
+    bucket_bits = max(BUCKET_BITS, (int(total) // BUCKET).bit_length())
     bitmaps = shards.select("lang", "places", "words", "size", "hash", "count", "bits")
     for size in range(2, longest):
-        # the tasks have added up their own, so the rows are dealt first and no hash map is built before the shuffle
-        counted = bitmaps.select("places", "hash", "count", "bits").mapInArrow(_hash_counts(list(sent), size, mask), "h long, n long").repartition("h")
-        sent.append(sc.broadcast(bit_filter(checkpointed(frequent(counted)), "h")))
-    phrases = bitmaps.mapInArrow(_phrase_counts(sent, longest, mask), "lang string, phrase string, k int, n long")
-    phrases = phrases.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        run = _hash_counts(list(sent), size, mask, mask.bit_length() - bucket_bits)
+        counted = bitmaps.select("places", "hash", "count", "bits").mapInArrow(run, "bucket int, size int, hashes binary, counts binary")
+        sent.append(sc.broadcast(bit_filter(checkpointed(counted.groupBy("bucket").applyInArrow(_frequent_hashes(least), "h long")), "h")))
+    counted = bitmaps.mapInArrow(_phrase_counts(sent, longest, mask, 64 - bucket_bits), "bucket int, lang string, size int, bytes long, phrases binary, counts binary")
+    phrases = counted.groupBy("bucket").applyInArrow(_frequent_texts(least), "lang string, phrase string, k int, f long")
     return shards.groupBy("lang").agg(F.sum("n").alias("n")), stored(phrases)
 
 

@@ -91,6 +91,64 @@ def test_a_task_adds_up_its_counts(most):
     assert list(phrases._combined(iter([]), most)) == []
 
 
+def shuffled_bytes(spark):
+    """Bytes that the stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_counts_are_sent_in_few_bytes(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(20_000)) for _ in range(4)]
+    pairs = {p for t in texts for w in [t.split(" ")] for p in zip(w, w[1:])}
+    frame = documents(spark, texts, lang=["en"] * 4).repartition(1).checkpoint()
+    before = shuffled_bytes(spark)
+    found = phrases.counts(frame)[1]
+    assert found.filter("k = 1").count() == 300
+    assert len(pairs) > 50_000 and shuffled_bytes(spark) - before < 4 * len(pairs)
+
+
+@pytest.mark.parametrize("bits", [27, 40, 64])
+def test_blocks_of_hashes_lose_nothing(bits):
+    rng = np.random.default_rng(7)
+    pool = rng.integers(0, 2**64, 30_000, dtype=np.uint64) >> np.uint64(64 - bits)
+    want, blocks = Counter(), []
+    for _ in range(3):  # three tasks
+        h, n = rng.choice(pool, 20_000).view(np.int64), rng.integers(1, 2**40, 20_000)
+        for k, v in zip(h.tolist(), n.tolist()):
+            want[k] += v
+        batch = pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["h", "n"])
+        blocks += phrases._hash_blocks(phrases._combined(iter([batch]), rows=3000), bits - 6)
+    dealt, got = pa.Table.from_batches(blocks), []
+    for bucket in set(dealt["bucket"].to_pylist()):
+        found = phrases._frequent_hashes(2**40)(dealt.filter(pa.compute.equal(dealt["bucket"], bucket)))["h"].to_pylist()
+        assert all((h & 2**64 - 1) >> (bits - 6) == bucket for h in found)
+        got += found
+    assert len(set(dealt["bucket"].to_pylist())) == 64 and sorted(got) == sorted(h for h, n in want.items() if n >= 2**40)
+
+
+@pytest.mark.parametrize("most", [2000, 10_000_000])
+def test_blocks_of_phrases_lose_nothing(most):
+    rng = random.Random(9)
+    words = ["a", "é\u00a0x", "\u2028", "語", "'", "\x00", "x" * 300, "b"]
+    found, want = [], Counter()
+    for _ in range(300):
+        lang = rng.choice(["en", "a\nb", ""])
+        texts = list({" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(20)})
+        n = [rng.randint(1, 9) for _ in texts]
+        want.update({(lang, t, t.count(" ") + 1): v for t, v in zip(texts, n)})
+        h = [hash((lang, len(t))) for t in texts]  # many texts of one hash stay apart
+        found.append((lang, pa.RecordBatch.from_arrays([pa.array(texts), pa.array(h, pa.int64()), pa.array(n, pa.int64())], ["phrase", "h", "n"])))
+    dealt, got = pa.Table.from_batches(phrases._combined_texts(iter(found), 58, most)), []
+    assert (sum(dealt["size"].to_pylist()) == len(want)) == (most > 2000)
+    for bucket in set(dealt["bucket"].to_pylist()):
+        got += [tuple(r.values()) for r in phrases._frequent_texts(20)(dealt.filter(pa.compute.equal(dealt["bucket"], bucket))).to_pylist()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items() if v >= 20) and len(got) > 50
+
+
 def test_bit_filter_never_misses(spark):
     rng = np.random.default_rng(2)
     keys = rng.integers(-(2**63), 2**63, 500)
