@@ -20,10 +20,21 @@ from quarry.llm.common import shared_folder, table
 from quarry.session import ship
 
 ORACLE_SQL = None
+#: Bytes of rows that go to a Python worker at once.  Whole texts make long rows, and both the worker and the executor's
+#: own buffers keep what their largest batch took for all stages that follow.
+BATCH_BYTES = 4 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Ship the package and bound the session's Arrow batches by ``BATCH_BYTES``; a bound that the session sets itself stays."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the bar; labels are learned from those that are not held out."""
+    ready(spark)
     labelled = toxicity.with_labels(docs.filter(queries.fold(F.col("doc_id"), 3) != 1), table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, labelled, docs.columns, "__quarry_score")
     return scored.filter(F.col("__quarry_score") < queries.TOXIC_AT).drop("__quarry_score")
@@ -31,25 +42,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each exact text, the one with the largest id."""
-    ship(spark)
+    ready(spark)
     return exact_dedup.surviving_rows(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component, the one with the smallest id."""
-    ship(spark)
+    ready(spark)
     return simhash.near_distinct(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    ship(spark)
+    ready(spark)
     return mixing.mixed_rows(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their place in the training sequences."""
-    ship(spark)
+    ready(spark)
     return packing.pack(docs, public_tokenizers.path(queries.WORD_BPE))
 
 

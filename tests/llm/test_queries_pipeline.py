@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from helpers import documents, prose
+from pyspark.sql import functions as F
 from support import same_as_sql
 from test_dedup import brute_components, brute_print, lower
 
@@ -62,3 +64,29 @@ def test_nothing_else_imports_this_subpackage():
 
     top = Path(queries.__file__).resolve().parent.parent
     assert not [p for p in top.rglob("*.py") if "llm" not in p.parts and "quarry.llm" in p.read_text()]
+
+
+def test_pipeline_stages_bound_the_batches_that_workers_get(spark, tmp_path):
+    """10 000 rows a batch are as many bytes as their texts have, which workers and executors then keep."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def largest(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words "), 5000).alias("text"), F.lit("en").alias("lang"), F.lit("web").alias("source"), F.lit(55_000).cast("long").alias("n_chars"))
+    sent = lambda: docs.mapInArrow(largest, "n long").agg(F.max("n")).first()[0]
+    spark.createDataFrame([(k, 1, k % 2) for k in range(3)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.conf.unset(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, docs.limit(3), str(tmp_path))
+            assert sent() <= corpus_pipeline.BATCH_BYTES + 200_000, name
+            spark.conf.unset(key)
+        spark.conf.set(key, "1m")  # the session's own bound stays
+        corpus_pipeline.drop_copies(spark, docs.limit(3), str(tmp_path))
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
